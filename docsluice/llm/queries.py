@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, langid, tokens, urlrules
+from . import flac, jaccard, langid, tokens, urlrules
 from .common import table
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_media_flac": lambda spark, d: flac.document_media(table(spark, d, "documents")),
         "op2_language_id": lambda spark, d: langid.document_languages(table(spark, d, "documents")),
         "op4_token_counts": lambda spark, d: tokens.document_lengths(table(spark, d, "documents")),
+        "op5_ngram_jaccard": lambda spark, d: jaccard.document_links(table(spark, d, "documents")),
         "op9_url_filters": lambda spark, d: urlrules.page_verdicts(table(spark, d, "pages")),
     }
 
