@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, jaccard, langid, tokens, urlrules
+from . import flac, jaccard, langid, mixing, packing, tokens, urlrules, warc
 from .common import table
 
 
@@ -10,11 +10,14 @@ def queries() -> dict:
     return {
         "op1_media_flac": lambda spark, d: flac.document_media(table(spark, d, "documents")),
         "op2_language_id": lambda spark, d: langid.document_languages(table(spark, d, "documents")),
+        "op3_best_fit_packing": lambda spark, d: packing.document_sequences(table(spark, d, "documents")),
         "op4_token_counts": lambda spark, d: tokens.document_lengths(table(spark, d, "documents")),
         "op5_ngram_jaccard": lambda spark, d: jaccard.document_links(table(spark, d, "documents")),
+        "op6_warc_derivatives": lambda spark, d: warc.page_derivatives(table(spark, d, "pages")),
         "op9_url_filters": lambda spark, d: urlrules.page_verdicts(table(spark, d, "pages")),
+        "op10_source_mixing": lambda spark, d: mixing.document_mix(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": urlrules.sql_of()}
+    return {"op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of()}
