@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flac, jaccard, langid, mixing, packing, tokens, urlrules, warc
+from . import ctw, flac, jaccard, langid, mixing, packing, tokens, urlrules, vafile, warc
 from .common import table
 
 
@@ -14,10 +14,12 @@ def queries() -> dict:
         "op4_token_counts": lambda spark, d: tokens.document_lengths(table(spark, d, "documents")),
         "op5_ngram_jaccard": lambda spark, d: jaccard.document_links(table(spark, d, "documents")),
         "op6_warc_derivatives": lambda spark, d: warc.page_derivatives(table(spark, d, "pages")),
+        "op7_exact_topk": lambda spark, d: vafile.embedding_neighbours(table(spark, d, "embeddings")),
+        "op8_lm_scoring": lambda spark, d: ctw.document_scores(table(spark, d, "documents")),
         "op9_url_filters": lambda spark, d: urlrules.page_verdicts(table(spark, d, "pages")),
         "op10_source_mixing": lambda spark, d: mixing.document_mix(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of()}
+    return {"op7_exact_topk": vafile.SQL, "op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of()}
