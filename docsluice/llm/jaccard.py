@@ -6,17 +6,18 @@ Steps, none of which pairs documents up:
    128-bit digest of the set; documents with equal sets are one set from here.
 2. Sieve. Under the order of hashes, two linked sets share their first L
    common elements within known prefixes. Prefix elements of all documents
-   travel as packed arrays to the ranges of their hash; what comes back is how
-   many elements of each document occur anywhere else. A document with fewer
-   than L can link with nothing and is done.
-3. The sets left are grouped by each element of their short prefix and by
-   their class of size; each element ties its sets to the smallest (a star).
-   The components of these ties are clusters; linked sets share a cluster.
+   travel as packed arrays to the ranges of their hash; back come those that
+   other documents hold too, with how many. A document with fewer than L of
+   them can link with nothing and is done.
+3. Among its prefix elements, ordered from the rarest, a set of L common ones
+   has one within the first (length - L + 1). These, with the class of size,
+   are the keys of a document; each key ties its sets to the smallest (a
+   star). The components of the ties are clusters; linked sets share one.
 4. In a cluster, sets are the leaves of a tree whose nodes hold OR-combined
    bitmaps and ranges of size. A traversal of node pairs prunes those whose
    greatest possible overlap is too small, and those already in one component;
    the pairs of leaves that remain are compared exactly. Clusters above
-   BLOCK_ELEMENTS are dealt out as pairs of blocks, each a task of its own.
+   BLOCK_ELEMENTS or BLOCK_SETS are dealt out as pairs of blocks, each a task of its own.
 
 Defined cases: null texts and texts without words have an empty set, link with
 nothing and are their own component. Fewer words than a shingle: the whole
@@ -43,7 +44,8 @@ WORDS, THRESHOLD = 5, (4, 5)  # of the general interface
 EXTRA = (3, 10)  # share of a set that the sieve takes beyond its short prefix
 SIEVE_BYTES = 12 << 20  # text of one sieve block
 RANGE_ELEMENTS = 4_000_000  # elements of one hash range
-BLOCK_ELEMENTS = 4_000_000  # elements of one block of a cluster
+BLOCK_ELEMENTS, BLOCK_SETS = 4_000_000, 8192  # elements and sets of one block of a cluster
+BUNDLE_ELEMENTS = 1_000_000
 BITMAP_WORDS, FANOUT = 64, 8
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -134,40 +136,60 @@ def _digest(df: DataFrame, key: str, text: str, words: int, t: tuple[int, int],
     return df.mapInArrow(run, schema)
 
 
-def _shared_counts(group: pa.Table) -> pa.Table:
-    """In one hash range: how many elements of each document occur in another document."""
+def _shared(key: tuple, group: pa.Table) -> pa.Table:
+    """In one hash range: the elements that occur in more than one document, with how many hold them."""
     packed = group.column("packed").to_pylist()
     sizes = np.array([len(p) // 6 for p in packed])
     low = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(packed, sizes.tolist(), strict=True)])
     doc = np.concatenate([np.frombuffer(p, "<u2", n, 4 * n) for p, n in zip(packed, sizes.tolist(), strict=True)])
     both = np.sort(low.astype(np.uint64) << np.uint64(32) | np.arange(len(low), dtype=np.uint64))
     value = both >> np.uint64(32)
-    again = np.zeros(len(both) + 1, bool)
-    again[1:-1] = value[1:] == value[:-1]
-    shared = np.zeros(len(low), bool)
-    shared[(both & np.uint64(0xFFFFFFFF))[again[1:] | again[:-1]].astype(np.int64)] = True
+    first = np.nonzero(np.concatenate(([True], value[1:] != value[:-1])))[0]
+    times = np.diff(np.append(first, len(value)))
+    df = np.zeros(len(low), np.uint16)
+    df[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.repeat(np.minimum(times, 65535).astype(np.uint16), times)
     ends, out = np.cumsum(sizes), []
     for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-        n = np.bincount(doc[a:z][shared[a:z]])
-        some = np.nonzero(n)[0]
-        out.append(some.astype("<u2").tobytes() + n[some].astype("<u4").tobytes())
-    return pa.table({"block": group.column("block"), "packed": pa.array(out, pa.binary())})
+        some = df[a:z] > 1
+        out.append(low[a:z][some].tobytes() + doc[a:z][some].tobytes() + df[a:z][some].tobytes())
+    return pa.table({"block": group.column("block"), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "packed": pa.array(out, pa.binary())})
 
 
-def _survivors(t: tuple[int, int]):
+def _ties(t: tuple[int, int]):
+    ends = _classes(t)
+
     def run(group: pa.Table) -> pa.Table:
-        """Of one block: the digests of the documents that the sieve leaves."""
-        sizes, sids, total = [], [], None
-        for s, d in zip(group.column("sizes").to_pylist(), group.column("sids").to_pylist(), strict=True):
-            if s:
-                sizes, sids = s, d
-        total = np.zeros(len(sizes), np.int64)
-        for p in group.column("packed").to_pylist():
-            if p:
-                n = len(p) // 6
-                np.add.at(total, np.frombuffer(p, "<u2", n).astype(np.int64), np.frombuffer(p, "<u4", n, 2 * n))
-        keep = [d for n, d, have in zip(sizes, sids, total.tolist(), strict=True) if n and have >= _extra(_need(n, t))]
-        return pa.table({"sid": pa.array(keep, pa.binary())})
+        """Of one block: for each document that the sieve leaves, its rarest shared elements as keys, for its class of size and the next."""
+        sizes, sids, low, doc, df, part = [], [], [], [], [], []
+        for r in group.to_pylist():
+            if r["packed"] is None:
+                sizes, sids = np.array(r["sizes"], np.int64), r["sids"]
+            else:
+                n = len(r["packed"]) // 8
+                low.append(np.frombuffer(r["packed"], "<u4", n))
+                doc.append(np.frombuffer(r["packed"], "<u2", n, 4 * n))
+                df.append(np.frombuffer(r["packed"], "<u2", n, 6 * n))
+                part.append(np.full(n, r["part"], np.uint64))
+        keys, who = [], []
+        if low and len(sizes):
+            low, doc, df, part = (np.concatenate(x) for x in (low, doc, df, part))
+            place = part << np.uint64(32) | low
+            order = np.lexsort((place, df, doc))
+            place, upto = place[order], np.searchsorted(doc[order], np.arange(len(sizes) + 1))
+            for i, n in enumerate(sizes.tolist()):
+                own = place[upto[i] : upto[i + 1]]
+                least = _extra(_need(n, t))
+                if n and len(own) >= least:
+                    # elements of no other document come first in the order, so the rest of the prefix is what remains
+                    own = own[: len(own) - least + 1]
+                    c = int(np.searchsorted(ends, n, "right"))
+                    for k in (c, c + 1):
+                        keys.append(mix64(own ^ mix64(np.array([k], np.uint64))))
+                        who.append((i, len(own)))
+        if not keys:
+            return pa.table({"key": pa.array([], pa.int64()), "sid": pa.array([], pa.binary())})
+        at = np.repeat([i for i, _ in who], [n for _, n in who])
+        return pa.table({"key": pa.array(np.concatenate(keys).view(np.int64)), "sid": pa.array(sids, pa.binary()).take(pa.array(at))})
 
     return run
 
@@ -181,25 +203,6 @@ def _sets_of(df: DataFrame, text: str, words: int) -> DataFrame:
     return df.select(text).mapInArrow(run, "sid binary, size int, elements binary")
 
 
-def _prefix_rows(sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    ends = _classes(t)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                keys, sizes = [], []
-                for n, e in zip(part.column("size").to_pylist(), part.column("elements").to_pylist(), strict=True):
-                    s = np.frombuffer(e, "<u8")[: n - _need(n, t) + 1]
-                    c = int(np.searchsorted(ends, n, "right"))
-                    keys += [mix64(s ^ mix64(np.array([c], np.uint64))), mix64(s ^ mix64(np.array([c + 1], np.uint64)))]
-                    sizes.append(2 * len(s))
-                at = np.repeat(np.arange(part.num_rows), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column("sid").take(pa.array(at))], names=["key", "sid"])
-
-    return sets.mapInArrow(run, "key bigint, sid binary")
-
-
 class Forest:
     """Union-find."""
 
@@ -227,12 +230,15 @@ class SignatureTree:
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        bits = np.zeros((len(sets), BITMAP_WORDS * 64), bool)
+        maps = np.zeros((len(sets), BITMAP_WORDS), np.uint64)
+        row = np.zeros(BITMAP_WORDS * 64, bool)
         for i, s in enumerate(sets):
-            bits[i, (s & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)] = True
+            at = (s & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)
+            row[at] = True
+            maps[i] = np.packbits(row).view(np.uint64)
+            row[at] = False
         size = np.array([len(s) for s in sets])
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        self.levels = [(maps, size, size, size - bits.sum(axis=1))]
+        self.levels = [(maps, size, size, size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
             at = np.arange(0, len(maps), FANOUT)
@@ -279,17 +285,26 @@ def links(sets: list[np.ndarray], t: tuple[int, int], cross: np.ndarray | None =
     return forest
 
 
-def _cluster(t: tuple[int, int]):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        """Ties (set, smallest set of its component) of one block pair of a cluster."""
-        i, j = key[1].as_py(), key[2].as_py()
-        rows = sorted(zip(group.column("size").to_pylist(), group.column("sid").to_pylist(), group.column("blk").to_pylist(), group.column("elements").to_pylist(), strict=True), key=lambda r: r[:2])
-        forest = links([np.frombuffer(r[3], "<u8") for r in rows], t, None if i == j else np.array([r[2] for r in rows]))
-        least: dict[int, bytes] = {}
-        for x, r in enumerate(rows):
-            root = forest.root(x)
-            least[root] = min(least.get(root, r[1]), r[1])
-        ties = [(r[1], least[forest.root(x)]) for x, r in enumerate(rows) if least[forest.root(x)] != r[1]]
+def _cluster_ties(rows: list[tuple], t: tuple[int, int], crossing: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Ties (set, smallest set of its component) among rows (size, sid, block, elements) of one cluster or block pair."""
+    rows = sorted(rows, key=lambda r: r[:2])
+    forest = links([np.frombuffer(r[3], "<u8") for r in rows], t, np.array([r[2] for r in rows]) if crossing else None)
+    least: dict[int, bytes] = {}
+    for x, r in enumerate(rows):
+        root = forest.root(x)
+        least[root] = min(least.get(root, r[1]), r[1])
+    for x, r in enumerate(rows):
+        if least[forest.root(x)] != r[1]:
+            yield r[1], least[forest.root(x)]
+
+
+def _clusters(t: tuple[int, int]):
+    def run(group: pa.Table) -> pa.Table:
+        """A bundle of small clusters, or one block pair of a large one."""
+        apart: dict[tuple, list] = {}
+        for r in group.to_pylist():
+            apart.setdefault((r["label"], r["i"], r["j"]), []).append((r["size"], r["sid"], r["blk"], r["elements"]))
+        ties = [x for k in sorted(apart) for x in _cluster_ties(apart[k], t, k[1] != k[2])]
         return pa.table({"a": pa.array([x for x, _ in ties], pa.binary()), "b": pa.array([y for _, y in ties], pa.binary())})
 
     return run
@@ -306,27 +321,28 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(0, min(16, int(size / 12 / RANGE_ELEMENTS).bit_length()))  # some 12 bytes of text for each element that is sent
     digest = stored(_digest(docs, "key", "text", words, t, bits), "sieve")
-    counts = digest.where("part >= 0").select("part", "block", "packed").groupBy("part").applyInArrow(_shared_counts, "block bigint, packed binary")
-    sides = digest.where("part < 0").select("block", F.lit(None).cast("binary").alias("packed"), "sizes", "sids")
-    left = counts.select("block", "packed", F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("array<binary>").alias("sids")).unionByName(sides)
-    alive = stored(left.groupBy("block").applyInArrow(_survivors(t), "sid binary").distinct(), "alive")
+    shared = digest.where("part >= 0").select("part", "block", "packed").groupBy("part").applyInArrow(_shared, "block bigint, part int, packed binary")
+    sides = digest.where("part < 0").select("block", "part", F.lit(None).cast("binary").alias("packed"), "sizes", "sids")
+    left = shared.select("block", "part", "packed", F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("array<binary>").alias("sids")).unionByName(sides)
+    held = stored(left.groupBy("block").applyInArrow(_ties(t), "key bigint, sid binary"), "ties")
+    stars = held.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where(F.col("b") != F.col("z")).select("key", "b")
+    clusters = stored(components(held.join(stars, "key").select(F.col("sid").alias("a"), "b")), "clusters")
     rows = digest.where("part < 0").select(F.explode(F.arrays_zip("ids", "sizes", "sids")).alias("x")).select(F.col("x.ids").alias("key"), F.col("x.sizes").alias("n"), F.col("x.sids").alias("sid"))
     # one document stands for each set
-    chosen = rows.join(alive, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("key")).alias("k")).select(F.col("k.key").alias("key"))
+    named = clusters.select(F.col("node").alias("sid"), "label")
+    chosen = rows.join(named, "sid").groupBy("sid").agg(F.min(F.struct("key")).alias("k")).select(F.col("k.key").alias("key"))
     kept = docs.alias("d").join(chosen.distinct().alias("c"), F.col("d.key").eqNullSafe(F.col("c.key")), "left_semi")
-    fresh = _sets_of(kept, "text", words).join(alive, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("size", "elements")).alias("s")).select("sid", "s.size", "s.elements")
-    sets = stored(fresh, "sets")
-    prefix = _prefix_rows(sets, t)
-    ties = prefix.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where(F.col("b") != F.col("z")).select("key", "b")
-    clusters = components(prefix.join(ties, "key").select(F.col("sid").alias("a"), "b"))
-    member = sets.join(clusters, sets["sid"] == clusters["node"]).select("sid", "size", "elements", "label")
-    member = stored(member, "members")
-    blocks = member.groupBy("label").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    fresh = _sets_of(kept, "text", words).join(named, "sid").groupBy("sid", "label").agg(F.min(F.struct("size", "elements")).alias("s"))
+    member = stored(fresh.select("sid", "s.size", "s.elements", "label"), "members")
+    blocks = member.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     most = blocks.agg(F.max("blocks")).first()[0] or 1
+    whole = member.agg(F.sum("size")).first()[0] or 0
     dealt = member.join(blocks, "label").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "sid", "size", "elements")
-    found = dealt.groupBy("label", "i", "j").applyInArrow(_cluster(t), "a binary, b binary")
+    dealt = dealt.select("label", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "sid", "size", "elements", "blocks")
+    # small clusters travel in bundles of about BUNDLE_ELEMENTS, as each group of an Arrow call has its cost
+    bundle = F.when(F.col("blocks") > 1, F.xxhash64("label", "i", "j")).otherwise(F.pmod(F.xxhash64("label"), F.lit(1 + int(whole) // BUNDLE_ELEMENTS)))
+    found = dealt.withColumn("bundle", bundle).drop("blocks").groupBy("bundle").applyInArrow(_clusters(t), "a binary, b binary")
     if most > 1:
         labels = components(found)
     else:
