@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, split_words, stored
+from .common import gathered, mix64, modest, slices, split_words, stored
 from .components import components
 
 WORDS, THRESHOLD = 5, (4, 5)  # of the general interface
 EXTRA = (3, 10)  # share of a set that the sieve takes beyond its short prefix
-SIEVE_BYTES = 12 << 20  # text of one sieve block
+SIEVE_BYTES = 8 << 20  # text of one sieve block
 RANGE_ELEMENTS = 4_000_000  # elements of one hash range
 BLOCK_ELEMENTS, BLOCK_SETS = 4_000_000, 8192  # elements and sets of one block of a cluster
 BUNDLE_ELEMENTS = 1_000_000
@@ -107,7 +107,7 @@ def _digest(df: DataFrame, key: str, text: str, words: int, t: tuple[int, int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = counter(TaskContext.get().partitionId() << 32)
-        for wide in slices(batches, text, SIEVE_BYTES):
+        for wide in gathered(batches, text, SIEVE_BYTES):
             for lo in range(0, wide.num_rows, 50_000):
                 b = wide.slice(lo, 50_000)
                 sets = shingle_sets(b.column(text), words)
@@ -363,6 +363,7 @@ def document_links(documents: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id. A repeated row (same doc_id and text) stays once."""
+    modest(spark)
     found = jaccard_components(docs.select("doc_id", "text"))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

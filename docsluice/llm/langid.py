@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, slices
+from .common import doc_fold, modest, slices
 
 DICT_BYTES = 96 << 10  # training text kept for a language
 TEXT_BYTES = 8 << 10  # longer texts are not taken into a dictionary
@@ -128,6 +128,7 @@ def document_languages(documents: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain. The columns stay as they are."""
+    modest(spark)
     models = train(docs.where(doc_fold("doc_id", 4) != 2))
     keep = docs.columns
     return predict(docs.select("*"), models).where(~F.col("rejected")).select(*[F.col(f"`{n}`") for n in keep])

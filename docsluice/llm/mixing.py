@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import modest, stored
 
 AXES = ("source", "lang", "topic")
 #: How far each marginal moves from its own share (1) to equal shares (0).
@@ -141,4 +141,5 @@ def document_mix(documents: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the sample keeps."""
+    modest(spark)
     return sampled(docs).where("selected").select(*[F.col(f"`{c}`") for c in docs.columns])

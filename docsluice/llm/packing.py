@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import gathered, modest, stored
 from .tokens import END_ID, SLICE, WordTokenizer, default_path
 
 CAPACITY = 4096
@@ -42,7 +42,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.at(path)
         number = TaskContext.get().partitionId() << 36
-        for b in slices(batches, text, SLICE):
+        for b in gathered(batches, text, SLICE):
             ids, lengths = tok.encode(b.column(text))
             data, at, rows = memoryview(ids.tobytes()), 0, []
             for d, n in enumerate(lengths.tolist()):
@@ -196,4 +196,5 @@ def document_sequences(documents: DataFrame, capacity: int = CAPACITY) -> DataFr
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing of all documents that reach it."""
+    modest(spark)
     return document_sequences(docs)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, split_words
+from .common import gathered, split_words
 
 END_ID = 1
 MEMORY_WORDS = 1_000_000  # words whose ids a worker keeps, about 200 MB
@@ -114,7 +114,7 @@ def token_lengths(df: DataFrame, text: str = "text", path: str | None = None, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.at(path)
-        for b in slices(batches, text, SLICE):
+        for b in gathered(batches, text, SLICE):
             _, n = tok.encode(b.column(text), ids=False)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(n + end, pa.int64())], names=[*keep, "n_tokens"])
 
