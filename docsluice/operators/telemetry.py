@@ -23,19 +23,28 @@ QUANTS = (
 DEFAULT_MODEL, DEFAULT_QUANT = "llama3:8b", "Q4_K_M"
 
 
+def _constants(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A few literal rows in one partition."""
+    names = [f.split(" ") for f in schema.split(", ")]
+    lines = [F.struct(*[F.lit(v).cast(kind).alias(n) for v, (n, kind) in zip(r, names, strict=True)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*lines)))
+
+
 def models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODELS, "model_id string, layers int, heads int, kv_heads int, hidden_dim int, params_b double")
+    return _constants(spark, MODELS, "model_id string, layers int, heads int, kv_heads int, hidden_dim int, params_b double")
 
 
 def quants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUANTS, "quant_type string, bytes_per_weight double, accuracy double, tps_estimate double, ttft_ms int")
+    return _constants(spark, QUANTS, "quant_type string, bytes_per_weight double, accuracy double, tps_estimate double, ttft_ms int")
 
 
 def sweep(spark: SparkSession, contexts: list[int], batches: list[int]) -> DataFrame:
     """Every combination of the four parameters (all sides are parameter tables of a few rows)."""
-    c = spark.createDataFrame([(x,) for x in contexts], "context_length int")
-    b = spark.createDataFrame([(x,) for x in batches], "batch_size int")
-    return models(spark).select("model_id").crossJoin(quants(spark).select("quant_type")).crossJoin(c).crossJoin(b)
+    more = [F.explode(F.array(*[F.lit(x).cast("int") for x in xs])).alias(n) for n, xs in (("context_length", contexts), ("batch_size", batches))]
+    out = models(spark).select("model_id").crossJoin(F.broadcast(quants(spark).select("quant_type")))
+    for column in more:
+        out = out.select("*", column)
+    return out
 
 
 def memory(requests: DataFrame) -> DataFrame:

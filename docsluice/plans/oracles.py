@@ -165,7 +165,7 @@ def _memory() -> str:
 
 
 def sql() -> dict[str, str]:
-    reg = f"""{EVIDENCE}, tally AS (SELECT query_id, count_if(status = 'VERIFIED') AS v, count_if(status = 'INFERRED') AS i, count_if(status = 'UNSUPPORTED') AS u FROM claims GROUP BY 1),
+    reg = f"""{EVIDENCE}, tally AS (SELECT query_id, CAST(count_if(status = 'VERIFIED') AS BIGINT) AS v, CAST(count_if(status = 'INFERRED') AS BIGINT) AS i, CAST(count_if(status = 'UNSUPPORTED') AS BIGINT) AS u FROM claims GROUP BY 1),
       base AS (SELECT c.*, contains(lower(answer), 'do not contain information') AS refused, coalesce(v, 0) AS v, coalesce(i, 0) AS i, coalesce(u, 0) AS u FROM counts c LEFT JOIN tally USING (query_id)),
       raw_score AS (SELECT *, greatest(0, least(1, 0.45 * CASE WHEN q > 0 THEN qm / q ELSE 1 END + 0.25 * CASE WHEN x > 0 THEN xm / x ELSE 0 END + 0.30 * CASE WHEN v + i + u > 0 THEN v / (v + i + u) ELSE 1 END)) AS s FROM base),
       scored AS (SELECT query_id, refused, bare, NOT refused AND NOT bare AS plain, x, xm, q, qm, v, i, u, CASE WHEN refused THEN 1.0 WHEN bare THEN 0.0 ELSE round(s, 3) END AS confidence, CASE WHEN refused THEN 0.0 WHEN bare THEN 1.0 ELSE greatest(0, round(1 - s, 3)) END AS unsupported_rate FROM raw_score),
@@ -178,7 +178,7 @@ def sql() -> dict[str, str]:
           || ' | Verbatim quotes matched: ' || quotes_matched || '/' || total_quotes || ' | Claims matrix: ' || claims_verified || ' verified, ' || claims_inferred || ' inferred, ' || claims_unsupported || ' unsupported' END AS notes FROM judged"""
     one = lambda name, expr: f"SELECT doc_id, {expr} AS {name} FROM documents"
     slots = lambda dim: f"SELECT word, {slot('md5(word)', 32, dim)} AS slot, {sign('md5(word)', 32)} AS sign FROM (SELECT DISTINCT unnest({content('text')}) AS word FROM documents)"
-    sparse = lambda dim: f"WITH {embedded('e', 'documents', 'doc_id', 'text', dim)} SELECT doc_id, slot, round(weight, 6) AS weight FROM e"
+    sparse = lambda dim: f"WITH {embedded('e', 'documents', 'doc_id', 'text', dim)} SELECT doc_id, slot, round(weight, 6) + 0.0 AS weight FROM e"
     chunk_doc = lambda t: f"SELECT query_id, split_part(chunk_id, '_chunk_', 1) AS k FROM {t} WHERE rank = 1"
     return {
         "tokenize_bm25": one("tokens", f"array_to_string({tokens('text')}, ' ')"),
@@ -215,7 +215,7 @@ def sql() -> dict[str, str]:
         "hybrid_search": f"WITH {HYBRID} SELECT query_id, rank, chunk_id, similarity_score, bm25_score, rrf_score FROM got",
         "citation_label": f"WITH {CHUNKS} SELECT chunk_id, 'Doc: ' || title || ', Page ' || page_number || ', Line ' || start_line || '-' || end_line AS citation FROM chunks",
         "cloud_policy_gate": f"WITH {HYBRID}, s AS (SELECT query_id, count(*) AS n_chunks, arg_min(category, rank) FILTER (category <> 'GENERAL') AS blocked_category FROM got GROUP BY 1) SELECT query_id, coalesce(n_chunks, 0) AS n_chunks, blocked_category, CASE WHEN blocked_category IS NOT NULL THEN 'BLOCKED' WHEN n_chunks IS NULL THEN 'NO_CONTEXT' ELSE 'OK' END AS status FROM questions LEFT JOIN s USING (query_id)",
-        "request_errors": f"SELECT conv_id, turn, CAST(CASE WHEN text IS NULL OR length(text) > 4000 THEN 422 WHEN contains(text, chr(0)) OR {strip('text')} = '' THEN 400 END AS INTEGER) AS error_code FROM conversations",
+        "request_errors": f"SELECT conv_id, turn, CAST(CASE WHEN text IS NULL OR length(text) > 4000 THEN 422 WHEN contains(text, chr(0)) OR {strip('text')} = '' THEN 400 END AS VARCHAR) AS error_code FROM conversations",
         "context_block": f"WITH {HYBRID} SELECT query_id, string_agg('--- SOURCE ' || rank || ' [' || citation_label || '] ---' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS context FROM got GROUP BY 1",
         "fallback_answer": f"WITH {ANSWERS} SELECT query_id, answer FROM answers",
         "sse_events": "WITH s AS (SELECT conv_id || ':' || turn AS query_id, text, string_split(text, ' ') AS w FROM conversations WHERE text IS NOT NULL) SELECT query_id, CAST(0 AS INTEGER) AS seq, 'metadata' AS event, '' AS data FROM s UNION ALL SELECT query_id, CAST(i + 1 AS INTEGER), 'token', x || ' ' FROM (SELECT query_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM s) UNION ALL SELECT query_id, CAST(len(w) + 1 AS INTEGER), 'complete', text FROM s",
@@ -244,10 +244,10 @@ def sql() -> dict[str, str]:
         "ledger_tamper": checked("CASE WHEN idx = 2 THEN repeat('0', 64) ELSE data_hash END"),
         "ledger_filter": "SELECT event_id, event_type FROM events WHERE event_type = 'purchase'",
         "nearest_rank_percentile": "SELECT event_type, count(*) AS n, " + ", ".join(f"list_sort(list(value))[least(CAST(floor(count(*) * {p}::DOUBLE) AS BIGINT), count(*) - 1) + 1] AS {k}" for k, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM events WHERE value IS NOT NULL GROUP BY 1",
-        "doc_match_accuracy": f"WITH {HYBRID}, m AS (SELECT coalesce(e.k = g.k, FALSE) AS hit FROM ({chunk_doc('bm_top')}) e LEFT JOIN ({chunk_doc('got')}) g USING (query_id)) SELECT count_if(hit) AS matches, count(*) AS total, round(avg(CASE WHEN hit THEN 100.0::DOUBLE ELSE 0 END), 2) AS accuracy FROM m",
+        "doc_match_accuracy": f"WITH {HYBRID}, m AS (SELECT coalesce(e.k = g.k, FALSE) AS hit FROM ({chunk_doc('bm_top')}) e LEFT JOIN ({chunk_doc('got')}) g USING (query_id)) SELECT CAST(count_if(hit) AS BIGINT) AS matches, count(*) AS total, round(avg(CASE WHEN hit THEN 100.0::DOUBLE ELSE 0 END), 2) AS accuracy FROM m",
         "corpus_fingerprint": "WITH p AS (SELECT doc_id // 1000 AS b, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1) SELECT left(sha256(string_agg(h, '' ORDER BY b)), 16) AS corpus_hash, count(*) AS buckets FROM p",
         "memory_matrix": f"WITH {_memory().replace('$CONTEXTS', '[2048, 4096, 8192, 16384, 32768]').replace('$BATCHES', '[1, 2, 4, 8]')} SELECT model_id, quant_type, context_length, batch_size, round(w, 2) AS weight_gib, round(c, 2) AS kv_cache_gib, round(a, 2) AS activation_gib, round(t, 2) AS total_gib, t < 13.5 AS fits_16gib, t < 6.8 AS fits_8gib, CASE WHEN t < 6.5 THEN 'Any 8 GiB or 16 GiB Mac' WHEN t < 13.5 THEN '16 GiB Mac' ELSE '32 GiB+ Mac or RTX 3090+' END AS hardware FROM total",
-        "fits_flags": f"WITH {_memory().replace('$CONTEXTS', '[4096, 32768]').replace('$BATCHES', '[1, 4]')} SELECT quant_type, count_if(t < 13.5) AS fit_16, count_if(t < 6.8) AS fit_8 FROM total GROUP BY 1",
+        "fits_flags": f"WITH {_memory().replace('$CONTEXTS', '[4096, 32768]').replace('$BATCHES', '[1, 4]')} SELECT quant_type, CAST(count_if(t < 13.5) AS BIGINT) AS fit_16, CAST(count_if(t < 6.8) AS BIGINT) AS fit_8 FROM total GROUP BY 1",
         "ledger_event_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
         "stream_ledger_counts": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
         "stream_ingest_dedup": f"WITH {CORPUS} SELECT doc_key, row_id, sha256 FROM corpus",

@@ -213,7 +213,7 @@ def hash_slots_768(spark, d):
 
 def _sparse(spark, d, dim):
     e = dense.embed(_t(spark, d, "documents"), "doc_id", "text", dim)
-    return e.select("doc_id", F.explode(F.arrays_zip("slots", "weights")).alias("x")).select("doc_id", F.col("x.slots").alias("slot"), F.round("x.weights", 6).alias("weight"))
+    return e.select("doc_id", F.explode(F.arrays_zip("slots", "weights")).alias("x")).select("doc_id", F.col("x.slots").alias("slot"), (F.round("x.weights", 6) + 0.0).alias("weight"))
 
 
 @query
@@ -259,7 +259,7 @@ def cloud_policy_gate(spark, d):
 @query
 def request_errors(spark, d):
     turns = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
-    return retrieve.request_errors(turns).select("conv_id", "turn", "error_code")
+    return retrieve.request_errors(turns).select("conv_id", "turn", F.col("error_code").cast("string").alias("error_code"))
 
 
 @query
@@ -356,7 +356,8 @@ def pii_type_counts(spark, d):
 def pii_email_ip(spark, d):
     """E-mail addresses and IPv4 shapes in place, from built-in functions alone."""
     email, ip = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,7})", r"((?:[0-9]{1,3}\.){3}[0-9]{1,3})"
-    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda x, n=n: F.struct(F.lit(n).alias("type"), x.alias("raw"))) for n, p in (("EMAIL", email), ("IP_ADDRESS", ip))])
+    named = lambda name, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(name).alias("type"), x.alias("raw")))
+    found = F.concat(named("EMAIL", email), named("IP_ADDRESS", ip))
     return _t(spark, d, "documents").select("doc_id", F.inline(found))
 
 
@@ -534,9 +535,9 @@ def stream_ledger_counts(spark, d):
     """Event counts as a stream with a watermark, in complete mode."""
     at, name = _scratch(spark), "counts_" + uuid.uuid4().hex
     schema = _t(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     streams.event_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query
