@@ -488,7 +488,7 @@ def _decode_frames(buf: np.ndarray, body: np.ndarray, kind: np.ndarray, size: np
     coef = np.zeros((most, lanes), np.int32)
     shift = np.zeros(lanes, np.int32)
     for o, values in FIXED.items():
-        for j, v in enumerate(values):
+        for j, v in enumerate(values[:most]):
             coef[j, fixed & (order == o)] = v
     if linear.any():
         precision = _fields(buf, pos, 4) + 1

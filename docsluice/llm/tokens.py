@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from .common import gathered, split_words
 
 END_ID = 1
-MEMORY_WORDS = 1_000_000  # words whose ids a worker keeps, about 200 MB
-SLICE = 8 << 20
+MEMORY_WORDS = 300_000  # words of one generation; a worker keeps two, about 120 MB
+SLICE = 6 << 20
 #: How the byte-level model writes bytes as characters: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -44,6 +44,7 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> "WordTokenizer":
@@ -68,22 +69,27 @@ class WordTokenizer:
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}  # words not met again for a generation go
+        known, older = self.known, self.older
         each = list(map(known.get, words))
-        new = [i for i, v in enumerate(each) if v is None]
+        new = []
+        for i, v in enumerate(each):
+            if v is None:
+                w = words[i]
+                got = older.get(w)
+                if got is None:
+                    new.append(i)
+                else:
+                    known[w] = each[i] = got
         fresh, split = [], []
         for i in new:
             w = words[i]
             # a letter and one comma or full stop are separate tokens
             if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
                 split.append(i)
-                if w[:-1] not in known:
-                    fresh.append(w[:-1])
+                fresh += [x for x in (w[:-1], w[-1]) if x not in known]
             else:
                 fresh.append(w)
-        if split:
-            fresh += [c for c in ",." if c not in known]
         if fresh:
             self._encode(list(dict.fromkeys(fresh)))
         for i in split:
