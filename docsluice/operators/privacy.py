@@ -117,7 +117,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """
     names = df.columns
     extra = ("redacted_text", "entities", "token_map", "redact_error")
-    schema = df.select("*", F.lit("").alias("redacted_text"), F.lit(None).cast(f"array<{ENTITY}>").alias("entities"), F.lit(None).cast("map<string,string>").alias("token_map"), F.lit(None).cast("string").alias("redact_error")).schema
+    schema = df.select("*", F.lit(None).cast("string").alias("redacted_text"), F.lit(None).cast(f"array<{ENTITY}>").alias("entities"), F.lit(None).cast("map<string,string>").alias("token_map"), F.lit(None).cast("string").alias("redact_error")).schema
     entity = pa.struct([("id", pa.string()), ("type", pa.string()), ("raw", pa.string()), ("token", pa.string()), ("start_index", pa.int32()), ("end_index", pa.int32()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

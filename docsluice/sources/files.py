@@ -69,7 +69,7 @@ def pdf_text(content: bytes) -> str:
 
 def _pdf_texts(df: DataFrame) -> DataFrame:
     names = df.columns
-    schema = df.select("*", F.lit("").alias("pdf")).schema
+    schema = df.select("*", F.lit(None).cast("string").alias("pdf")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
