@@ -525,7 +525,7 @@ def stream_ingest_dedup(spark, d):
     """The documents as a file stream, deduplicated against what earlier batches wrote."""
     at = _scratch(spark)
     schema = _t(spark, d, "documents").schema
-    raw = collection.from_documents(spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d))
+    raw = collection.from_documents(spark.readStream.schema(schema).parquet(f"{d}/[d]ocuments.parquet"))
     streams.ingest_stream(raw, f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/table").select("doc_key", "row_id", "sha256")
 
@@ -535,7 +535,7 @@ def stream_ledger_counts(spark, d):
     """Event counts as a stream with a watermark, in complete mode."""
     at, name = _scratch(spark), "counts_" + uuid.uuid4().hex
     schema = _t(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     streams.event_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
