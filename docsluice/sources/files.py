@@ -99,6 +99,7 @@ def load(files: DataFrame, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHAR
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """All files under a folder. Spark's listing leaves out files of 0 bytes; ``load`` marks them EMPTY where rows come from elsewhere."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return load((reader.option("pathGlobFilter", glob) if glob else reader).load(path))
 

@@ -207,7 +207,9 @@ def test_files(spark, tmp_path):
     for n, data in given.items():
         (tmp_path / n).write_bytes(data)
     got = {r["name"]: (r["text"], r["load_error"]) for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("hi\nyou", None), "b.txt": ("né", None), "c.md": ("café", None), "d.txt": (None, "EMPTY"), "e.exe": (None, "UNSUPPORTED"), "f.pdf": (None, "CORRUPT_PDF"), "g.pdf": ("Hello (PDF) A more text", None), "h.csv": (None, "WHITESPACE")}
+    assert got == {"a.txt": ("hi\nyou", None), "b.txt": ("né", None), "c.md": ("café", None), "e.exe": (None, "UNSUPPORTED"), "f.pdf": (None, "CORRUPT_PDF"), "g.pdf": ("Hello (PDF) A more text", None), "h.csv": (None, "WHITESPACE")}
+    bare = spark.createDataFrame([("d.txt", 0, b""), ("e.txt", 9, b"too large")], "path string, length bigint, content binary")
+    assert {r["name"]: r["load_error"] for r in files.load(bare, max_bytes=8).collect()} == {"d.txt": "EMPTY", "e.txt": "TOO_LARGE"}
 
 
 def test_settings(tmp_path):
