@@ -19,9 +19,9 @@ CLOSE = 2e-6  # ranks go by six places; what is this near to the kth score is ke
 def slot_weights(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, slot, weight) before normalising: each word adds +-(1 + 1/(place+1)), each pair of neighbours +-1.5.
 
-    Rows are dealt by key once; both groupings reuse that.
+    Texts are dealt by key before they are taken apart; both groupings reuse that.
     """
-    words = rows.select(key, T.content_words(F.col(text)).alias("words"))
+    words = rows.select(key, text).repartition(key).select(key, T.content_words(F.col(text)).alias("words"))
     # each word with the pair before it, words[i-1]_words[i]; the shifted array keeps this linear
     shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
     words = words.select(key, F.zip_with("words", shifted, lambda w, p: F.struct(w.alias("word"), F.concat(p, F.lit("_"), w).alias("pair"))).alias("items"))
@@ -30,7 +30,7 @@ def slot_weights(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     one = F.struct(V.hex_slot(m, 32, dim).alias("slot"), (V.hex_sign(m, 32) * (1 + 1 / (F.col("pos") + 1))).alias("w"))
     two = F.struct(V.hex_slot(s, 40, dim).alias("slot"), (V.hex_sign(s, 40) * 1.5).alias("w"))
     both = F.when(F.col("pair").isNull(), F.array(one)).otherwise(F.array(one, two))
-    return pairs.select(key, F.inline(both)).repartition(key).groupBy(key, "slot").agg(F.sum("w").alias("weight"))
+    return pairs.select(key, F.inline(both)).groupBy(key, "slot").agg(F.sum("w").alias("weight"))
 
 
 def embed(rows: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
