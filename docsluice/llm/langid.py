@@ -1,9 +1,11 @@
 """Language by compression: the raw-content dictionary that makes a text smallest names its language.
 
 Each language's dictionary is plain training text. zstandard compresses the
-whole text once with each dictionary; the smallest result wins. ``margin`` is
-the gap between the two smallest as a share of the second. A text is rejected
-where the margin is below ``reject_margin``, or where it has no letter.
+whole text with each dictionary; the smallest result wins. A long text goes as
+consecutive blocks, each of which starts from the dictionary again: together
+they fit the window, so every byte is compared, and the sizes are summed.
+``margin`` is the gap between the two smallest as a share of the second. A text
+is rejected where the margin is below ``reject_margin``, or where it has no letter.
 
 Training reads a bounded sample: whole distinct texts in the order of their
 hash until a language has ``DICT_BYTES``. Everything else covers all rows.
@@ -25,6 +27,7 @@ from .common import doc_fold, modest, slices
 DICT_BYTES = 96 << 10  # training text kept for a language
 TEXT_BYTES = 8 << 10  # longer texts are not taken into a dictionary
 SAMPLE_ROWS = 400  # rows sought for a language before the byte limit cuts
+BLOCK_BYTES = 64 << 10  # with the dictionary well inside the window of 256 KB
 LEVEL = 9
 SHORT_BYTES, SHORT_LEVEL, TURNS = 400, 12, 8
 MIN_MATCH = 3
@@ -81,6 +84,13 @@ def turns(data: bytes) -> list[bytes]:
     return [b" ".join(words[i:] + words[:i]) for i in starts]
 
 
+def blocks(data: bytes) -> list[bytes]:
+    """The whole text in consecutive parts of about one size, none above BLOCK_BYTES."""
+    n = -(-len(data) // BLOCK_BYTES)
+    cuts = [i * len(data) // n for i in range(n + 1)]
+    return [data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def judge(text: str | None, models: list, reject_margin: float = REJECT_MARGIN) -> tuple[str, float, float, bool]:
     """Language, score, margin, rejected. Ties go to the name first in order."""
     if not text or not models or not any(map(str.isalpha, text)):
@@ -90,7 +100,8 @@ def judge(text: str | None, models: list, reject_margin: float = REJECT_MARGIN)
         forms = turns(data)
         sizes = sorted((sum(len(c.compress(f)) for f in forms) / len(forms), name) for name, _, c in models)
     else:
-        sizes = sorted((len(c.compress(data)), name) for name, c, _ in models)
+        parts = blocks(data)
+        sizes = sorted((sum(len(c.compress(p)) for p in parts), name) for name, c, _ in models)
     best = sizes[0][0]
     margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
     score = 1.0 / sum(math.exp((best - s) / SOFTNESS) for s, _ in sizes)

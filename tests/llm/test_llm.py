@@ -95,6 +95,25 @@ def test_languages(docs, none):
     assert len({r["doc_id"] for r in langid.stage(docs.sparkSession, docs, "").collect()} & set(want)) >= 58
 
 
+def long_words(seed, letters, n_words=3000):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n_words)]
+    return lambda n_bytes: " ".join(r.choice(vocab) for _ in range(n_bytes // 6))
+
+
+def test_language_of_long_texts():
+    """Every part of a long text counts, and its length does not wear the margin away."""
+    en, de = long_words(1, "etaoinshrdlu"), long_words(2, "enisratdhulc")
+    models = langid.compressors({"en": en(langid.DICT_BYTES).encode()[: langid.DICT_BYTES], "de": de(langid.DICT_BYTES).encode()[: langid.DICT_BYTES]})
+    short = langid.judge(de(60_000), models)
+    for size in (2 << 20, 5 << 20):
+        lang, _, margin, rejected = langid.judge(de(size), models)
+        assert (lang, rejected) == ("de", False) and margin > short[2] / 2
+    assert langid.judge(en(300_000) + " " + de(900_000), models)[0] == "de"
+    text = de(300_000).encode()
+    assert b"".join(langid.blocks(text)) == text and max(map(len, langid.blocks(text))) <= langid.BLOCK_BYTES
+
+
 # ---- tokens and packing
 
 
