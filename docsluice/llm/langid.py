@@ -7,8 +7,10 @@ they fit the window, so every byte is compared, and the sizes are summed.
 ``margin`` is the gap between the two smallest as a share of the second. A text
 is rejected where the margin is below ``reject_margin``, or where it has no letter.
 
-Training reads a bounded sample: whole distinct texts in the order of their
-hash until a language has ``DICT_BYTES``. Everything else covers all rows.
+Training reads a bounded sample: distinct texts of any length in the order of
+their hash until a language has ``DICT_BYTES``; a text above ``TEXT_BYTES``
+gives a piece of that size from a place that its hash names. So each language
+with a labelled text has a dictionary. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import doc_fold, modest, slices
 
 DICT_BYTES = 96 << 10  # training text kept for a language
-TEXT_BYTES = 8 << 10  # longer texts are not taken into a dictionary
-SAMPLE_ROWS = 400  # rows sought for a language before the byte limit cuts
+TEXT_BYTES = 8 << 10  # what one text gives to a dictionary at most
+SAMPLE_ROWS = 400  # distinct texts sought for a language before the byte limit cuts
 BLOCK_BYTES = 64 << 10  # with the dictionary well inside the window of 256 KB
 LEVEL = 9
 SHORT_BYTES, SHORT_LEVEL, TURNS = 400, 12, 8
@@ -39,22 +41,24 @@ SOFTNESS = 3.0  # bytes by which a competitor may lose before its weight falls b
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionary of each language from rows with text and language.
 
-    The number of rows of each language is counted first; a threshold on the
-    text's hash then brings a few hundred rows a language to the driver, so
+    The distinct texts of each language are counted first, about; a threshold
+    on the text's hash then brings a few hundred a language to the driver, so
     the sample stays bounded at every size. Copies of a text count once.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.octet_length(text).between(1, TEXT_BYTES)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(v) for l, n in counts.items() for v in (l, min(1.0, SAMPLE_ROWS / n))])
     place = (F.col("h").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
-    sample = rows.where(place <= F.element_at(share, F.col("l"))).groupBy("l", "h").agg(F.min("t").alias("t"))
+    begin = F.pmod("h", F.greatest(F.length("t") - TEXT_BYTES, F.lit(0)) + 1) + 1
+    piece = F.substring("t", begin.cast("int"), F.lit(TEXT_BYTES))
+    sample = rows.where(place <= F.element_at(share, F.col("l"))).select("l", "h", piece.alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
     out: dict[str, bytes] = {}
     for r in sample.orderBy("l", "h").toLocalIterator():
         have = out.setdefault(r["l"], b"")
         if len(have) < DICT_BYTES:
-            out[r["l"]] = have + letters(r["t"])[: DICT_BYTES - len(have)] + b"\n"
+            out[r["l"]] = have + letters(r["t"])[: min(TEXT_BYTES, DICT_BYTES - len(have))] + b"\n"
     return out
 
 

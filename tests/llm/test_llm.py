@@ -114,6 +114,17 @@ def test_language_of_long_texts():
     assert b"".join(langid.blocks(text)) == text and max(map(len, langid.blocks(text))) <= langid.BLOCK_BYTES
 
 
+def test_every_labelled_language_trains(spark):
+    """Also one that has long texts only, and one of a single text in many copies whose hash is a high one."""
+    en, de, fr = long_words(1, "etaoinshrdlu"), long_words(2, "enisratdhulc"), long_words(3, "esaitnrulodc")
+    copies = spark.createDataFrame([(fr(3000),) for _ in range(40)], "t string").orderBy(F.xxhash64("t").desc()).first()["t"]
+    rows = [(en(2000), "en") for _ in range(20)] + [(de(40_000), "de") for _ in range(5)] + [(copies, "fr")] * 2000 + [("", "xx"), (None, "yy"), ("text", None)]
+    models = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(models) == ["de", "en", "fr"]
+    assert 4 * langid.TEXT_BYTES < len(models["de"]) <= 5 * (langid.TEXT_BYTES + 1) and len(models["fr"]) == len(copies) + 1
+    assert langid.judge(de(20_000), langid.compressors(models))[0] == "de"
+
+
 # ---- tokens and packing
 
 
