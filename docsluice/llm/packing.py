@@ -1,9 +1,10 @@
 """Packing of token pieces into sequences: best fit first, then swap-based local search.
 
 Pieces are dealt at random into groups of bounded size. A group is packed best
-fit decreasing, and local search then works on its underfull bins: it moves a
-piece, exchanges one for one, two for one or one for two, whenever that raises
-the sum of squared fills; the least filled bin empties and goes. Bins that
+fit decreasing, and local search then works on its underfull bins: it gives one
+piece or two for none, one or two of any fuller bin, which raises the sum of
+squared fills; a bin that empties goes. It ends where the lower bound is met or
+full passes over all underfull bins empty none. Bins that
 stay below OPEN_SHARE return to a pool that is packed again in fewer groups,
 so all groups together waste about what one would.
 
@@ -13,6 +14,7 @@ Repeated rows are pieces of their own. An empty table gives no row.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +31,6 @@ CAPACITY = 4096
 GROUP_PIECES = 32_768
 OPEN_SHARE = 0.985
 MAX_ROUNDS = 6
-SEARCH_BINS = 48  # underfull bins that one emptying attempt looks at
-SEARCH_ATTEMPTS = 64
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -85,69 +85,107 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _improve(giver: list[int], taker: list[int], lengths: list[int], room: int) -> int:
-    """The exchange that moves most into ``taker``, at most ``room``; it raises the squared fill as the taker is the fuller one. Returns the amount."""
-    best, out, back = 0, (), ()
-    for i, g in enumerate(giver):
-        n = lengths[g]
-        if best < n <= room:  # move
-            best, out, back = n, (g,), ()
-        for j, t in enumerate(taker):
-            gain = n - lengths[t]
-            if best < gain <= room:  # one for one
-                best, out, back = gain, (g,), (t,)
-            for u in taker[j + 1 :]:  # one for two
-                gain = n - lengths[t] - lengths[u]
-                if best < gain <= room:
-                    best, out, back = gain, (g,), (t, u)
-        for h in giver[i + 1 :]:  # two for one
-            for t in taker:
-                gain = n + lengths[h] - lengths[t]
-                if best < gain <= room:
-                    best, out, back = gain, (g, h), (t,)
-        if best == room:
-            break
-    for x in out:
-        giver.remove(x)
-        taker.append(x)
-    for x in back:
-        taker.remove(x)
-        giver.append(x)
-    return best
+def _offers(members: list[int], lengths: list[int]) -> dict[int, tuple[int, ...]]:
+    """One piece or two of a bin for each sum of lengths that they can have."""
+    one = {lengths[i]: i for i in members}
+    twice = {n: [i for i in members if lengths[i] == n][:2] for n in one} if len(one) < len(members) else {}
+    out = {n + m: (i, j) for (n, i), (m, j) in itertools.combinations(one.items(), 2)}
+    out.update({2 * n: tuple(x) for n, x in twice.items() if len(x) == 2})
+    out.update({n: (i,) for n, i in one.items()})
+    return out
+
+
+class _Underfull:
+    """What each underfull bin can give back (nothing, a piece, two), in flat arrays over all bins."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int, fill: dict[int, int]):
+        self.bins, self.lengths, self.capacity, self.fill = bins, lengths, capacity, fill
+        self.room = np.zeros(len(bins), np.int64)
+        self.spans: dict[int, tuple[int, int]] = {}
+        self.back: dict[int, list[tuple[int, ...]]] = {}
+        self.sums, self.of, self.end = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        for b in fill:
+            self.put(b)
+
+    def put(self, b: int) -> None:
+        """Take up bin ``b`` as it is now."""
+        if b in self.spans:
+            self.of[slice(*self.spans.pop(b))] = -1
+        self.room[b] = self.capacity - self.fill[b] if b in self.fill else 0
+        if not self.room[b]:
+            return
+        offers = {0: ()} | _offers(self.bins[b], self.lengths)
+        n = len(offers)
+        if self.end + n > len(self.sums):
+            self._compact(n)
+        self.spans[b], self.back[b] = (self.end, self.end + n), list(offers.values())
+        self.sums[self.end : self.end + n], self.of[self.end : self.end + n] = list(offers), b
+        self.end += n
+
+    def _compact(self, n: int) -> None:
+        live = np.flatnonzero(self.of[: self.end] >= 0)
+        size = max(1 << 12, 2 * (len(live) + n))
+        sums, of = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        sums[: len(live)], of[: len(live)] = self.sums[live], self.of[live]
+        self.spans = {b: (int(np.searchsorted(live, a)), int(np.searchsorted(live, z))) for b, (a, z) in self.spans.items()}
+        self.sums, self.of, self.end = sums, of, len(live)
+
+    def give(self, giver: int, exact: bool) -> bool:
+        """One exchange that moves pieces from ``giver`` into a bin at least as full; false if there is none.
+
+        ``exact`` takes the one that leaves the taker the least room, which
+        keeps wide rooms for the last pieces; otherwise the one that moves most.
+        """
+        of, sums = self.of[: self.end], self.sums[: self.end]
+        most = np.where(self.room <= self.room[giver], self.room, 0)
+        most[giver] = 0
+        most = np.where(of >= 0, most[of], 0)
+        seen = np.flatnonzero(most)
+        if not len(seen):
+            return False
+        most, sums = most[seen], sums[seen]
+        best, value, out, at = 0, -self.capacity, (), -1
+        for n, x in sorted(_offers(self.bins[giver], self.lengths).items(), reverse=True):
+            gain = n - sums
+            worth = np.where((gain > 0) & (gain <= most), gain - most if exact else gain, -self.capacity)
+            k = int(worth.argmax())
+            if worth[k] > value:
+                best, value, out, at = int(gain[k]), int(worth[k]), x, k
+                if exact and value == 0:
+                    break
+        if not best:
+            return False
+        taker = int(of[seen[at]])
+        back = self.back[taker][int(seen[at]) - self.spans[taker][0]]
+        self.bins[giver] = [i for i in self.bins[giver] if i not in out] + list(back)
+        self.bins[taker] = [i for i in self.bins[taker] if i not in back] + list(out)
+        self.fill[giver] -= best
+        self.fill[taker] += best
+        self.put(taker)
+        self.put(giver)
+        return True
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty bins one after another until the lower bound is met or no attempt succeeds."""
-    total = sum(lengths)
-    least = -(-total // capacity)
+    """Empty bins one after another until the lower bound is met or full passes over all underfull ones empty none."""
+    least = -(-sum(lengths) // capacity)
     fill = {b: sum(lengths[i] for i in x) for b, x in enumerate(bins)}
-    stuck: set[int] = set()
-    for _ in range(SEARCH_ATTEMPTS):
-        if len(fill) <= least:
-            break
-        loose = sorted((b for b in fill if fill[b] < capacity and len(bins[b]) <= 64), key=lambda b: (fill[b], b))
-        giver = next((b for b in loose if b not in stuck), None)
-        if giver is None:
-            break
-        takers = [b for b in loose if b != giver][:SEARCH_BINS]
-        moved = True
-        while moved and bins[giver]:
-            moved = False
-            for b in sorted(takers, key=lambda b: (-fill[b], b)):
-                if fill[b] < fill[giver] or fill[b] == capacity:
-                    continue
-                n = _improve(bins[giver], bins[b], lengths, capacity - fill[b])
-                if n:
-                    fill[b] += n
-                    fill[giver] -= n
-                    moved = True
-                if not bins[giver]:
+    if len(fill) <= least:
+        return bins
+    bins = [list(x) for x in bins]
+    state, idle, exact = _Underfull(bins, lengths, capacity, fill), 0, True
+    while idle < 2 and len(fill) > least:  # a pass of each kind in turn
+        idle += 1
+        for giver in sorted((b for b in fill if fill[b] < capacity), key=lambda b: (fill[b], b)):
+            while bins[giver] and state.give(giver, exact):
+                pass
+            if not bins[giver]:
+                del fill[giver]
+                state.put(giver)
+                idle = 0
+                if len(fill) <= least:
                     break
-        if bins[giver]:
-            stuck.add(giver)
-        else:
-            del fill[giver]
-            stuck.clear()
+        exact = not exact
     return [bins[b] for b in fill]
 
 

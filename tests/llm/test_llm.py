@@ -190,6 +190,16 @@ def test_local_search_empties_bins():
     assert len(bins) == 2 and sorted(itertools.chain(*bins)) == list(range(6))
 
 
+def test_local_search_looks_at_all_underfull_bins():
+    r = random.Random(7)
+    lengths = [r.randint(700, 1500) for _ in range(3000)]
+    bins = packing.local_search(packing.best_fit(lengths, 4096), lengths, 4096)
+    assert len(bins) <= 1.01 * sum(lengths) / 4096 + 1  # best fit alone: 4.6 % above
+    assert sorted(itertools.chain(*bins)) == list(range(3000)) and all(sum(lengths[i] for i in x) <= 4096 for x in bins)
+    lengths = [13] * 140 + [90, 90]  # bins of many pieces take part
+    assert len(packing.local_search([list(range(70)), list(range(70, 140)), [140, 141]], lengths, 1000)) == 2
+
+
 # ---- Jaccard
 
 
