@@ -56,10 +56,10 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     coded = flat.dictionary_encode()
     known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     h = known[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.uint64)
-    total = len(h)
-    full = np.full(max(0, total - words + 1), words, np.uint64)
+    most = max(0, len(h) - words + 1)
+    full = np.full(most, words, np.uint64)
     for j in range(words):
-        full = mix64(full * _ODD + h[j : total - words + 1 + j])
+        full = mix64(full * _ODD + h[j : j + most])
     out, at = [], 0
     for n in counts.tolist():
         if n >= words:

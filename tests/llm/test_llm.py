@@ -230,6 +230,16 @@ def test_jaccard(docs, n, t):
     assert len(rows) == len(corpus())
 
 
+@pytest.mark.parametrize("words", range(8))
+def test_shingles_of_few_words(words):
+    """Slices that hold fewer words than a shingle has."""
+    text = " ".join("abcdefgh"[:words])
+    sets = jaccard.shingle_sets(pa.array(["", text, None]), 5)
+    assert [len(s) for s in sets] == [0, max(min(words, 1), words - 4), 0]
+    if words:
+        assert sets[1].tolist() == jaccard.shingle_sets(pa.array([text, "some other text of many words"]), 5)[0].tolist()
+
+
 def test_jaccard_blocks_of_large_clusters(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
     rows = jaccard.jaccard_components(docs, words=5, threshold=(4, 5)).collect()
