@@ -5,13 +5,17 @@ target URI, date and payload digest. Expressions are built in, so the work
 stays in the JVM and DuckDB can say the same.
 
 A response's block may begin with an HTTP header (``HTTP/1.x`` line up to the
-first empty line); its status line and content type go into the metadata, and
-only what follows is the payload. Record ids are made from the kind, the page,
-the URI and the payload digest, so a rerun gives the same ids.
+first empty line); its status, content type and then all its fields
+(``http-header-`` and the name, in their order) go into the metadata, and
+only what follows is the payload. The source's own record id, date, payload
+digest and block digest are kept where columns name them; where they are null
+or there are none, id, date and payload digest are made up. Record ids are made
+from the kind, the page, the URI and the payload digest, and from the source's
+id where it is given, so a rerun gives the same ids.
 
 Defined cases: null URLs and null bodies count as empty; a page without either
 still gives both records, of empty blocks' lengths. Repeated rows repeat their
-records. No other column is read.
+records. No column is read but those named.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ BREAK = r"(?i)<(br|p|/p|div|/div|li|/li|tr|/tr|h[1-6]|/h[1-6])\b[^>]*>"
 TAG = r"<[^>]*>"
 TITLE = rf"(?is)<title\b[^>]*>(.*?)</title{S}*>"
 LINK = r"""(?i)<a\b[^>]*\bhref=["']?([^"' >]+)"""
+FIELD = r"(?m)^([^\r\n:]+):[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]*)*)"
 HEAD = r"(?s)^HTTP/1\.[01] .*?\r?\n\r?\n"
 #: Entities that are resolved, in this order; the ampersand comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -50,29 +55,39 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def derivatives(responses: DataFrame, key: str = "page_id", uri: str = "url", block: str = "html", date: str = DATE) -> DataFrame:
-    """Two rows for each response: key, warc_type, record_id, refers_to, header (text), block (text) and their digests."""
-    base = responses.select(F.col(key).alias("key"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), F.coalesce(F.col(block), F.lit("")).alias("raw"))
-    base = base.select("key", "uri", "raw", F.regexp_extract("raw", HEAD, 0).alias("http"))
-    base = base.select("key", "uri", "http", F.expr("substr(raw, length(http) + 1)").alias("body"))
-    base = base.select("*", F.concat(F.lit("sha256:"), F.sha2("body", 256)).alias("payload_digest"), F.coalesce(F.col("key").cast("string"), F.lit("")).alias("k"))
-    base = base.select("*", _uuid(F.lit("response"), F.col("k"), F.col("uri"), F.col("payload_digest")).alias("source_id"), plain_text(F.col("body")).alias("text"))
+def derivatives(responses: DataFrame, key: str = "page_id", uri: str = "url", block: str = "html", date: str = DATE, source_id: str | None = None, source_date: str | None = None, source_payload_digest: str | None = None, source_block_digest: str | None = None) -> DataFrame:
+    """Two rows for each response: key, warc_type, record_id, refers_to, header (text), block (text) and their digests.
+
+    The last four name columns of the source's WARC-Record-ID, WARC-Date,
+    WARC-Payload-Digest and WARC-Block-Digest, as text; the block digest goes
+    into the metadata.
+    """
+    given = {"given_id": source_id, "given_date": source_date, "given_payload": source_payload_digest, "source_block_digest": source_block_digest}
+    kept = [(F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in given.items()]
+    base = responses.select(F.col(key).alias("key"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), F.coalesce(F.col(block), F.lit("")).alias("raw"), *kept)
+    base = base.select("key", "uri", "raw", *given, F.regexp_extract("raw", HEAD, 0).alias("http"))
+    base = base.select("key", "uri", "http", *given, F.expr("substr(raw, length(http) + 1)").alias("body"))
+    base = base.select("*", F.coalesce("given_payload", F.concat(F.lit("sha256:"), F.sha2("body", 256))).alias("payload_digest"), F.coalesce(F.col("key").cast("string"), F.lit("")).alias("k"), F.coalesce("given_date", F.lit(date)).alias("date"))
+    base = base.select("*", F.coalesce("given_id", _uuid(F.lit("response"), F.col("k"), F.col("uri"), F.col("payload_digest"))).alias("source_id"), plain_text(F.col("body")).alias("text"))
     title = F.regexp_replace(F.regexp_extract("body", TITLE, 1), r"[ \t\r\n\f]+", " ")
     links = F.regexp_extract_all("body", F.lit(LINK), F.lit(1))
     status = F.regexp_extract("http", r"^HTTP/1\.[01] ([0-9]+)", 1)
     kind = F.regexp_extract("http", r"(?i)\ncontent-type: *([^\r\n]*)", 1)
+    names, values = (F.regexp_extract_all(F.regexp_replace("http", r"^[^\r\n]*", ""), F.lit(FIELD), F.lit(i)) for i in (1, 2))
+    fields = F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.concat(F.lit("\r\nhttp-header-"), F.trim(x["n"]), F.lit(": "), F.regexp_replace(x["v"], r"\r?\n[ \t]+", " ")))
     base = base.select("*", title.alias("title"), links.alias("links"), F.coalesce(F.nullif(status, F.lit("")), F.lit("200")).alias("status"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("text/html")).alias("kind"))
     meta = F.concat(
         F.lit("status: "), "status", F.lit("\r\ncontent-type: "), "kind", F.lit("\r\ntitle: "), "title", F.lit("\r\ntext-digest: sha256:"), F.sha2("text", 256),
-        F.concat_ws("", F.transform("links", lambda x: F.concat(F.lit("\r\noutlink: "), x))), F.lit("\r\n"),
+        F.concat_ws("", F.transform("links", lambda x: F.concat(F.lit("\r\noutlink: "), x))),
+        F.concat_ws("", fields), F.coalesce(F.concat(F.lit("\r\nsource-block-digest: "), "source_block_digest"), F.lit("")), F.lit("\r\n"),
     )
     one = lambda t, ct, b: F.struct(F.lit(t).alias("warc_type"), F.lit(ct).alias("content_type"), b.alias("block"))
-    rows = base.select("key", "uri", "payload_digest", "source_id", "k", F.size("links").cast("int").alias("n_links"), F.explode(F.array(one("metadata", "application/warc-fields", meta), one("conversion", "text/plain", F.col("text")))).alias("r"))
-    rows = rows.select("key", "uri", "payload_digest", "source_id", "k", "n_links", "r.*")
-    rows = rows.withColumn("record_id", _uuid(F.col("warc_type"), F.col("k"), F.col("uri"), F.col("payload_digest"))).withColumn("block_digest", F.concat(F.lit("sha256:"), F.sha2("block", 256))).withColumn("content_length", F.octet_length("block").cast("bigint"))
+    rows = base.select("key", "uri", "payload_digest", "source_id", "given_id", "date", "k", F.size("links").cast("int").alias("n_links"), F.explode(F.array(one("metadata", "application/warc-fields", meta), one("conversion", "text/plain", F.col("text")))).alias("r"))
+    rows = rows.select("key", "uri", "payload_digest", "source_id", "given_id", "date", "k", "n_links", "r.*")
+    rows = rows.withColumn("record_id", _uuid(F.col("warc_type"), F.col("k"), F.col("uri"), F.col("payload_digest"), F.col("given_id"))).withColumn("block_digest", F.concat(F.lit("sha256:"), F.sha2("block", 256))).withColumn("content_length", F.octet_length("block").cast("bigint"))
     line = lambda n, v: F.concat(F.lit(n + ": "), v, F.lit("\r\n"))
     header = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.col("uri")), line("WARC-Refers-To", F.col("source_id")),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("uri")), line("WARC-Refers-To", F.col("source_id")),
         line("WARC-Payload-Digest", F.col("payload_digest")), line("WARC-Block-Digest", F.col("block_digest")), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length").cast("string")), F.lit("\r\n"),
     )
     return rows.select(F.col("key").alias(key), "warc_type", "record_id", F.col("source_id").alias("refers_to"), F.col("uri").alias("target_uri"), "content_type", "content_length", "block_digest", "payload_digest", "n_links", header.alias("header"), "block")

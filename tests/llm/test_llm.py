@@ -397,6 +397,23 @@ def test_warc(spark):
     assert by[2, "conversion"]["content_length"] == 0
 
 
+def test_warc_keeps_the_source(spark):
+    http = "HTTP/1.1 200 OK: yes\r\nServer: x/1\r\nContent-Type: text/html\r\nLast-Modified: Mon, 01 Jan 2024 10:00:00 GMT\r\nSet-Cookie: a=1\r\nset-cookie:b=2\r\nX-Long: one\r\n two\r\nX-Empty:\r\n\r\n<p>Not: a header"
+    cols = "page_id bigint, url string, html string, id string, at string, payload string, block string"
+    df = spark.createDataFrame([(1, "u", http, "<urn:uuid:1>", "2020-02-02T02:02:02Z", "sha1:P", "sha1:B"), (1, "u", http, "<urn:uuid:2>", None, "sha1:P", None), (2, "u", http, None, None, None, None)], cols)
+    rows = warc.derivatives(df, source_id="id", source_date="at", source_payload_digest="payload", source_block_digest="block").collect()
+    by = {(r["refers_to"], r["warc_type"]): r for r in rows}
+    full = by["<urn:uuid:1>", "metadata"]
+    assert [x for x in full["block"].split("\r\n") if x.startswith(("http-", "source-", "content-"))] == ["content-type: text/html", "http-header-Server: x/1", "http-header-Content-Type: text/html", "http-header-Last-Modified: Mon, 01 Jan 2024 10:00:00 GMT", "http-header-Set-Cookie: a=1", "http-header-set-cookie: b=2", "http-header-X-Long: one two", "http-header-X-Empty: ", "source-block-digest: sha1:B"]
+    for kind in ("metadata", "conversion"):
+        head = by["<urn:uuid:1>", kind]["header"]
+        assert all(x in head for x in ("WARC-Date: 2020-02-02T02:02:02Z\r\n", "WARC-Refers-To: <urn:uuid:1>\r\n", "WARC-Payload-Digest: sha1:P\r\n"))
+        assert f"WARC-Date: {warc.DATE}\r\n" in by["<urn:uuid:2>", kind]["header"]
+    assert len({r["record_id"] for r in rows}) == 6
+    plain = {(r["warc_type"], r["record_id"], r["header"], r["block"]) for r in warc.derivatives(df.where("page_id = 2")).collect()}
+    assert plain == {(r["warc_type"], r["record_id"], r["header"], r["block"]) for r in rows if r["page_id"] == 2}
+
+
 def test_mixing(none, spark):
     r = random.Random(6)
     given = [(i, "w " * r.choice([20, 300, 1500]), r.choice(["en", "de", None]), r.choice(["hot", "hot", "s1", "s2"]), 0) for i in range(400)]
