@@ -159,8 +159,9 @@ def resolved(spans: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(kind), step)
 
 
+ALL_RULES = tuple((i, kind, p) for i, (kind, p, *_) in enumerate(RULES))
 #: Rules without lookaround, which any engine can count: all but five.
-PLAIN_RULES = tuple((i, kind, p) for i, (kind, p, *_) in enumerate(RULES) if "(?=" not in p and "(?!" not in p)
+PLAIN_RULES = tuple(r for r in ALL_RULES if "(?=" not in r[2] and "(?!" not in r[2])
 
 
 def ascii_pattern(p: str) -> str:
@@ -168,10 +169,10 @@ def ascii_pattern(p: str) -> str:
     return p.replace(r"[^\s", r"[^ \t\n\r\f\x0B").replace(r"\d", "[0-9]")
 
 
-def type_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, type, n): matches of the rules without lookaround by type, before overlaps are resolved. Built in; types without a match give no row."""
+def type_counts(df: DataFrame, key: str, text: str = "text", rules: tuple = ALL_RULES) -> DataFrame:
+    """(key, type, n): matches of the rules by type, before overlaps are resolved. Built in; types without a match give no row."""
     by_type: dict[str, list[Column]] = {}
-    for _, kind, p in PLAIN_RULES:
+    for _, kind, p in rules:
         by_type.setdefault(kind, []).append(F.regexp_count(text, F.lit(ascii_pattern(p))))
     rows = [F.struct(F.lit(kind).alias("type"), sum(cs[1:], cs[0]).cast("bigint").alias("n")) for kind, cs in by_type.items()]
     return df.select(key, F.inline(F.array(*rows))).where(F.col("n") > 0)

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,17 @@ def test_ledger_stream_extends_chains(spark, tmp_path):
     append(events.where("idx >= 12"), 1)  # a batch that runs again
     stored = spark.read.parquet(target).drop("batch")
     assert stored.orderBy("idx").select("idx", "current_hash").collect() == chain.orderBy("idx").select("idx", "current_hash").collect()
+
+
+def test_type_counts_of_all_rules(spark):
+    """Also the rules with lookaround, against Python's engine."""
+    texts = ["Dr. Anna Smith at noon, Mrs Jane Doe", "Patient Name: John Roe\nAccession No: 12345678 WARD 3", "Collected at: 12 Main Hall, North\nReferred by: City Clinic : x", "mail a.b@c.org, MRN: 1234-5678-AB", "", None]
+    rows = privacy.type_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id").collect()
+    want = {}
+    for i, t in enumerate(texts):
+        for kind, p, *_ in privacy.RULES:
+            n = len(list(re.finditer(p, t or "")))
+            if n:
+                want[i, kind] = want.get((i, kind), 0) + n
+    assert {(r["doc_id"], r["type"]): r["n"] for r in rows} == want
+    assert {(0, "NAME"), (1, "NAME"), (1, "MRN"), (2, "ADDRESS")} <= set(want)
