@@ -299,75 +299,124 @@ def test_top_k_over_blocks(spark, monkeypatch):
 # ---- language model
 
 
-def test_context_tree_is_a_distribution():
-    words = [b"ab", b"abc", b"b"]
-    each, end = ctw.score_words([*words, b"zz"], np.array([5, 2, 1, 0]), 3)
-    assert sum(10**x for x in each) + 10**end < 1
-    assert each[0] > each[3]
-
-
-def test_subtree_against_recursion():
-    """Weights and estimates of a small tree by the definition."""
-    words, counts, ends = [b"aa", b"ab", b"ba"], [3, 2, 1], 2
-    streams = [(b"aa ", 3), (b"ab ", 2), (b"ba ", 1), (b"\n", 2)]
-    nodes = {}
-    for s, c in streams:
-        for i, byte in enumerate(s):
-            ctx = [s[i - 1 - d] if d < i else (0x20 if d == i else 0) for d in range(ctw.DEPTH)]
+def plain_stream(text):
+    return "".join(w + " " for w in WORD.findall(low(text))).encode() + b"\n"
+
+
+def plain_tree_scores(texts, train, depth):
+    """The model by its definition: a dictionary of nodes, recursion over the tree."""
+    nodes, kids, weights = {}, {}, {}
+
+    def decisions(text):
+        s = bytes(depth - 1) + b"\n" + plain_stream(text)
+        for i in range(depth, len(s)):
             for bit in range(8):
-                for d in range(ctw.DEPTH + 1):
-                    k = (tuple(ctx[:d]), bit, byte >> (8 - bit))
-                    nodes.setdefault(k, [0, 0])[byte >> (7 - bit) & 1] += c
+                yield s[i - depth : i][::-1], (bit, s[i] >> (8 - bit)), s[i] >> (7 - bit) & 1
 
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    for text in itertools.compress(texts, train):
+        for context, place, one in decisions(text):
+            for d in range(depth + 1):
+                nodes.setdefault((context[:d], place), [0, 0])[one] += 1
+                if d:
+                    kids.setdefault((context[: d - 1], place), set()).add((context[:d], place))
 
-    def kids(k):
-        return [x for x in nodes if len(x[0]) == len(k[0]) + 1 and x[0][:-1] == k[0] and x[1:] == k[1:]]
+    def kt(k):
+        a, b = nodes[k]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
     def weighted(k):
-        return kt(*nodes[k]) if len(k[0]) == ctw.DEPTH else np.logaddexp(kt(*nodes[k]), sum(map(weighted, kids(k)))) - math.log(2)
-
-    def prob(ctx, bit, prefix, one):
-        k = (ctx, bit, prefix)
-        a = nodes[k]
-        own = (a[one] + 0.5) / (sum(a) + 1)
-        if len(ctx) == ctw.DEPTH:
+        if k not in weights:
+            weights[k] = kt(k) if len(k[0]) == depth else np.logaddexp(kt(k), sum(map(weighted, kids[k]))) - math.log(2)
+        return weights[k]
+
+    def prob(d, context, place, one):
+        k = (context[:d], place)
+        if k not in nodes:
+            return 0.5
+        own = (nodes[k][one] + 0.5) / (sum(nodes[k]) + 1)
+        if (context[: d + 1], place) not in nodes or d == depth:
             return own
-        below = sum(map(weighted, kids(k)))
-        share = 1 / (1 + math.exp(below - kt(*a)))
-        return share * own + (1 - share) * prob(full[: len(ctx) + 1], bit, prefix, one)
+        share = 1 / (1 + math.exp(min(700, sum(map(weighted, kids[k])) - kt(k))))
+        return share * own + (1 - share) * prob(d + 1, context, place, one)
 
-    got, end = ctw.score_words(words, np.array(counts), ends)
-    for s, value in ((b"aa ", got[0]), (b"ab ", got[1]), (b"ba ", got[2]), (b"\n", end)):
-        total = 0.0
-        for i, byte in enumerate(s):
-            full = tuple(s[i - 1 - d] if d < i else (0x20 if d == i else 0) for d in range(ctw.DEPTH))
-            total += sum(math.log10(prob((), bit, byte >> (8 - bit), byte >> (7 - bit) & 1)) for bit in range(8))
-        assert value == pytest.approx(total, abs=1e-9)
+    return [sum(math.log10(prob(0, *x)) for x in decisions(t)) for t in texts]
 
 
-def test_document_scores(docs, none):
-    rows = corpus()
-    train = [WORD.findall(low(t)) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+TEXTS = ["The cat sat on the mat", "the dog sat on the log", "a cat and a dog", "", None, "zebra wörd xx", "the the the cat", "a\x00b c", "mat the on sat cat the"]
+
+
+@pytest.mark.parametrize("chunk", [300_000, 20])
+def test_context_tree_against_its_definition(monkeypatch, chunk):
+    monkeypatch.setattr(ctw, "PART_BYTES", chunk)
+    train = [1, 1, 1, 1, 0, 0, 0, 1, 0]
+    got = ctw.score_texts(TEXTS, train)
+    assert got == pytest.approx(plain_tree_scores(TEXTS, train, ctw.DEPTH), abs=1e-8)
+    assert got[0] > got[8] + 1  # the same words in another order
+    assert ctw.score_texts(["x"], [False])[0] == pytest.approx(-24 * math.log10(2))  # x, blank, end: a bit for each decision
+    assert [b - a for a, b in ctw.chunks(np.repeat(np.arange(5), [3, 1, 4, 1, 5]).astype(np.uint32))] == [14]
+
+
+def test_chunks_keep_contexts_whole(monkeypatch):
+    monkeypatch.setattr(ctw, "CHUNK", 4)
+    near = np.repeat(np.arange(6), [3, 1, 9, 1, 2, 2]).astype(np.uint32)
+    parts = ctw.chunks(near)
+    assert [a for a, _ in parts[1:]] == [z for _, z in parts[:-1]] and parts[0][0] == 0 and parts[-1][1] == len(near)
+    assert all(near[z - 1] != near[z] for _, z in parts[:-1])
+    assert ctw.chunks(near[:0]) == []
+
+
+def test_order_of_entries():
+    r = np.random.default_rng(3)
+    high, far, byte = r.integers(0, 5, 5000).astype(np.uint32), r.integers(0, 7, 5000).astype(np.uint32) << 29, r.integers(0, 256, 5000).astype(np.uint8)
+    e = ctw.Entries(high, far, byte)
+    want = sorted(set(zip(high.tolist(), far.tolist(), byte.tolist())))
+    assert list(zip(e.near.tolist(), e.far.tolist(), e.byte.tolist())) == want
+    assert e.sums(np.ones(5000, int)).sum() == 5000
+    assert (e.back(e.byte) == byte).all() and (e.back(e.near) == high).all()
+    many = r.integers(0, 1 << 63, 3000).astype(np.uint64) // np.uint64(1 << 50)
+    distinct, back = ctw.grouped(many)
+    assert (distinct == np.unique(many)).all() and (distinct[back] == many).all()
+
+
+def check_scores(got, rows):
+    train = [WORD.findall(low(t)) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2 or i is None]
     count = {}
     for w in itertools.chain(*train):
         count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()) + len(train), len(count) + 1
-    vocab = sorted({w for _, t, *_ in rows for w in WORD.findall(low(t))})
-    each, end = ctw.score_words([w.encode() for w in vocab], np.array([count.get(w, 0) for w in vocab]), len(train))
-    score = dict(zip(vocab, each))
-    texts = {i: t for i, t, *_ in rows}
-    got = ctw.document_scores(docs).collect()
+    texts = sorted({t or "" for _, t, *_ in rows})
+    weight = [sum((t or "") == x and (i is None or zlib.crc32(str(i).encode()) % 7 != 2) for i, t, *_ in rows) for x in texts]
+    # a text that trains k times stands k times, one that only is scored once
+    each = ctw.score_texts([x for x, k in zip(texts, weight) for _ in range(max(k, 1))], [k > 0 for k in weight for _ in range(max(k, 1))])
+    score = dict(zip([x for x, k in zip(texts, weight) for _ in range(max(k, 1))], each))
+    of = {i: t for i, t, *_ in rows}
     assert len(got) == len(rows)
     for r in got:
-        w = WORD.findall(low(texts[r["doc_id"]]))
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) + 1, sum(x in count for x in w) + 1, n, zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+        w = WORD.findall(low(of[r["doc_id"]]))
+        held = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) + 1, sum(x in count for x in w) + 1, n, held)
         base = sum(math.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(sum(score[x] for x in w) + end, rel=1e-5)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score[of[r["doc_id"]] or ""], rel=1e-5)
+        size = len(plain_stream(of[r["doc_id"]]))
+        assert r["n_bytes"] == size and r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / size)
+
+
+def test_document_scores(docs, none):
+    check_scores(ctw.document_scores(docs).collect(), corpus())
     assert ctw.document_scores(none).count() == 0
 
 
+def test_document_scores_of_many_ranges(spark, monkeypatch):
+    """Several blocks, ranges, bundles and chunks; a very long word; a null id; columns of the result's names."""
+    for name, value in (("RANGE_ENTRIES", 700), ("RANGE_WORDS", 40), ("CHUNK", 150)):
+        monkeypatch.setattr(ctw, name, value)
+    rows = [r for r in corpus(30) if r[1] is None or len(r[1]) < 5000] + [(None, "no id", None, None, None), (900, "x" * 30_000 + " end", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("y")).withColumn("key", F.lit(1)).repartition(5)
+    check_scores(ctw.document_scores(df).collect(), rows)
+    untrained = ctw.score_documents(df.limit(5), F.lit(True)).collect()
+    assert all(r["bits_per_byte"] == pytest.approx(8) and r["train_tokens"] == 0 and r["base_score"] == 0 for r in untrained)
+
+
 # ---- URLs, WARC, mixing
 
 
