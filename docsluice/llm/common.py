@@ -37,6 +37,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that executors delete the shuffle files of finished steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def modest(spark: SparkSession) -> None:
     """Keep Arrow batches small in this session, unless they are smaller already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -42,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, gathered, mix64, split_words, stored, tidy
+from .common import doc_fold, gathered, mix64, release, split_words, stored, tidy
 
-DEPTH = 8  # bytes of context
+DEPTH = 7  # bytes of context
 TOP = 4  # the nearest bytes, which name a context's range
-BLOCK_BYTES = 32 << 20
-PART_BYTES = 6_000_000  # bytes of a block that are sorted at once
+BLOCK_BYTES = 16 << 20
+PART_BYTES = 1_500_000  # bytes of a block that are sorted at once
 RANGE_WORDS = 600_000  # distinct words of blocks in one range
 RANGE_ENTRIES = 1_500_000  # distinct (context, byte) of blocks in one range, about
 CHUNK = 300_000  # of them in one subtree computation, unless one TOP-byte context has more
@@ -83,12 +83,18 @@ def _joined(packed: list[bytes], *kinds) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate([a[i] for a in apart]) for i in range(len(kinds))], np.array([len(a[0]) for a in apart])
 
 
+def _rounded(a: np.ndarray) -> np.ndarray:
+    """32-bit floats with 16 significant bits, which is what a figure keeps on its way back to the block."""
+    return ((np.ascontiguousarray(a, np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     return _squeeze(b"\n".join(words))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw.split(b"\n") if raw else []
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -199,7 +205,7 @@ class Stream:
         self.ends, self.size = ends, np.diff(ends) - SPAN
 
     def parts(self) -> Iterator[tuple[Entries, np.ndarray]]:
-        """Entries in order, some million bytes at a time by the byte before, and the text of each of their bytes."""
+        """Entries in order, about PART_BYTES bytes at a time by the byte before, and the text of each of their bytes."""
         if not len(self.size):
             return
         four = np.ndarray((len(self.flat) - 3,), "<u4", buffer=self.flat, strides=(1,))
@@ -213,7 +219,7 @@ class Stream:
             done = upto[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(upto, done + PART_BYTES, "right")))
             if upto[last - 1] > done:
-                at = np.flatnonzero((before >= first) & (before < last) & real)
+                at = np.flatnonzero((before >= first) & (before <= last - 1) & real)
                 doc = (np.searchsorted(self.ends, at, "right") - 1).astype(np.uint32)
                 yield Entries(four[at - 4], four[at - 8] & np.uint32(FAR), self.flat[at]), doc
             first = last
@@ -371,6 +377,11 @@ def _bundle(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(near) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 
 
+def _word_range(words: list[bytes], bits: int) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
+
+
 def _range(near: np.ndarray, bits: int) -> np.ndarray:
     """The range of contexts: by their nearest TOP bytes."""
     return (mix64(near.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(near), np.int32)
@@ -398,13 +409,13 @@ def score_texts(texts: list[str | None], train: np.ndarray) -> np.ndarray:
     return sum(np.bincount(doc[e.order], e.spread(t.log10(nodes[0], state)), len(texts)) for t, (e, doc) in zip(trees, parts, strict=True))
 
 
-_COLUMNS = ("block", "kind", "part", "vocabulary", "docs", "ids", "held", "lengths", "words", "counts", "places", "entries", "trained")
+_COLUMNS = ("block", "kind", "part", "vocabulary", "docs", "ids", "held", "lengths", "words", "counts", "entries", "trained")
 
 
 def _blocks(df: DataFrame, key: str, text: str, held: str, word_bits: int, bits: int) -> DataFrame:
     """Rows of blocks. Kind 0: the documents (ids, folds, words as numbers of the block's vocabulary). Kind 1: the words of one hash range with training counts. Kind 2: the entries of one range of contexts with training counts."""
     id_type = df.schema[key].dataType.simpleString()
-    schema = f"block bigint, kind int, part int, vocabulary binary, docs binary, ids array<{id_type}>, held array<boolean>, lengths array<int>, words binary, counts binary, places binary, entries binary, trained binary"
+    schema = f"block bigint, kind int, part int, vocabulary binary, docs binary, ids array<{id_type}>, held array<boolean>, lengths array<int>, words binary, counts binary, entries binary, trained binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = counter(TaskContext.get().partitionId() << 32)
@@ -416,19 +427,18 @@ def _blocks(df: DataFrame, key: str, text: str, held: str, word_bits: int, bits:
             words = [w.encode() for w in coded.dictionary.to_pylist()]
             trains = ~b.column(held).to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(of[np.repeat(trains, lengths)], minlength=len(words)).astype(np.uint32)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            order, cuts = _dealt((h >> np.uint64(64 - word_bits)).astype(np.int64) if word_bits else np.zeros(len(words), np.int64))
+            order, cuts = _dealt(_word_range(words, word_bits))
             rows = []
             for p, a, z in cuts:
                 own = order[a:z]
-                rows.append((1, p, _pack_words([words[i] for i in own.tolist()]), _pack(counts[own]), _pack(own.astype(np.uint32)), None, None))
+                rows.append((1, p, _pack_words([words[i] for i in own.tolist()]), _pack(counts[own]), None, None))
             parts = [(e.near, e.far, e.byte, e.sums(trains[doc]).astype(np.uint32)) for e, doc in Stream(flat, lengths).parts()]
             near, far, byte, trained = (np.concatenate(p) for p in zip(*parts, strict=True))
             del parts
             order, cuts = _dealt(_range(near, bits))
             for p, a, z in cuts:
                 own = order[a:z]
-                rows.append((2, p, None, None, None, _pack(near[own], far[own], byte[own]), _pack(trained[own])))
+                rows.append((2, p, None, None, _pack(near[own], far[own], byte[own]), _pack(trained[own])))
             del near, far, byte, trained
             k, n = len(rows) + 1, b.num_rows
             ends, none = pa.array([0] + [n] * k, pa.int32()), [None] * len(rows)
@@ -436,7 +446,7 @@ def _blocks(df: DataFrame, key: str, text: str, held: str, word_bits: int, bits:
                 pa.array([block] * k, pa.int64()), pa.array([0] + [r[0] for r in rows], pa.int32()), pa.array([-1] + [r[1] for r in rows], pa.int32()),
                 pa.array([_pack_words(words), *none], pa.binary()), pa.array([_pack(of), *none], pa.binary()),
                 pa.ListArray.from_arrays(ends, b.column(key)), pa.ListArray.from_arrays(ends, b.column(held)), pa.ListArray.from_arrays(ends, pa.array(lengths, pa.int32())),
-                *[pa.array([None] + [r[i] for r in rows], pa.binary()) for i in range(2, 7)],
+                *[pa.array([None] + [r[i] for r in rows], pa.binary()) for i in range(2, 6)],
             ]
             yield pa.RecordBatch.from_arrays(cols, names=list(_COLUMNS))
         tidy()
@@ -454,7 +464,7 @@ def _counted(group: pa.Table) -> pa.Table:
     ends = np.cumsum([len(x) for x in lists])
     none = [0] * (len(lists) - 1)
     return pa.table({
-        "block": group.column("block"), "part": pa.array([-1] * len(lists), pa.int32()), "places": group.column("places"),
+        "block": group.column("block"), "kind": pa.array([1] * len(lists), pa.int32()), "part": group.column("part"), "n": pa.array([0] * len(lists), pa.int64()),
         "figures": pa.array([_pack(counts[of[z - len(x) : z]]) for x, z in zip(lists, ends.tolist(), strict=True)], pa.binary()),
         "total": pa.array([int(counts.sum()), *none], pa.int64()), "distinct": pa.array([int(np.count_nonzero(counts)), *none], pa.int64()),
     })
@@ -504,19 +514,19 @@ def _mixtures(root: Root):
 def _scored(group: pa.Table, upper: pa.Table) -> pa.Table:
     """Of a range of contexts: log10 of each entry's byte, packed in the order that each block sent them."""
     if not group.num_rows:
-        return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "figures": pa.array([], pa.binary())})
+        return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "figures": pa.array([], pa.binary())})
     e, counts, sizes = _merged(group)
     (keys, *state), _ = _joined(upper.column("upper").to_pylist(), np.uint64, np.float64, np.float64, np.float64)
     order = np.argsort(keys)
     keys, state = keys[order], [s[order] for s in state]
-    value = np.concatenate([Subtree(e.near[a:z], e.far[a:z], e.byte[a:z], counts[a:z]).log10(keys, state) for a, z in chunks(e.near)]).astype(np.float32)
-    value, ends = e.back(value), np.cumsum(sizes)
+    value = np.concatenate([Subtree(e.near[a:z], e.far[a:z], e.byte[a:z], counts[a:z]).log10(keys, state) for a, z in chunks(e.near)])
+    value, ends = e.back(_rounded(value)), np.cumsum(sizes)
     packed = pa.array([_pack(value[z - n : z]) for n, z in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary())
     tidy()
-    return pa.table({"block": group.column("block"), "part": group.column("part"), "n": pa.array(sizes, pa.int64()), "figures": packed})
+    return pa.table({"block": group.column("block"), "kind": pa.array([2] * len(sizes), pa.int32()), "part": group.column("part"), "n": pa.array(sizes, pa.int64()), "figures": packed})
 
 
-def _doc_scores(total: int, distinct: int, ends: int, bits: int):
+def _doc_scores(total: int, distinct: int, ends: int, word_bits: int, bits: int):
     base_of = math.log10(total + distinct + 1)
 
     def run(docs: pa.Table, figures: pa.Table) -> pa.Table:
@@ -524,11 +534,11 @@ def _doc_scores(total: int, distinct: int, ends: int, bits: int):
         for r in docs.slice(0, 1).select(["vocabulary", "docs", "held", "lengths"]).to_pylist():
             words, (of,), lengths = _unpack_words(r["vocabulary"]), _unpack(r["docs"], np.uint32), np.array(r["lengths"], np.int64)
             known = np.zeros(len(words), np.int64)
-            of_words = figures.filter(pc.less(figures.column("part"), 0))
-            for place, c in zip(of_words.column("places").to_pylist(), of_words.column("figures").to_pylist(), strict=True):
-                known[_unpack(place, np.uint32)[0]] = _unpack(c, np.int64)[0]
+            of_words = figures.filter(pc.equal(figures.column("kind"), 1)).sort_by("part")
+            if len(words):
+                known[_dealt(_word_range(words, word_bits))[0]] = _joined(of_words.column("figures").to_pylist(), np.int64)[0][0]
             stream = Stream(pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(of)), lengths)
-            values = figures.filter(pc.greater_equal(figures.column("part"), 0)).sort_by("part")
+            values = figures.filter(pc.equal(figures.column("kind"), 2)).sort_by("part")
             value = np.concatenate([_unpack(v, np.float32)[0] for v in values.column("figures").to_pylist()])
             # in the order of the ranges; each part of the stream takes its own share of every range
             begin = np.concatenate(([0], np.cumsum(values.column("n").to_numpy())))[:-1]
@@ -570,7 +580,7 @@ def score_documents(df: DataFrame, held_out, key: str = "doc_id", text: str = "t
     coded = stored(_blocks(rows, "key", "text", "held", word_bits, bits), "blocks")
     docs = coded.where("kind = 0").select("block", "vocabulary", "docs", "ids", "held", "lengths")
     contexts = coded.where("kind = 2").select("part", "block", "entries", "trained")
-    counted = stored(coded.where("kind = 1").select("part", "block", "words", "counts", "places").groupBy("part").applyInArrow(_counted, "block bigint, part int, places binary, figures binary, total bigint, distinct bigint"), "counts")
+    counted = stored(coded.where("kind = 1").select("part", "block", "words", "counts").groupBy("part").applyInArrow(_counted, "block bigint, kind int, part int, n bigint, figures binary, total bigint, distinct bigint"), "counts")
     ends = docs.select(F.sum(F.size(F.filter("held", lambda x: ~x))).alias("n")).first()["n"] or 0
     found = counted.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     total, distinct = (found["n"] or 0) + ends, (found["v"] or 0) + (ends > 0)
@@ -578,10 +588,11 @@ def score_documents(df: DataFrame, held_out, key: str = "doc_id", text: str = "t
     sums = nodes.groupBy("bundle").applyInArrow(_first_sums, "near int, place int, zeros bigint, ones bigint, kids double")
     root = Root([tuple(r) for r in sums.groupBy("near", "place").agg(F.sum("zeros"), F.sum("ones"), F.sum("kids")).collect()])
     upper = nodes.groupBy("bundle").applyInArrow(_mixtures(root), "part int, upper binary")
-    values = contexts.groupBy("part").cogroup(upper.groupBy("part")).applyInArrow(_scored, "block bigint, part int, n bigint, figures binary")
-    figures = counted.select("block", "part", F.lit(0).cast("bigint").alias("n"), "places", "figures").unionByName(values.select("block", "part", "n", F.lit(None).cast("binary").alias("places"), "figures"))
+    release(df.sparkSession)
+    values = contexts.groupBy("part").cogroup(upper.groupBy("part")).applyInArrow(_scored, "block bigint, kind int, part int, n bigint, figures binary")
+    figures = counted.select(*values.columns).unionByName(values)
     id_type = rows.schema["key"].dataType.simpleString()
-    out = docs.groupBy("block").cogroup(figures.groupBy("block")).applyInArrow(_doc_scores(total, distinct, ends, bits), f"key {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, n_bytes bigint, base_score double, score double")
+    out = docs.groupBy("block").cogroup(figures.groupBy("block")).applyInArrow(_doc_scores(total, distinct, ends, word_bits, bits), f"key {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, n_bytes bigint, base_score double, score double")
     per_byte = (-F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", per_byte)
 

@@ -413,8 +413,10 @@ def test_document_scores_of_many_ranges(spark, monkeypatch):
     rows = [r for r in corpus(30) if r[1] is None or len(r[1]) < 5000] + [(None, "no id", None, None, None), (900, "x" * 30_000 + " end", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("y")).withColumn("key", F.lit(1)).repartition(5)
     check_scores(ctw.document_scores(df).collect(), rows)
+    blank = spark.createDataFrame([(2, None), (3, " \t\n"), (4, "")], "doc_id bigint, text string")  # no word at all
+    assert [(r["n_tokens"], r["n_bytes"]) for r in ctw.document_scores(blank).collect()] == [(1, 1)] * 3
     untrained = ctw.score_documents(df.limit(5), F.lit(True)).collect()
-    assert all(r["bits_per_byte"] == pytest.approx(8) and r["train_tokens"] == 0 and r["base_score"] == 0 for r in untrained)
+    assert all(r["bits_per_byte"] == pytest.approx(8, rel=1e-5) and r["train_tokens"] == 0 and r["base_score"] == 0 for r in untrained)
 
 
 # ---- URLs, WARC, mixing
