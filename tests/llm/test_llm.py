@@ -396,7 +396,7 @@ def check_scores(got, rows):
         held = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) + 1, sum(x in count for x in w) + 1, n, held)
         base = sum(math.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score[of[r["doc_id"]] or ""], rel=1e-5)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score[of[r["doc_id"]] or ""], rel=1e-4)
         size = len(plain_stream(of[r["doc_id"]]))
         assert r["n_bytes"] == size and r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / size)
 
@@ -416,7 +416,7 @@ def test_document_scores_of_many_ranges(spark, monkeypatch):
     blank = spark.createDataFrame([(2, None), (3, " \t\n"), (4, "")], "doc_id bigint, text string")  # no word at all
     assert [(r["n_tokens"], r["n_bytes"]) for r in ctw.document_scores(blank).collect()] == [(1, 1)] * 3
     untrained = ctw.score_documents(df.limit(5), F.lit(True)).collect()
-    assert all(r["bits_per_byte"] == pytest.approx(8, rel=1e-5) and r["train_tokens"] == 0 and r["base_score"] == 0 for r in untrained)
+    assert all(r["bits_per_byte"] == pytest.approx(8, rel=1e-4) and r["train_tokens"] == 0 and r["base_score"] == 0 for r in untrained)
 
 
 # ---- URLs, WARC, mixing
