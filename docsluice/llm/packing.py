@@ -1,15 +1,18 @@
-"""Packing of token pieces into sequences: best fit first, then swap-based local search.
-
-Pieces are dealt at random into groups of bounded size. A group is packed best
-fit decreasing, and local search then works on its underfull bins: it gives one
-piece or two for none, one or two of any fuller bin, which raises the sum of
-squared fills; a bin that empties goes. It ends where the lower bound is met or
-full passes over all underfull bins empty none. Bins that
-stay below OPEN_SHARE return to a pool that is packed again in fewer groups,
-so all groups together waste about what one would.
+"""Packing of token pieces into sequences: best fit in order of arrival, then swap-based local search.
+
+Pieces are dealt at random into groups of bounded size. A group starts from a
+plain packing (each piece as it comes into the fullest open bin that takes it),
+and local search then empties bins: an underfull bin gives one piece or two for
+none, one or two of any fuller bin, which raises the sum of squared fills; a bin
+that empties goes. It ends where the lower bound is met or full passes over all
+underfull bins empty none; above the bound it is run again from a start of the
+longest first. Bins that stay below OPEN_SHARE return to a pool that is packed
+again as long as that takes fewer groups, so all groups together waste about
+what one would.
 
 Defined cases: null text is empty and is one piece, the closing id alone.
-Repeated rows are pieces of their own. An empty table gives no row.
+Repeated rows are pieces of their own. An empty table gives no row. Only the id
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,9 +31,8 @@ from .common import gathered, modest, stored
 from .tokens import END_ID, SLICE, WordTokenizer, default_path
 
 CAPACITY = 4096
-GROUP_PIECES = 32_768
+GROUP_PIECES = 16_384
 OPEN_SHARE = 0.985
-MAX_ROUNDS = 6
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -59,12 +61,11 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins (lists of places in ``lengths``); longest first, each into the fullest bin that takes it."""
+    """Bins (lists of places in ``lengths``): each piece as it comes into the fullest open bin that takes it."""
     bins: list[list[int]] = []
     by_room: dict[int, list[int]] = {}
     rooms = 0  # bit r is set if a bin has r free places
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -167,14 +168,14 @@ class _Underfull:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty bins one after another until the lower bound is met or full passes over all underfull ones empty none."""
+    """Empty bins one after another until the lower bound is met or a pass of each kind over all underfull ones empties none."""
     least = -(-sum(lengths) // capacity)
+    bins = [list(x) for x in bins]
     fill = {b: sum(lengths[i] for i in x) for b, x in enumerate(bins)}
     if len(fill) <= least:
         return bins
-    bins = [list(x) for x in bins]
     state, idle, exact = _Underfull(bins, lengths, capacity, fill), 0, True
-    while idle < 2 and len(fill) > least:  # a pass of each kind in turn
+    while idle < 2 and len(fill) > least:
         idle += 1
         for giver in sorted((b for b in fill if fill[b] < capacity), key=lambda b: (fill[b], b)):
             while bins[giver] and state.give(giver, exact):
@@ -189,11 +190,21 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     return [bins[b] for b in fill]
 
 
+def searched(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search from the order of arrival; where that stays above the lower bound, also from longest first, and the better of both."""
+    bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if len(bins) > -(-sum(lengths) // capacity):
+        order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+        start = [[order[i] for i in x] for x in best_fit([lengths[i] for i in order], capacity)]
+        bins = min(bins, local_search(start, lengths, capacity), key=len)
+    return bins
+
+
 def _packer(turn: int, capacity: int, last: bool):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("uid")
         lengths = group.column("length").to_pylist()
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        bins = searched(lengths, capacity)
         seq, off, done = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.ones(len(lengths), bool)
         base = turn << 56 | key[0].as_py() << 24
         for b, members in enumerate(bins):
@@ -214,7 +225,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES) ->
     names, groups = cut.columns, None
     while True:
         before, groups = groups, max(1, -(-now.count() // group))
-        last = groups == 1 or turn == MAX_ROUNDS or before is not None and groups > 0.7 * before
+        last = groups == 1 or before is not None and groups >= before
         dealt = now.withColumn("deal", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)).cast("int"))
         packed = stored(dealt.groupBy("deal").applyInArrow(_packer(turn, capacity, last), now.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint")).withColumn("done", F.lit(True)).schema), "packed")
         done.append(packed.where("done").select(*names, "sequence_id", "offset"))

@@ -8,11 +8,13 @@ encoding the whole text gives (a test compares them).
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +27,8 @@ SLICE = 6 << 20
 #: How the byte-level model writes bytes as characters: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: How the tokenizer cuts lower-cased text, for words of printable ASCII.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _KEPT: dict[str, "WordTokenizer"] = {}
 
 
@@ -35,6 +39,8 @@ def default_path() -> str:
 
 
 class WordTokenizer:
+    """Special tokens (``<|endoftext|>``) in a text are what the tokenizer takes them for by default: one id each."""
+
     def __init__(self, path: str):
         import os
 
@@ -42,9 +48,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.inner.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> "WordTokenizer":
@@ -53,64 +60,69 @@ class WordTokenizer:
         return _KEPT[path]
 
     def _encode(self, words: list[str]) -> None:
-        """Words of Latin letters are one piece and go to the model at once; the rest take the whole route."""
-        known, tokenize, other = self.known, self.inner.model.tokenize, []
+        """ASCII words are cut as the tokenizer cuts them, and words of Latin letters are one piece: these go to the model at once. The rest take the whole route."""
+        known, pieces, tokenize, special, other = self.known, self.pieces, self.inner.model.tokenize, self.special, []
         for w in words:
-            if w.isalpha() and max(w) <= "\u00ff":
+            if w.isascii():
                 low = w.lower()
-                piece = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARS)
-                known[w] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-            else:
-                other.append(w)
+                if low.isalpha():
+                    known[w] = array("I", [t.id for t in tokenize(low)]).tobytes()
+                    continue
+                if w.isprintable() and not any(x in w for x in special):
+                    parts = []
+                    for p in _CUT.findall(low):
+                        got = pieces.get(p)
+                        if got is None:
+                            got = pieces[p] = known.get(p) or array("I", [t.id for t in tokenize(p)]).tobytes()
+                        parts.append(got)
+                    known[w] = b"".join(parts)
+                    continue
+            elif w.isalpha() and max(w) <= "\u00ff":
+                known[w] = array("I", [t.id for t in tokenize(w.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                continue
+            other.append(w)
         if other:
             for w, e in zip(other, self.inner.encode_batch_fast(other, add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
+        """Little-endian 32-bit ids of each of some distinct words."""
         if len(self.known) > MEMORY_WORDS:
             self.older, self.known = self.known, {}  # words not met again for a generation go
+        if len(self.pieces) > MEMORY_WORDS:
+            self.pieces = {}
         known, older = self.known, self.older
         each = list(map(known.get, words))
-        new = []
-        for i, v in enumerate(each):
-            if v is None:
-                w = words[i]
-                got = older.get(w)
-                if got is None:
-                    new.append(i)
-                else:
-                    known[w] = each[i] = got
-        fresh, split = [], []
-        for i in new:
-            w = words[i]
-            # a letter and one comma or full stop are separate tokens
-            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
-                split.append(i)
-                fresh += [x for x in (w[:-1], w[-1]) if x not in known]
+        gone = [i for i, v in enumerate(each) if v is None]
+        fresh = []
+        for i in gone:
+            got = older.get(words[i])
+            if got is None:
+                fresh.append(words[i])
             else:
-                fresh.append(w)
-        if fresh:
-            self._encode(list(dict.fromkeys(fresh)))
-        for i in split:
-            w = words[i]
-            known[w] = known[w[:-1]] + known[w[-1]]
-        for i in new:
+                known[words[i]] = got
+        self._encode(fresh)
+        for i in gone:
             each[i] = known[words[i]]
         return each
 
-    def encode(self, texts: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
         """Ids of all texts in a row (None without ``ids``) and the number of each text."""
-        words, counts = split_words(texts)
+        # a special token counts in its own spelling only, so where one may stand nothing is lowered beforehand
+        words, counts = split_words(texts, not pc.any(pc.match_substring(texts, "<|")).as_py())
         coded = words.dictionary_encode()
         each = self.ids_of(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         of = coded.indices.to_numpy(zero_copy_only=False)
-        upto = np.concatenate(([0], np.cumsum(size[of]))) if len(of) else np.zeros(1, np.int64)
+        own = size[of]
+        upto = np.concatenate(([0], np.cumsum(own)))
         lengths = np.diff(upto[np.concatenate(([0], np.cumsum(counts)))])
         if not ids:
             return None, lengths
-        return np.frombuffer(b"".join(map(each.__getitem__, of.tolist())), "<u4"), lengths
+        begin = np.cumsum(size) - size
+        place = np.repeat(begin[of] - upto[:-1], own)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(each), "<u4")[place], lengths
 
 
 def token_lengths(df: DataFrame, text: str = "text", path: str | None = None, end: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
