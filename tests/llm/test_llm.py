@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,25 +340,48 @@ def test_components(spark):
 # ---- vectors
 
 
-def test_top_k(spark):
+def check_top_k(spark, rows, k=5):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("v", F.lit(1)).withColumn("row", F.lit("x"))
+    got = sorted(tuple(x) for x in vafile.top_k(df, F.col("vec_id") % 20 == 0, k=k).collect())
+    sound = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for a, (q, x) in enumerate(sound):
+        if q % 20 == 0:
+            best = sorted((-sum(p * r for p, r in zip(x, v)), i) for b, (i, v) in enumerate(sound) if b != a)[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    return df
+
+
+def vectors():
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 0.3) for _ in range(8)]) for i in range(120)]
-    rows += [(120, rows[0][1]), (121, None), (122, [1.0, None]), (123, [float("nan")] * 8), (124, [float("inf")] * 8), (140, [0.5, 0.5]), (None, [1.0] * 8), (1, rows[1][1])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("v", F.lit(1))
-    got = {}
-    for x in vafile.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    sound = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    for q in (i for i in sound if i % 20 == 0):
-        best = sorted(((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q))[:5]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    return rows + [(120, rows[0][1]), (121, None), (122, [1.0, None]), (123, [float("nan")] * 8), (124, [float("inf")] * 8), (140, [0.5, 0.5]), (160, []), (None, [1.0] * 8), (1, rows[1][1])]
+
+
+def test_top_k(spark):
+    df = check_top_k(spark, vectors())
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_takes_rows_not_ids(spark):
+    """Several rows of one id: all are candidates, each query row has its own result."""
+    rows = vectors() + [(7, [9.0] * 8), (7, [8.0] * 8), (20, [3.0] * 8), (20, [3.0] * 8), (40, [-3.0] * 8)]
+    check_top_k(spark, rows)
+    import duckdb
+
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    embeddings = pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    con = duckdb.connect()
+    con.register("embeddings", embeddings.filter(pa.compute.greater(pa.compute.list_value_length(embeddings["embedding"]), 7)))
+    got = vafile.embedding_neighbours(frame.where(F.size("embedding") > 7)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(vafile.SQL).fetchall())
+
+
 def test_top_k_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(vafile, "ROW_BLOCK", 16)
     monkeypatch.setattr(vafile, "QUERY_BLOCK", 2)
-    test_top_k(spark)
+    check_top_k(spark, vectors())
 
 
 # ---- language model
