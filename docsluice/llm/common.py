@@ -17,26 +17,58 @@ BATCH_ROWS = 1000  # rows of one Arrow batch: texts may be long
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, one below ``spark.checkpoint.dir`` for each application.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset
-    (tests) a folder beside the warehouse is used.
+    Only where that is unset on a single machine (tests) a folder beside the
+    warehouse is used; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{named}/docsluice/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return it as read back.
 
     Cuts the lineage: a lost executor costs a re-read of files, never a rerun.
+    The table stays until ``discard`` or ``sweep``, as results may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docsluice/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``stored`` that no later step reads."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/docsluice/" in path:
+            _delete(table.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application stored. Call it when its results have been read or written."""
+    _delete(spark, shared_dir(spark))
+
+
+def free_names(wanted: tuple[str, ...], taken: list[str]) -> tuple[str, ...]:
+    """``wanted`` with underscores until none is a name in ``taken`` (case does not count)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what it no longer refers to, so that executors delete the shuffle files of finished steps."""
     spark.sparkContext._jvm.System.gc()

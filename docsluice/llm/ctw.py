@@ -46,7 +46,7 @@ from .common import doc_fold, gathered, mix64, release, split_words, stored, tid
 
 DEPTH = 7  # bytes of context
 TOP = 4  # the nearest bytes, which name a context's range
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 28 << 20
 PART_BYTES = 1_500_000  # bytes of a block that are sorted at once
 RANGE_WORDS = 600_000  # distinct words of blocks in one range
 RANGE_ENTRIES = 1_500_000  # distinct (context, byte) of blocks in one range, about
@@ -213,7 +213,7 @@ class Stream:
         for i in range(SPAN):
             real[self.ends[:-1] + i] = False
         before = np.concatenate((np.zeros(1, np.uint8), self.flat[:-1]))
-        upto = np.cumsum(np.bincount(before[real], minlength=256))
+        upto = np.cumsum(sum(np.bincount(before[i : i + PART_BYTES][real[i : i + PART_BYTES]], minlength=256) for i in range(0, len(real), PART_BYTES)))
         first = 0
         while first < 256:
             done = upto[first - 1] if first else 0

@@ -568,7 +568,7 @@ def padded(column):
 
 
 def encode(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
-    """Replace the binary column ``payload`` by its FLAC stream ``out``; null stays an empty stream."""
+    """Replace the binary column ``payload``, and a column named ``out`` if there is one, by the FLAC stream ``out``; null gives an empty stream. Other columns stay."""
     fields = [f for f in df.schema.fields if f.name not in (payload, out)]
     names = [f.name for f in fields]
     schema = df.select(*[F.col(f"`{n}`") for n in names], F.lit(b"").alias(out)).schema
@@ -582,8 +582,9 @@ def encode(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
 
 
 def decode(df: DataFrame, media: str = "media") -> DataFrame:
-    """Add ``pcm`` (the sample bytes), ``blocks`` (array of sample offset, byte offset, samples), and sums of the samples."""
-    names = [f.name for f in df.schema.fields]
+    """Add ``pcm`` (the sample bytes), ``blocks`` (array of sample offset, byte offset, samples), and sums of the samples (``level``, ``energy``, ``crossings``). Columns of these five names are replaced, all others stay."""
+    names = [f.name for f in df.schema.fields if f.name not in ("pcm", "blocks", "level", "energy", "crossings")]
+    df = df.select(*[F.col(f"`{n}`") for n in names])
     extra = "array<struct<sample_offset:bigint,byte_offset:bigint,n_samples:int>>"
     schema = df.select("*", F.lit(b"").alias("pcm"), F.lit(None).cast(extra).alias("blocks"), *[F.lit(0).cast("bigint").alias(n) for n in ("level", "energy", "crossings")]).schema
     kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int32())]))

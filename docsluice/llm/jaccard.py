@@ -120,8 +120,8 @@ def _digest(df: DataFrame, key: str, text: str, words: int, t: tuple[int, int],
                 flat, doc = flat[order], doc[order]
                 part = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
                 low = ((flat << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
-                cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-                rows = [(p, low[a:z].tobytes() + doc[a:z].astype("<u2").tobytes()) for p, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+                rows = [(int(part[a]), low[a:z].tobytes() + doc[a:z].astype("<u2").tobytes()) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 ids = b.column(key)
                 k = len(rows) + 1
                 ends = pa.array([0, len(ids)] + [len(ids)] * (k - 1), pa.int32())
@@ -319,7 +319,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     t = threshold
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = max(0, min(16, int(size / 12 / RANGE_ELEMENTS).bit_length()))  # some 12 bytes of text for each element that is sent
+    bits = int(size / 12 / RANGE_ELEMENTS).bit_length()  # some 12 bytes of text for each element that is sent
     digest = stored(_digest(docs, "key", "text", words, t, bits), "sieve")
     shared = digest.where("part >= 0").select("part", "block", "packed").groupBy("part").applyInArrow(_shared, "block bigint, part int, packed binary")
     sides = digest.where("part < 0").select("block", "part", F.lit(None).cast("binary").alias("packed"), "sizes", "sids")
@@ -357,6 +357,18 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+SQL = r"""
+  WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM cut),
+  sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+  each AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+  links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  reach(x, y) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+  least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+  SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, y AS component_id FROM sized JOIN least ON doc_id = x"""
+
+
 def document_links(documents: DataFrame) -> DataFrame:
     return jaccard_components(documents, words=3, threshold=(90, 100))
 

@@ -24,14 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, modest, slices
+from .common import doc_fold, free_names, modest, slices
 
 DICT_BYTES = 96 << 10  # training text kept for a language
 TEXT_BYTES = 8 << 10  # what one text gives to a dictionary at most
 SAMPLE_ROWS = 400  # distinct texts sought for a language before the byte limit cuts
 BLOCK_BYTES = 64 << 10  # with the dictionary well inside the window of 256 KB
 LEVEL = 9
-SHORT_BYTES, SHORT_LEVEL, TURNS = 400, 12, 8
 MIN_MATCH = 3
 REJECT_MARGIN = 0.004
 _OTHER = re.compile(r"[\W\d_]+")
@@ -67,27 +66,16 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
-def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
-    """Name, compressor, and a more thorough compressor for short texts."""
+def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
     for name in sorted(dictionaries):
-        pair = []
-        for level in (LEVEL, SHORT_LEVEL):
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=DICT_BYTES, source_size=DICT_BYTES + 4096, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
-            d.precompute_compress(compression_params=params)
-            pair.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-        out.append((name, *pair))
+        d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=DICT_BYTES, source_size=DICT_BYTES + 4096, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(compression_params=params)
+        out.append((name, zstandard.ZstdCompressor(dict_data=d, compression_params=params)))
     return out
 
 
-def turns(data: bytes) -> list[bytes]:
-    """A short text begun at up to TURNS of its words. A few bytes decide little; the mean over the turns tells languages apart by parts of a byte."""
-    words = data.split()
-    starts = sorted({i * len(words) // TURNS for i in range(TURNS)}) or [0]
-    return [b" ".join(words[i:] + words[:i]) for i in starts]
-
-
 def blocks(data: bytes) -> list[bytes]:
     """The whole text in consecutive parts of about one size, none above BLOCK_BYTES."""
     n = -(-len(data) // BLOCK_BYTES)
@@ -96,41 +84,39 @@ def blocks(data: bytes) -> list[bytes]:
 
 
 def judge(text: str | None, models: list, reject_margin: float = REJECT_MARGIN) -> tuple[str, float, float, bool]:
-    """Language, score, margin, rejected. Ties go to the name first in order."""
+    """Language, score, margin, rejected. Ties go to the name first in order (and are rejected, as their margin is 0)."""
     if not text or not models or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0, True
-    data = letters(text)
-    if len(data) < SHORT_BYTES:
-        forms = turns(data)
-        sizes = sorted((sum(len(c.compress(f)) for f in forms) / len(forms), name) for name, _, c in models)
-    else:
-        parts = blocks(data)
-        sizes = sorted((sum(len(c.compress(p)) for p in parts), name) for name, c, _ in models)
+    parts = blocks(letters(text))
+    sizes = sorted((sum(len(c.compress(p)) for p in parts), name) for name, c in models)
     best = sizes[0][0]
     margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
     score = 1.0 / sum(math.exp((best - s) / SOFTNESS) for s, _ in sizes)
     return sizes[0][1], score, margin, margin < reject_margin
 
 
-def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", reject_margin: float = REJECT_MARGIN) -> DataFrame:
-    """Add lang_pred, score (0 to 1), margin and rejected.
+RESULT = ("lang_pred", "score", "margin", "rejected")
+
+
+def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", reject_margin: float = REJECT_MARGIN, names: tuple[str, ...] = RESULT) -> DataFrame:
+    """Add lang_pred, score (0 to 1), margin and rejected, under ``names``; columns of ``df`` with these names are replaced.
 
     Null text, empty text and text without a letter give ``und``, 0, 0, true;
-    so does every row if there is no dictionary. Columns of these names are
-    replaced. Repeated rows stay.
+    so does every row if there is no dictionary. Texts of any length are judged
+    alike. Repeated rows stay.
     """
-    new = ("lang_pred", "score", "margin", "rejected")
-    names = [n for n in df.columns if n not in new]
-    schema = df.select(*[F.col(f"`{n}`") for n in names], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit(True).alias("rejected")).schema
+    own = [n for n in df.columns if n not in names]
+    values = (F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(True))
+    schema = df.select(*[F.col(f"`{n}`") for n in own], *[v.alias(n) for v, n in zip(values, names, strict=True)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = compressors(dictionaries)
         for b in slices(batches, text):
             got = [judge(t, models, reject_margin) for t in b.column(text).to_pylist()]
             cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + cols, names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in own] + cols, names=[*own, *names])
 
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{n}`") for n in own]).mapInArrow(run, schema)
 
 
 def document_languages(documents: DataFrame) -> DataFrame:
@@ -142,8 +128,8 @@ def document_languages(documents: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain. The columns stay as they are."""
+    """Documents whose language is certain. Their columns stay as they are, whatever their names; repeated rows stay."""
     modest(spark)
     models = train(docs.where(doc_fold("doc_id", 4) != 2))
-    keep = docs.columns
-    return predict(docs.select("*"), models).where(~F.col("rejected")).select(*[F.col(f"`{n}`") for n in keep])
+    names = free_names(RESULT, docs.columns)
+    return predict(docs, models, names=names).where(~F.col(names[3])).select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": vafile.SQL, "op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of()}
+    return {"op5_ngram_jaccard": jaccard.SQL, "op7_exact_topk": vafile.SQL, "op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of()}

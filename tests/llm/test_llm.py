@@ -97,6 +97,28 @@ def test_languages(docs, none):
     assert len({r["doc_id"] for r in langid.stage(docs.sparkSession, docs, "").collect()} & set(want)) >= 58
 
 
+def test_languages_against_plain_loops(docs):
+    """Every text compressed with every dictionary, whatever its length; ties go to the first name and are rejected."""
+    import zstandard
+
+    models = langid.train(docs.where("pmod(crc32(cast(doc_id as string)), 4) <> 2"))
+    for r in docs.select("doc_id", "text").join(langid.document_languages(docs).distinct(), "doc_id").collect():
+        data = re.sub(r"[\W\d_]+", " ", (r["text"] or "").lower()).encode()
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
+            continue
+        size = {}
+        for name in sorted(models):
+            d = zstandard.ZstdCompressionDict(models[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            p = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=langid.DICT_BYTES, source_size=langid.DICT_BYTES + 4096, min_match=langid.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[name] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(b)) for b in langid.blocks(data))
+        first, second = sorted(size, key=lambda n: (size[n], n))[:2]
+        assert (r["lang_pred"], r["margin"]) == (first, pytest.approx((size[second] - size[first]) / size[second]))
+        assert r["rejected"] == (r["margin"] < langid.REJECT_MARGIN)
+    same = langid.compressors({"b": b"the same text " * 9, "a": b"the same text " * 9})
+    assert langid.judge("the same text", same)[::3] == ("a", True)
+
+
 def long_words(seed, letters, n_words=3000):
     r = random.Random(seed)
     vocab = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n_words)]
@@ -323,6 +345,15 @@ def test_signature_tree_prunes_nothing_linked():
             assert forest.root(a) == forest.root(b)
 
 
+def test_jaccard_against_sql(spark, docs):
+    import duckdb
+
+    rows = [r for r in corpus() if r[1] is None or len(r[1]) < 5000][:-1]  # the SQL needs one row for each id
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    assert sorted(map(tuple, jaccard.document_links(spark.createDataFrame(rows, DOCS)).collect())) == sorted(con.execute(jaccard.SQL).fetchall())
+
+
 def test_jaccard_empty_and_stage(docs, none, spark):
     assert jaccard.document_links(none).count() == 0
     kept = jaccard.stage(spark, docs, "")
@@ -553,27 +584,100 @@ def test_warc_keeps_the_source(spark):
     assert plain == {(r["warc_type"], r["record_id"], r["header"], r["block"]) for r in rows if r["page_id"] == 2}
 
 
-def test_mixing(none, spark):
+def mix_rows(n=400):
     r = random.Random(6)
-    given = [(i, "w " * r.choice([20, 300, 1500]), r.choice(["en", "de", None]), r.choice(["hot", "hot", "s1", "s2"]), 0) for i in range(400)]
-    docs = spark.createDataFrame(given, DOCS)
-    rows = mixing.document_mix(docs).collect()
+    return [(i, "w " * r.choice([20, 300, 1500]), r.choice(["en", "de", None]), r.choice(["hot", "hot", "s1", "s2"]), 0) for i in range(n)] + [(None, None, None, None, None), (n, "", "en", "s1", 0), (n, "", "en", "s1", 0), (n + 1, "long " * 40_000, "de", "hot", 0)]
+
+
+def plain_mix(rows, targets=None):
+    """Weights and probabilities of each row by plain loops over dictionaries."""
+
+    def cell(row):
+        _, text, lang, source, _ = row
+        words = len(WORD.findall(text or ""))
+        return (source or "", lang or "", "empty" if not words else "brief" if words < 100 else "article" if words < 1000 else "long"), max(1, words)
+
+    cells = {}
+    for row in rows:
+        c, n = cell(row)
+        cells[c] = cells.get(c, 0) + n
+    total, x = sum(cells.values()), {c: float(n) for c, n in cells.items()}
+    marginal = lambda of, axis, v: sum(n for c, n in of.items() if c[axis] == v)
+    goal = {}
+    for axis, name in enumerate(mixing.AXES):
+        stated = (targets or {}).get(name)
+        share = {v: stated.get(v, 0) if stated else (marginal(cells, axis, v) / total) ** mixing.POWERS[name] for v in {c[axis] for c in cells}}
+        goal[axis] = {v: g / sum(share.values()) * total for v, g in share.items()}
+    for _ in range(300):
+        for axis in range(3):
+            have = {v: marginal(x, axis, v) for v in goal[axis]}
+            x = {c: n * goal[axis][c[axis]] / have[c[axis]] if have[c[axis]] else 0.0 for c, n in x.items()}
+    weight = {c: x[c] / cells[c] for c in cells}
+    low, high = -800.0, 800.0
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, math.exp(min(mid, 700)) * weight[c]) * cells[c] for c in cells) < mixing.BUDGET_SHARE * total else (low, mid)
+    return [(cell(row)[1], weight[cell(row)[0]], min(1, math.exp(min(high, 700)) * weight[cell(row)[0]])) for row in rows]
+
+
+@pytest.mark.parametrize("local_cells", [mixing.LOCAL_CELLS, 0])
+@pytest.mark.parametrize("targets", [None, {"lang": {"en": 0.5, "de": 0.25, "": 0.25, "xx": 9.0}, "source": {"hot": 1, "s1": 2, "s2": 2, "": 0.001}}])
+def test_mixing(spark, targets, local_cells):
+    if targets and not local_cells:
+        pytest.skip("the spread form with targets has a test of its own")
+    given = [r for r in mix_rows() if local_cells or r[0] is not None]  # the null row contradicts the default shares: 200 rounds of jobs
+    df = spark.createDataFrame(given, DOCS)
+    draw = (F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").cast("double") / 2.0**64 + 0.5).alias("draw")
+    draws = {(r["doc_id"]): r["draw"] for r in df.select("doc_id", draw).collect()}
+    rows = mixing.sampled(df, targets, local_cells=local_cells).select("doc.doc_id", "doc.n_chars", "tokens", "weight", "probability", "selected").collect()
+    want = {row[0]: w for row, w in zip(given, plain_mix(given, targets))}
+    assert len(rows) == len(given)
+    for r in rows:
+        assert (r["tokens"], r["weight"], r["probability"]) == pytest.approx(want[r["doc_id"]], rel=1e-5)
+        assert r["selected"] == (draws[r["doc_id"]] < r["probability"])
+
+
+def test_mixing_targets_of_a_small_table(spark):
+    """Stated targets are met by the weights, on the driver and spread; a value with no share gets nothing."""
+    df = spark.createDataFrame([(i, "w " * (5 + i % 7), "en" if i % 3 else "de", "a" if i % 2 else "b", 0) for i in range(60)], DOCS)
+    for cells in (10, 0):
+        rows = mixing.sampled(df, {"lang": {"en": 0.2, "de": 0.8}, "source": {"a": 1.0}, "topic": {"t1": 0.5, "t2": 0.5}}, budget=0.3, topic_of=F.when(F.col("doc_id") < 30, "t1").otherwise("t2"), local_cells=cells).collect()
+        have = lambda axis, v: sum(r["weight"] * r["tokens"] for r in rows if r[axis] == v) / sum(r["tokens"] for r in rows)  # noqa: B023, E731
+        assert (have("lang", "de"), have("source", "a"), have("source", "b"), have("topic", "t1")) == pytest.approx((0.8, 1, 0, 0.5))
+        assert not any(r["selected"] for r in rows if r["source"] == "b")
+    with pytest.raises(ValueError, match="targets of lang"):
+        mixing.sampled(df, {"lang": {"xx": 1.0}})
+    with pytest.warns(UserWarning, match="away from a target"):
+        mixing.sampled(df.where("lang = 'en' and source = 'a' or lang = 'de' and source = 'b'"), {"lang": {"en": 0.2, "de": 0.8}, "source": {"a": 0.5, "b": 0.5}})
+
+
+def test_mixing_query(none, spark):
+    given = mix_rows()
+    rows = mixing.document_mix(spark.createDataFrame(given, DOCS)).collect()
     total = sum(r["n_tokens"] for r in rows)
-    assert len(rows) == 400 and sum(r["probability"] * r["n_tokens"] for r in rows) == pytest.approx(mixing.BUDGET_SHARE * total, rel=1e-6)
-    for axis in ("source", "lang", "topic"):
-        have, goal = {}, {}
-        for r in rows:
-            have[r[axis] or ""] = have.get(r[axis] or "", 0) + r["weight"] * r["n_tokens"]
-            goal[r[axis] or ""] = goal.get(r[axis] or "", 0) + r["n_tokens"]
-        norm = sum((x / total) ** mixing.POWERS[axis] for x in goal.values())
-        for k, x in goal.items():
-            assert have[k] / sum(have.values()) == pytest.approx((x / total) ** mixing.POWERS[axis] / norm, rel=1e-6)
-    spread = mixing.sampled(docs, local_cells=0).select("doc_id", "probability").collect()
-    local = {r["doc_id"]: r["probability"] for r in rows}
-    assert all(r["probability"] == pytest.approx(local[r["doc_id"]], rel=1e-5) for r in spread)
+    assert sum(r["probability"] * r["n_tokens"] for r in rows) == pytest.approx(mixing.BUDGET_SHARE * total, rel=1e-6)
     assert mixing.document_mix(none).count() == 0
 
 
+CLASHES = ("weight", "probability", "selected", "tokens", "words", "topic", "given", "doc", "Score", "margin", "rejected", "lang_pred", "key", "sid", "label", "n", "_tokens")
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    wide = docs.drop("key", "score").select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+    for stage in (langid.stage, jaccard.stage, mixing.stage):
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns
+        kept = out.collect()
+        assert kept and all(r[c] == f"{c} of {r['doc_id']}" for r in kept for c in CLASHES)
+    assert packing.stage(spark, wide, "").count() >= wide.count()
+
+
+def test_media_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "text " * 300, 5, "keep")], "doc_id bigint, text string, level int, other string").withColumn("pcm", F.lit(1)).withColumn("media", F.lit("m"))
+    r = flac.decode(flac.encode(df.withColumn("p", flac.padded(F.col("text"))), "p")).first()
+    assert r["other"] == "keep" and bytes(r["pcm"]).startswith(b"text text") and r["level"] != 5 and bytes(r["media"])[:4] == b"fLaC"
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
