@@ -46,7 +46,7 @@ from .common import doc_fold, gathered, mix64, release, split_words, stored, tid
 
 DEPTH = 7  # bytes of context
 TOP = 4  # the nearest bytes, which name a context's range
-BLOCK_BYTES = 28 << 20
+BLOCK_BYTES = 20 << 20
 PART_BYTES = 1_500_000  # bytes of a block that are sorted at once
 RANGE_WORDS = 600_000  # distinct words of blocks in one range
 RANGE_ENTRIES = 1_500_000  # distinct (context, byte) of blocks in one range, about
@@ -543,6 +543,12 @@ def _doc_scores(total: int, distinct: int, ends: int, word_bits: int, bits: int)
             of_words = figures.filter(pc.equal(figures.column("kind"), 1)).sort_by("part")
             if len(words):
                 known[_words_dealt(words, word_bits)[0]] = _joined(of_words.column("figures").to_pylist(), np.int64)[0][0]
+            of_doc = np.repeat(np.arange(len(lengths)), lengths)
+            cols["key"], cols["held_out"] = docs.column("ids").combine_chunks().flatten(), pa.array(r["held"], pa.bool_())
+            cols["n_tokens"] = lengths + 1
+            cols["n_known"] = np.bincount(of_doc, (known > 0)[of], len(lengths)).astype(np.int64) + (ends > 0)
+            cols["base_score"] = np.bincount(of_doc, np.log10(known + 1)[of], len(lengths)) + math.log10(ends + 1) - (lengths + 1) * base_of
+            del of_doc
             stream = Stream(words.cast(pa.string()).take(pa.array(of)), lengths)
             values = figures.filter(pc.equal(figures.column("kind"), 2)).sort_by("part")
             value = np.concatenate([_unpack(v, np.float32)[0] for v in values.column("figures").to_pylist()])
@@ -557,12 +563,7 @@ def _doc_scores(total: int, distinct: int, ends: int, word_bits: int, bits: int)
                     own[order[a:z]] = value[begin[p] : begin[p] + z - a]
                     begin[p] += z - a
                 score += np.bincount(doc[e.order], e.spread(own), len(lengths))
-            of_doc = np.repeat(np.arange(len(lengths)), lengths)
-            cols["key"], cols["held_out"] = docs.column("ids").combine_chunks().flatten(), pa.array(r["held"], pa.bool_())
-            cols["n_tokens"], cols["n_bytes"] = lengths + 1, stream.size
-            cols["n_known"] = np.bincount(of_doc, (known > 0)[of], len(lengths)).astype(np.int64) + (ends > 0)
-            cols["base_score"] = np.bincount(of_doc, np.log10(known + 1)[of], len(lengths)) + math.log10(ends + 1) - (lengths + 1) * base_of
-            cols["score"] = score
+            cols["score"], cols["n_bytes"] = score, stream.size
         n = len(cols["n_tokens"])
         tidy()
         return pa.table({
