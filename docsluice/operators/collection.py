@@ -71,10 +71,10 @@ def reclassify(docs: DataFrame, changes: DataFrame) -> DataFrame:
 def manifest(chunks: DataFrame, n_documents: int | None = None) -> DataFrame:
     """One row: schema version, counts, and sha256 over the sorted chunk ids.
 
-    Ids are hashed in groups by their first characters and the groups' hashes
-    in order, so no task holds all ids.
+    Ids are hashed in groups by their first eight characters (65,536 groups, as
+    keys are hex digits) and the groups' hashes in order, so no task holds all ids.
     """
-    part = chunks.groupBy(F.substring("chunk_id", 1, 6).alias("p")).agg(F.count(F.lit(1)).alias("n"), T.sha256(F.array_join(F.array_sort(F.collect_list("chunk_id")), "")).alias("h"))
+    part = chunks.groupBy(F.substring("chunk_id", 1, 8).alias("p")).agg(F.count(F.lit(1)).alias("n"), T.sha256(F.array_join(F.array_sort(F.collect_list("chunk_id")), "")).alias("h"))
     docs = chunks.agg(F.count_distinct("doc_key").alias("document_count"))
     whole = part.agg(F.sum("n").alias("chunk_count"), T.sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "")).alias("ids_sha256"))
     return whole.crossJoin(docs).select(F.lit("2.0").alias("schema_version"), "document_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "ids_sha256")
@@ -91,6 +91,30 @@ def over_limit(chunks: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
     return chunks.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
 
 
+def ingest_report(raw: DataFrame, cut, existing: DataFrame | None = None, most: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents and chunks that are taken in, and for every raw row (row_id, title, status, chunk_count).
+
+    ``cut`` makes chunks of documents. Statuses: INGESTED; DUPLICATE of a row or
+    of ``existing``, with 0 chunks; TOO_MANY_CHUNKS, which refuses the document;
+    or the load error.
+    """
+    fresh = ingest(raw, existing, max_chars)
+    chunks = cut(fresh)
+    counts = chunks.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"))
+    refused = over_limit(chunks, most).select("doc_key")
+    seen = fresh.join(counts, "doc_key", "left").select("row_id", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = validated(raw, max_chars).select("row_id", "title", "load_error").join(seen, "row_id", "left")
+    status = F.coalesce("load_error", F.when(F.col("n").isNull(), "DUPLICATE").when(F.col("n") > most, "TOO_MANY_CHUNKS").otherwise("INGESTED"))
+    report = rows.select("row_id", "title", status.alias("status"), F.when(status == "INGESTED", F.col("n")).otherwise(F.lit(0)).alias("chunk_count"))
+    return fresh.join(refused, "doc_key", "left_anti"), chunks.join(refused, "doc_key", "left_anti"), report
+
+
+def cleared(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The empty collection, and how many documents and chunks went."""
+    counts = docs.agg(F.count(F.lit(1)).alias("deleted_documents")).crossJoin(chunks.agg(F.count(F.lit(1)).alias("deleted_chunks")))
+    return docs.limit(0), chunks.limit(0), counts
+
+
 def matching(docs: DataFrame, needle: str) -> DataFrame:
     """Documents whose title or category holds ``needle`` in any case."""
     low = F.lit(needle.lower())

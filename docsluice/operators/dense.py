@@ -66,28 +66,63 @@ def _block_top(dim: int, k: int):
     return run
 
 
-def search(chunks: DataFrame, queries: DataFrame, dim: int = 384, k: int = TOP) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k highest inner products of each query, by six places, ties by chunk_id.
+def _searched(a: DataFrame, b: DataFrame, n: int, m: int, dim: int, k: int) -> DataFrame:
+    """(query_id, chunk_id, similarity): the best of each block of ``a`` (chunk_id, slots, weights) for each row of ``b`` (query_id, slots, weights).
 
-    Chunks and queries meet in blocks of bounded size; each block gives its own
-    best, and a window picks the final ones.
+    Both sides meet in blocks of bounded size, so a task holds one block of each.
     """
-    a, b = embed(chunks, "chunk_id", "content", dim), embed(queries, "query_id", "query", dim)
-    n, m = chunks.count(), queries.count()
     rows, cols = max(1, -(-n // CHUNK_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     part = lambda key, size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
     spread = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name)
     a = a.select("chunk_id", "slots", "weights", part("chunk_id", rows).alias("cb")).select("*", spread("qb", cols))
     b = b.select("query_id", "slots", "weights", part("query_id", cols).alias("qb")).select("*", spread("cb", rows))
-    found = a.groupBy("cb", "qb").cogroup(b.groupBy("cb", "qb")).applyInArrow(_block_top(dim, k), "query_id bigint, chunk_id string, similarity double")
+    return a.groupBy("cb", "qb").cogroup(b.groupBy("cb", "qb")).applyInArrow(_block_top(dim, k), "query_id bigint, chunk_id string, similarity double")
+
+
+def search(chunks: DataFrame, queries: DataFrame, dim: int = 384, k: int = TOP) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k highest inner products of each query, by six places, ties by chunk_id.
+
+    Each block gives its own best, and a window picks the final ones. Chunks
+    are read twice (count and embedding): pass a stored table.
+    """
+    found = _searched(embed(chunks, "chunk_id", "content", dim), embed(queries, "query_id", "query", dim), chunks.count(), queries.count(), dim, k)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+CLOUD_DIM = 768
+
+
+def search_space(chunks: DataFrame, queries: DataFrame, mode: str, space: str = "local", k: int = TOP) -> DataFrame:
+    """Search in the local (384) or the cloud (768) space. The cloud space is refused in airgap mode, before any job runs."""
+    if space not in ("local", "cloud") or mode not in ("airgap", "cloud"):
+        raise ValueError(f"unknown space or mode: {space}, {mode}")
+    if space == "cloud" and mode == "airgap":
+        raise PermissionError("the cloud space must not be searched in airgap mode")
+    return search(chunks, queries, CLOUD_DIM if space == "cloud" else 384, k)
+
+
+def both_spaces(chunks: DataFrame) -> DataFrame:
+    """(space, chunk_id, slots, weights): the embeddings of both spaces, as ``sinks.vectors`` writes them."""
+    each = [embed(chunks, "chunk_id", "content", dim).select(F.lit(space).alias("space"), "chunk_id", "slots", "weights") for space, dim in (("local", 384), ("cloud", CLOUD_DIM))]
+    return each[0].unionByName(each[1])
+
+
+def index_update(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """An index (chunk_id and any columns) without the ids of ``removed`` and with ``added``, which replace rows of their ids."""
+    out = index
+    for gone in (removed, added):
+        if gone is not None:
+            out = out.join(gone.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return out if added is None else out.unionByName(added)
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """Flat search of supplied dense vectors: (query_id, vec_id, score, rank) by cosine, both sides made of unit length. Queries: query_id and v; vectors: vec_id and v. A query's own row competes too."""
-    unit = vectors.select("vec_id", V.normalised(F.col("v")).alias("a"))
-    asked = queries.select("query_id", V.normalised(F.col("v")).alias("b"))
+    dense = lambda df, key, name: df.where(F.size("v") > 0).select(F.col(key).cast("string" if name == "chunk_id" else "bigint").alias(name), F.sequence(F.lit(0), F.size("v") - 1).alias("slots"), V.normalised(F.col("v")).alias("weights"))
+    a, b = dense(vectors, "vec_id", "chunk_id"), dense(queries, "query_id", "query_id")
+    figures = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first() for df in (vectors, queries)]
+    found = _searched(a, b, figures[0]["n"], figures[1]["n"], max(1, *(f["dim"] for f in figures)), k)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = unit.crossJoin(asked).select("query_id", "vec_id", F.round(V.dot(F.col("a"), F.col("b")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    rows = found.select("query_id", F.col("chunk_id").cast("bigint").alias("vec_id"), F.round("similarity", 6).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

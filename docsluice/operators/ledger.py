@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +14,20 @@ EVENTS = ("GENESIS", "DOCUMENT_INGEST", "PII_REDACT", "LOCAL_QUERY", "AIR_GAP_VE
 
 
 def json_text(value: Column) -> Column:
-    """A JSON string literal with escapes for quotes, backslashes and control characters; other characters must be ASCII."""
-    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, esc in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(raw), F.lit(esc))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A JSON string literal of printable ASCII: escapes for quotes, backslashes and control characters, ``\\uXXXX`` (pairs beyond the basic plane) for all others."""
+    hex4 = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c):
+        n = F.ascii(c)
+        high, low = (n - 0x10000).bitwiseAND(0xFFC00) / 1024 + 0xD800, (n - 0x10000).bitwiseAND(0x3FF) + 0xDC00
+        out = F.when(n > 0xFFFF, F.concat(hex4(high.cast("int")), hex4(low))).when((n < 32) | (n > 126), hex4(n)).otherwise(c)
+        for raw, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"), ('"', '\\"'), ("\\", "\\\\")):
+            out = F.when(c == F.lit(raw), F.lit(short)).otherwise(out)
+        return out
+
+    plain = F.rlike(value, F.lit(r'^[ !#-\[\]-~]*$'))  # nothing to escape
+    long = F.array_join(F.transform(F.split(value, ""), escaped), "")
+    return F.concat(F.lit('"'), F.when(plain, value).otherwise(long), F.lit('"'))
 
 
 def json_object(**fields: Column) -> Column:
@@ -61,6 +74,15 @@ def error(kind: Column, message: Column) -> tuple[Column, Column]:
     return F.concat(F.lit("Error: ["), kind, F.lit("] "), F.left(message, F.lit(120))), json_object(error_class=json_text(kind), message=json_text(message))
 
 
+def mode_switch(mode: Column) -> tuple[Column, Column]:
+    return F.concat(F.lit("Mode switched to "), mode), json_object(mode=json_text(mode))
+
+
+def system_shutdown(message: Column) -> tuple[Column, Column]:
+    """The message is the caller's; there are no data."""
+    return message, F.lit("{}")
+
+
 def data_hash(summary: Column, data: Column) -> Column:
     return F.sha2(F.concat(summary, data), 256)
 
@@ -69,24 +91,70 @@ def current_hash(index: Column, ts: Column, kind: Column, data: Column, previous
     return F.sha2(F.concat_ws(":", index.cast("string"), ts, kind, data, previous), 256)
 
 
+_NO_KEY = object()
+RECORD = "idx bigint, ts string, event_type string, payload_summary string, data_hash string, previous_hash string, current_hash string"
+
+
+def fold(rows: DataFrame, key: str, first: tuple[str, str] | None = None) -> DataFrame:
+    """Chains rows that one partition holds whole for each key, in order. ``first`` names columns with the index and the hash that a key's chain goes on from."""
+    names = [key, "idx", "ts", "event_type", "payload_summary", "data_hash", *(first or ())]
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, {RECORD}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, last = _NO_KEY, None, GENESIS
+        for b in batches:
+            cols = {n: b.column(n).to_pylist() for n in names}
+            index, before, after = [], [], []
+            for i, k in enumerate(cols[key]):
+                if now is _NO_KEY or k != now:
+                    now, at, last = k, *((cols[first[0]][i], cols[first[1]][i]) if first else (None, GENESIS))
+                number = cols["idx"][i] if at is None else at
+                text = ":".join(x for x in (str(number), cols["ts"][i], cols["event_type"][i], cols["data_hash"][i], last) if x is not None)
+                index.append(number)
+                before.append(last)
+                last = hashlib.sha256(text.encode()).hexdigest()
+                after.append(last)
+                at = None if at is None else at + 1
+            kept = [b.column(n) for n in ("ts", "event_type", "payload_summary", "data_hash")]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(index, pa.int64()), *kept, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[key, *[f.split(" ")[0] for f in RECORD.split(", ")]])
+
+    return rows.select(*names).repartition(key).sortWithinPartitions(key, "idx").mapInArrow(run, schema)
+
+
 def chained(events: DataFrame, key: str = "ledger") -> DataFrame:
     """Chain of each ledger: events (key, idx, ts, event_type, payload_summary, data_hash), idx from 0 without gaps.
 
-    A chain is serial by nature, so each ledger is one fold; many ledgers run
-    side by side. Keep ledgers bounded (a day, a tenant, a bucket).
+    A chain is serial by nature: each ledger is one pass over its sorted rows,
+    which are streamed, never gathered. Many ledgers run side by side.
     """
-    item = F.struct("idx", "ts", "event_type", "payload_summary", "data_hash")
-    items = F.array_sort(F.collect_list(item))
-    out_type = "array<struct<idx:bigint,ts:string,event_type:string,payload_summary:string,data_hash:string,previous_hash:string,current_hash:string>>"
-
-    def step(acc, e):
-        now = current_hash(e["idx"], e["ts"], e["event_type"], e["data_hash"], acc["prev"])
-        row = F.struct(e["idx"].cast("bigint").alias("idx"), e["ts"].alias("ts"), e["event_type"].alias("event_type"), e["payload_summary"].alias("payload_summary"), e["data_hash"].alias("data_hash"), acc["prev"].alias("previous_hash"), now.alias("current_hash"))
-        return F.struct(now.alias("prev"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast(out_type).alias("out"))
-    folded = events.groupBy(key).agg(items.alias("items")).select(key, F.aggregate("items", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.inline("out"))
+    return fold(events, key)
+
+
+def loaded(ledger: DataFrame, key: str = "ledger") -> DataFrame:
+    """``ledger`` itself if it is sound; ValueError if it is empty, a record is malformed or a chain is broken."""
+    want = [f.split(" ")[0] for f in RECORD.split(", ")]
+    missing = [c for c in [key, *want] if c not in ledger.columns]
+    if missing:
+        raise ValueError("the ledger lacks " + ", ".join(missing))
+    wrong = F.exists(F.array(*[F.col(c).cast("string") for c in [key, *want]]), lambda x: x.isNull()) | ~F.col("event_type").isin(*EVENTS) | ~F.rlike("data_hash", F.lit("^[0-9a-f]{64}$"))
+    shape = ledger.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong")).first()
+    if not shape["n"]:
+        raise ValueError("the ledger is empty")
+    if shape["wrong"]:
+        raise ValueError(f"{shape['wrong']} records of the ledger are malformed")
+    broken = verified(ledger, key).agg(F.count_if(~F.col("valid")).alias("n"), F.min(F.when(~F.col("valid"), F.struct(key, "first_bad"))).alias("x")).first()
+    if broken["n"]:
+        raise ValueError(f"{broken['n']} chains are broken, the first at {tuple(broken['x'])}")
+    return ledger
+
+
+def read(spark, path: str, key: str = "ledger") -> DataFrame:
+    """A stored ledger (JSON lines); anything that does not parse or hold raises."""
+    parsed = F.from_json("value", f"{key} string, {RECORD}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
+    if not rows.where("_bad is not null").isEmpty():
+        raise ValueError(f"{path} holds lines that are no JSON")
+    return loaded(rows.drop("_bad"), key)
 
 
 def verified(ledger: DataFrame, key: str = "ledger") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.tables import stored
 
 K1, B = 1.5, 0.75
 TOP = 20
@@ -14,7 +15,11 @@ TOP = 20
 
 def term_frequencies(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(chunk_id, dl, term, tf). With ``only`` (column term) other terms go before the count."""
-    terms = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")).select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return _counted(chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")), only)
+
+
+def _counted(tokens: DataFrame, only: DataFrame | None) -> DataFrame:
+    terms = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -45,9 +50,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, bm25) of every chunk with a term of the query. The side of the queries is not hinted: the optimizer broadcasts it while it is small."""
     asked = query_terms(queries)
-    tf = term_frequencies(chunks, asked)
+    tokens = stored(chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")), "tokens")  # cut once for counts and statistics
+    tf = stored(_counted(tokens, asked), "tf")
     df = document_frequencies(tf)
-    each = tf.join(df, "term").crossJoin(F.broadcast(corpus_statistics(chunks)))
+    whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
+    each = tf.join(df, "term").crossJoin(F.broadcast(whole))  # one row
     each = each.select("term", "chunk_id", weight(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("w"))
     return each.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
 

@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+CUTS = 64
+
+
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
     """For each group and named share p the value at 0-based place min(int(n * p), n - 1); not interpolated.
 
-    Equal values are counted before they are ranked, so the window runs over
-    distinct values.
+    Equal values are counted first. Approximate quantiles cut a group into
+    buckets; only those that hold a place that is asked for are ranked, so no
+    task ranks a whole group, however many distinct values it has.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    rows = counts.select(*by, value, F.sum("c").over(upto).alias("z"), F.sum("c").over(whole).alias("n"))
-    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("z") > place(p), F.col(value))).alias(k) for k, p in shares.items()])
+    rows = df.where(F.col(value).isNotNull())
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")).join(cuts, by)
+    counts = counts.select(*by, value, "c", "n", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("bucket"))
+    totals = counts.groupBy(*by, "bucket", "n").agg(F.sum("c").alias("t"))
+    upto = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("z", F.sum("t").over(upto)).withColumn("a", F.col("z") - F.col("t"))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("place")) for k, p in shares.items()]))
+    wanted = totals.select(*by, "bucket", "a", "z", asked.alias("x")).where((F.col("x.place") >= F.col("a")) & (F.col("x.place") < F.col("z"))).select(*by, "bucket", "a", "x.name", "x.place")
+    inside = Window.partitionBy(*by, "bucket", "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(wanted, [*by, "bucket"]).withColumn("upto", F.col("a") + F.sum("c").over(inside)).where(F.col("upto") > F.col("place"))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("name") == k, F.col(value))).alias(k) for k in shares])
 
 
 def accuracy(results: DataFrame, expected: str, got: str) -> DataFrame:

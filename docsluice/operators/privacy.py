@@ -111,7 +111,7 @@ ENTITY = "struct<id:string,type:string,raw:string,token:string,start_index:int,e
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add redacted_text, entities, token_map, risk and redact_error (NUL_BYTE for texts with NUL, which stay unread). Null text gives nulls, no entities, risk 0.
+    """Add redacted_text, entities, token_map, risk and redact_error (NUL_BYTE for texts with NUL, which are refused: their redacted_text is null). Null text gives nulls, no entities, risk 0.
 
     token_map holds raw identifiers: keep it in a restricted table.
     """
@@ -127,7 +127,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
                 rows = []
                 for t in part.column(text).to_pylist():
                     if t is None or "\x00" in t:
-                        rows.append((t, [], [], None if t is None else "NUL_BYTE"))
+                        rows.append((None, [], [], None if t is None else "NUL_BYTE"))
                         continue
                     clean, found, tokens = redact_text(t)
                     rows.append((clean, [{"id": f"ent_{i + 1}", "type": e[0], "raw": e[1], "token": e[2], "start_index": e[3], "end_index": e[4], "confidence": e[5]} for i, e in enumerate(found)], list(tokens.items()), None))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.tables import stored
 from . import collection, dense, lexical
 
 RRF_K = 60
@@ -20,17 +21,17 @@ NOTE = "\n\nNote: Local LLM unavailable. Response synthesized deterministically
 def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, chunk_id, rank), in the order given.
 
-    (query_id, chunk_id, rrf, rank): the sum of 1 / (k + rank) to six places;
-    ties go to the chunk seen first, ranking by ranking. A chunk that stands
+    (query_id, chunk_id, rrf, rank): the sum of 1 / (k + rank), ranked as it is
+    and then rounded to six places; ties go to the chunk seen first, ranking by ranking. A chunk that stands
     twice in one ranking counts twice.
     """
     both = None
     for i, r in enumerate(rankings):
         one = r.select("query_id", "chunk_id", (1.0 / (F.lit(k) + F.col("rank"))).alias("s"), F.struct(F.lit(i).alias("i"), F.col("rank").alias("r")).alias("seen"))
         both = one if both is None else both.unionByName(one)
-    total = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("rrf"), F.min("seen").alias("seen"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "seen", "chunk_id")
-    return total.withColumn("rank", F.row_number().over(by)).select("query_id", "chunk_id", "rrf", "rank")
+    total = both.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("whole"), F.min("seen").alias("seen"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("whole"), "seen", "chunk_id")
+    return total.withColumn("rank", F.row_number().over(by)).select("query_id", "chunk_id", F.round("whole", 6).alias("rrf"), "rank")
 
 
 def citation(title: Column, page: Column, first: Column, last: Column) -> Column:
@@ -40,9 +41,11 @@ def citation(title: Column, page: Column, first: Column, last: Column) -> Column
 def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, dim: int = 384, k: int = RRF_K) -> DataFrame:
     """The fused top_k chunks of each query with their scores (0 where a ranking lacks the chunk), text and citation.
 
-    A column top_k of ``queries`` takes precedence over the argument.
+    A column top_k of ``queries`` takes precedence over the argument. Chunks
+    and both rankings are stored, as several steps read each.
     """
-    near, words = dense.search(chunks, queries, dim), lexical.top(lexical.scores(chunks, queries))
+    chunks = stored(chunks, "chunks")
+    near, words = stored(dense.search(chunks, queries, dim), "near"), stored(lexical.top(lexical.scores(chunks, queries)), "words")
     limits = queries.select("query_id", (F.col("top_k") if "top_k" in queries.columns else F.lit(top_k)).alias("limit"))
     best = fuse([near, words], k).join(limits, "query_id").where(F.col("rank") <= F.col("limit")).drop("limit")
     best = best.join(near.select("query_id", "chunk_id", F.col("score").alias("sim")), ["query_id", "chunk_id"], "left").join(words.select("query_id", "chunk_id", F.col("score").alias("bm")), ["query_id", "chunk_id"], "left")

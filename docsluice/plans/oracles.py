@@ -92,8 +92,13 @@ DENSE = f"""{BM25}, {embedded('ce', 'chunks', 'chunk_id', 'content', 384)}, {emb
   chunk_ids AS (SELECT DISTINCT chunk_id FROM ce), query_ids AS (SELECT DISTINCT query_id FROM qe), pairs AS (SELECT query_id, chunk_id, sum(ce.weight * qe.weight) AS s FROM ce JOIN qe USING (slot) GROUP BY ALL),
   dn AS (SELECT query_id, chunk_id, round(coalesce(s, 0), 6) AS score FROM query_ids CROSS JOIN chunk_ids LEFT JOIN pairs USING (query_id, chunk_id)),
   dn_top AS (SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM dn) WHERE rank <= 20)"""
+JSON_TEXT = r"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents),
+  e AS (SELECT doc_id, list_transform(c, lambda x: CASE x WHEN '"' THEN '\"' WHEN '\' THEN '\\' WHEN chr(10) THEN '\n' WHEN chr(13) THEN '\r' WHEN chr(9) THEN '\t' WHEN chr(8) THEN '\b' WHEN chr(12) THEN '\f'
+    ELSE CASE WHEN unicode(x) BETWEEN 32 AND 126 THEN x WHEN unicode(x) < 65536 THEN '\u' || lpad(lower(to_hex(unicode(x))), 4, '0')
+      ELSE '\u' || lower(to_hex(55296 + (unicode(x) - 65536) // 1024)) || '\u' || lower(to_hex(56320 + (unicode(x) - 65536) % 1024)) END END) AS e FROM c)
+  SELECT doc_id, sha256('"' || coalesce(array_to_string(e, ''), '') || '"') AS sha256 FROM e"""
 FUSED = f"""{DENSE}, seen AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS s, rank AS o FROM dn_top UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank), 1000 + rank FROM bm_top),
-  fused AS (SELECT query_id, chunk_id, rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, o, chunk_id) AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, round(sum(s), 6) AS rrf, min(o) AS o FROM seen GROUP BY ALL))"""
+  fused AS (SELECT query_id, chunk_id, rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, o, chunk_id) AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, sum(s) AS whole, round(sum(s), 6) AS rrf, min(o) AS o FROM seen GROUP BY ALL))"""
 HYBRID = f"""{FUSED}, got AS (SELECT f.query_id, f.rank, f.chunk_id, c.title, c.category, c.content, c.page_number, c.start_line, c.end_line, round(coalesce(d.score, 0), 4) AS similarity_score, round(coalesce(b.score, 0), 4) AS bm25_score, round(f.rrf, 4) AS rrf_score,
     'Doc: ' || c.title || ', Page ' || c.page_number || ', Line ' || c.start_line || '-' || c.end_line AS citation_label
   FROM fused f JOIN chunks c USING (chunk_id) LEFT JOIN dn_top d USING (query_id, chunk_id) LEFT JOIN bm_top b USING (query_id, chunk_id) WHERE f.rank <= 4)"""
@@ -224,7 +229,7 @@ def sql() -> dict[str, str]:
         "dedup_sha256": f"WITH {CORPUS} SELECT doc_key, row_id, sha256, category FROM corpus",
         "delete_document": f"WITH {CHUNKS} SELECT doc_key, count(chunk_id) AS chunks FROM corpus LEFT JOIN chunks USING (doc_key) WHERE corpus.category <> 'LEGAL' GROUP BY 1",
         "reclassify": f"WITH {CORPUS} SELECT doc_key, CASE lang WHEN 'de' THEN 'FINANCIAL' WHEN 'fr' THEN 'GENERAL' ELSE category END AS category FROM corpus JOIN documents ON row_id = doc_id",
-        "manifest": f"WITH {CHUNKS}, p AS (SELECT substr(chunk_id, 1, 6) AS p, count(*) AS n, sha256(string_agg(chunk_id, '' ORDER BY chunk_id)) AS h FROM chunks GROUP BY 1) SELECT '2.0' AS schema_version, (SELECT count(DISTINCT doc_key) FROM chunks) AS document_count, CAST(sum(n) AS BIGINT) AS chunk_count, sha256(string_agg(h, '' ORDER BY p)) AS ids_sha256 FROM p",
+        "manifest": f"WITH {CHUNKS}, p AS (SELECT substr(chunk_id, 1, 8) AS p, count(*) AS n, sha256(string_agg(chunk_id, '' ORDER BY chunk_id)) AS h FROM chunks GROUP BY 1) SELECT '2.0' AS schema_version, (SELECT count(DISTINCT doc_key) FROM chunks) AS document_count, CAST(sum(n) AS BIGINT) AS chunk_count, sha256(string_agg(h, '' ORDER BY p)) AS ids_sha256 FROM p",
         "collection_stats": f"WITH {CHUNKS} SELECT category, documents, chunks, category <> 'GENERAL' AS sensitive FROM (SELECT category, count(*) AS documents FROM corpus GROUP BY 1) LEFT JOIN (SELECT category, count(*) AS chunks FROM chunks GROUP BY 1) USING (category)",
         "doc_filter": f"WITH {CORPUS} SELECT doc_key, title, category FROM corpus WHERE contains(lower(title), 'src1') OR contains(lower(category), 'src1')",
         "pii_type_counts": _pii(),
@@ -239,6 +244,8 @@ def sql() -> dict[str, str]:
         "claim_verify": f"WITH {VERIFIED} SELECT query_id, claim_index, status, verifying_doc, verifying_lines, confidence FROM claims",
         "grounding_report": f"WITH {reg}",
         "ledger_data_hash": f"WITH {EVENTS} SELECT ledger, idx, payload_summary, data_hash FROM hashed",
+        "ledger_json": JSON_TEXT,
+        "ingest_status": f"WITH {CHUNKS}, n AS (SELECT doc_key, count(*) AS n FROM chunks GROUP BY 1), given AS (SELECT doc_id, source || '_' || doc_id AS title, text, 'doc_' || left(sha256(text), 12) AS doc_key, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS turn FROM documents), s AS (SELECT doc_id, title, CASE WHEN length(text) = 0 THEN 'EMPTY' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'WHITESPACE' WHEN length(text) > 5000000 THEN 'TOO_LARGE' WHEN turn > 1 THEN 'DUPLICATE' WHEN n > 60 THEN 'TOO_MANY_CHUNKS' ELSE 'INGESTED' END AS status, n FROM given LEFT JOIN n USING (doc_key)) SELECT doc_id AS row_id, title, status, CASE WHEN status = 'INGESTED' THEN n ELSE 0 END AS chunk_count FROM s",
         "ledger_chain": f"WITH RECURSIVE {CHAIN} SELECT ledger, idx, previous_hash, current_hash FROM chain",
         "ledger_verify": checked("data_hash"),
         "ledger_tamper": checked("CASE WHEN idx = 2 THEN repeat('0', 64) ELSE data_hash END"),

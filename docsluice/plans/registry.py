@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.tables import shared_dir, stored
 from ..operators import chunk, collection, dense, grounding, ledger, lexical, metrics, privacy, retrieve, telemetry
 from ..sources import files
 from ..streaming import streams
@@ -26,6 +27,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _kept_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """For queries that read the chunks more than once."""
+    return stored(_chunks(spark, d), "chunks")
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.fixed(collection.corpus(spark, d))
 
@@ -134,7 +140,7 @@ def corpus_stats(spark, d):
 
 @query
 def idf(spark, d):
-    c = _chunks(spark, d)
+    c = _kept_chunks(spark, d)
     rows = lexical.document_frequencies(lexical.term_frequencies(c)).crossJoin(F.broadcast(lexical.corpus_statistics(c)))
     return rows.select("term", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
@@ -228,7 +234,7 @@ def hash_embed_sparse_768(spark, d):
 
 @query
 def dense_topk(spark, d):
-    return dense.search(_chunks(spark, d), _questions(spark, d))
+    return dense.search(_kept_chunks(spark, d), _questions(spark, d))
 
 
 # ---- fusion and retrieval
@@ -236,7 +242,7 @@ def dense_topk(spark, d):
 
 @query
 def rrf_fuse(spark, d):
-    c, q = _chunks(spark, d), _questions(spark, d)
+    c, q = _kept_chunks(spark, d), _questions(spark, d)
     return retrieve.fuse([dense.search(c, q), lexical.top(lexical.scores(c, q))])
 
 
@@ -454,6 +460,18 @@ def ledger_data_hash(spark, d):
     return _events(spark, d).select("ledger", "idx", "payload_summary", "data_hash")
 
 
+@query
+def ledger_json(spark, d):
+    """Hash of every text as a JSON string, as the ledger's payloads hold texts: non-ASCII and control characters escaped."""
+    return _t(spark, d, "documents").select("doc_id", F.sha2(ledger.json_text(F.col("text")), 256).alias("sha256"))
+
+
+@query
+def ingest_status(spark, d):
+    """What becomes of every document: taken in with its chunks, a duplicate with none, or refused."""
+    return collection.ingest_report(collection.from_documents(_t(spark, d, "documents")), chunk.fixed, most=60)[2]
+
+
 @query
 def ledger_chain(spark, d):
     return ledger.chained(_events(spark, d)).select("ledger", "idx", "previous_hash", "current_hash")
@@ -516,8 +534,7 @@ def ledger_event_counts(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or (spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_shared')}/streams-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams-{uuid.uuid4().hex}"
 
 
 @query
@@ -533,11 +550,12 @@ def stream_ingest_dedup(spark, d):
 @query
 def stream_ledger_counts(spark, d):
     """Event counts as a stream with a watermark, in complete mode."""
-    at, name = _scratch(spark), "counts_" + uuid.uuid4().hex
+    at = _scratch(spark)
     schema = _t(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    streams.event_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/table")
+    streams.event_counts(events).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/table").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query

@@ -22,10 +22,8 @@ EXTENSIONS = (".pdf", ".txt", ".md", ".py", ".js", ".ts", ".json", ".csv", ".htm
 MAX_BYTES = 50 << 20
 _ESCAPES = {b"n": "\n", b"r": "\r", b"t": "\t", b"b": "\b", b"f": "\f"}
 _PDF_ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.DOTALL)
-_STREAM = re.compile(rb"stream[\r\n]+(.*?)[\r\n]+endstream", re.DOTALL)
-_SHOWN = re.compile(rb"\((.*?)\)\s*Tj", re.DOTALL)
-_SHOWN_ARRAY = re.compile(rb"\[(.*?)\]\s*TJ", re.DOTALL)
-_PART = re.compile(rb"\((.*?)\)", re.DOTALL)
+#: Of a content stream: the start of a string literal, a hex string, a name or number (passed over), an operator.
+_PDF_TOKEN = re.compile(rb"\(|<(?P<hex>[0-9A-Fa-f\s]*)>|[/+.\-0-9][^\s()<>\[\]/]*|(?P<word>[A-Za-z'\"*][A-Za-z0-9'\"*]*)")
 
 
 def decoded(content: Column) -> Column:
@@ -53,18 +51,70 @@ def unescape_pdf(raw: bytes) -> str:
     return "".join(out) + raw[at:].decode("latin-1")
 
 
-def pdf_text(content: bytes) -> str:
-    """Text of the Tj and TJ operators of a PDF's streams, inflated where they are deflated."""
-    out = []
-    for stream in _STREAM.finditer(content):
-        data = stream[1]
+def _literal_end(data: bytes, at: int) -> int:
+    """Place of the parenthesis that closes the string literal whose content begins at ``at``."""
+    depth = 1
+    while at < len(data):
+        c = data[at]
+        if c == 0x5C:  # the next byte is escaped
+            at += 1
+        elif c == 0x28:
+            depth += 1
+        elif c == 0x29:
+            depth -= 1
+            if not depth:
+                return at
+        at += 1
+    return len(data)
+
+
+def shown_strings(data: bytes) -> list[str]:
+    """Strings that a content stream shows. Operands gather until an operator takes them; Tj, TJ, ' and " show theirs."""
+    out, operands, at = [], [], 0
+    while (m := _PDF_TOKEN.search(data, at)) is not None:
+        at = m.end()
+        if m[0] == b"(":
+            end = _literal_end(data, at)
+            operands.append(unescape_pdf(data[at:end]))
+            at = end + 1
+        elif m["hex"] is not None:
+            digits = b"".join(m["hex"].split())
+            operands.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1"))
+        elif m["word"] is not None:
+            if m["word"] in (b"Tj", b"TJ", b"'", b'"'):
+                out += operands
+            operands = []
+    return out
+
+
+def pdf_streams(content: bytes) -> Iterator[bytes]:
+    """Bodies between ``stream`` and ``endstream``, inflated where they are deflated."""
+    at = 0
+    while (at := content.find(b"stream", at)) >= 0:
+        begin, opens = at + 6, content[at - 3 : at] != b"end"
+        at = begin
+        if not opens:
+            continue
+        end = content.find(b"endstream", begin)
+        body = content[begin : end if end >= 0 else len(content)].lstrip(b"\r\n")
+        unpack = zlib.decompressobj()
         try:
-            data = zlib.decompress(data)
+            body = unpack.decompress(body)
         except zlib.error:
-            pass
-        out += [unescape_pdf(m[1]) for m in _SHOWN.finditer(data)]
-        out += [unescape_pdf(p[1]) for m in _SHOWN_ARRAY.finditer(data) for p in _PART.finditer(m[1])]
-    return " ".join(out).strip()
+            body = body.rstrip(b"\r\n")
+        yield body
+        at = end if end >= 0 else len(content)
+
+
+def pdf_text(content: bytes) -> str:
+    """Text that the content streams of a PDF show, in their order."""
+    return " ".join(s for body in pdf_streams(content) for s in shown_strings(body)).strip()
+
+
+def pdf_error(content: Column) -> Column:
+    """ENCRYPTED_PDF or EMPTY_PDF (a page tree of no pages), else null."""
+    text = F.decode(content, "ISO-8859-1")
+    return F.when(F.rlike(text, F.lit(r"/Encrypt\s")), "ENCRYPTED_PDF").when(F.rlike(text, F.lit(r"/Type\s*/Pages\b")) & ~F.rlike(text, F.lit(r"/Count\s+[1-9]")) & F.rlike(text, F.lit(r"/Count\s+0")), "EMPTY_PDF")
 
 
 def _pdf_texts(df: DataFrame) -> DataFrame:
@@ -82,14 +132,14 @@ def _pdf_texts(df: DataFrame) -> DataFrame:
 def load(files: DataFrame, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHARS) -> DataFrame:
     """Rows (path, length, content) of Spark's binaryFile source become (path, name, kind, sha256, text, load_error).
 
-    Guards in order: EMPTY, TOO_LARGE, UNSUPPORTED, CORRUPT_PDF, WHITESPACE,
-    TOO_MANY_CHARS. A bad file is a row with an error, never a failed job. Only
+    Guards in order: EMPTY, TOO_LARGE, UNSUPPORTED, CORRUPT_PDF, ENCRYPTED_PDF,
+    EMPTY_PDF, WHITESPACE, TOO_MANY_CHARS. A bad file is a row with an error, never a failed job. Only
     PDFs pass through Python.
     """
     ext = T.extension(F.col("path"))
     rows = files.withColumn("ext", ext)
     guard = F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > max_bytes, "TOO_LARGE").when(~F.col("ext").isin(*EXTENSIONS), "UNSUPPORTED").when((F.col("ext") == ".pdf") & (F.substring("content", 1, 4) != F.lit(b"%PDF")), "CORRUPT_PDF")
-    rows = rows.withColumn("guard", guard)
+    rows = rows.withColumn("guard", F.coalesce(guard, F.when(F.col("ext") == ".pdf", pdf_error(F.col("content")))))
     plain = rows.where(F.coalesce(F.col("ext") != ".pdf", F.lit(True)) | F.col("guard").isNotNull()).withColumn("raw", F.when(F.col("guard").isNull(), decoded(F.col("content"))))
     pdf = _pdf_texts(rows.where((F.col("ext") == ".pdf") & F.col("guard").isNull()).select(*rows.columns)).withColumnRenamed("pdf", "raw")
     both = plain.unionByName(pdf).withColumn("text", T.normal_lines(F.col("raw")))

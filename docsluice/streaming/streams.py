@@ -48,22 +48,13 @@ def append_batch(target: str, key: str = "ledger") -> Callable[[DataFrame, int],
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        item = F.struct("idx", "ts", "event_type", "payload_summary", "data_hash")
-        rows = batch.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        rows = batch.select(key, "idx", "ts", "event_type", "payload_summary", "data_hash")
         if ends is None:
-            rows = rows.select(key, "items", F.lit(0).cast("bigint").alias("n"), F.lit(ledger.GENESIS).alias("prev"))
+            rows = rows.select("*", F.lit(0).cast("bigint").alias("n"), F.lit(ledger.GENESIS).alias("prev"))
         else:
             last = old.join(ends, key).where(F.col("idx") == F.col("n") - 1).select(key, "n", F.col("current_hash").alias("prev"))
-            rows = rows.join(last, key, "left").select(key, "items", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("prev", F.lit(ledger.GENESIS)).alias("prev"))
-        out_type = "array<struct<idx:bigint,ts:string,event_type:string,payload_summary:string,data_hash:string,previous_hash:string,current_hash:string>>"
-
-        def step(acc, e):
-            now = ledger.current_hash(acc["n"], e["ts"], e["event_type"], e["data_hash"], acc["prev"])
-            row = F.struct(acc["n"].alias("idx"), e["ts"].alias("ts"), e["event_type"].alias("event_type"), e["payload_summary"].alias("payload_summary"), e["data_hash"].alias("data_hash"), acc["prev"].alias("previous_hash"), now.alias("current_hash"))
-            return F.struct((acc["n"] + 1).alias("n"), now.alias("prev"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-        start = F.struct("n", "prev", F.array().cast(out_type).alias("out"))
-        rows.select(key, F.inline(F.aggregate("items", start, step, lambda a: a["out"]))).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            rows = rows.join(last, key, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("prev", F.coalesce("prev", F.lit(ledger.GENESIS)))
+        ledger.fold(rows, key, ("n", "prev")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return run
 

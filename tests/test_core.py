@@ -113,7 +113,7 @@ def test_redaction_round_trip(spark):
     assert {"SSN", "EMAIL", "MRN", "NAME", "IP_ADDRESS", "DATE"} <= {e["type"] for e in rows[0]["entities"]}
     assert rows[0]["risk"] == min(100, 12 * len(rows[0]["entities"]))
     assert (rows[1]["redacted_text"], rows[1]["risk"]) == ("  ", 0)
-    assert rows[3]["redact_error"] == "NUL_BYTE" and rows[2]["redacted_text"] is None
+    assert (rows[3]["redact_error"], rows[3]["redacted_text"], rows[3]["entities"]) == ("NUL_BYTE", None, []) and rows[2]["redacted_text"] is None
 
 
 def test_overlap_sweep_agrees_with_the_fold(spark):
@@ -182,6 +182,13 @@ def test_collection(spark, tmp_path):
     assert {(r["row_id"], r["category"]) for r in docs.collect()} == {(1, "LEGAL"), (3, "GENERAL")}
     assert collection.ingest(raw, docs).count() == 0
     chunks = chunk.fixed(docs)
+    first = sinks.snapshot(docs, chunks, str(tmp_path / "s"))
+    second = sinks.snapshot(docs, chunks.limit(1), str(tmp_path / "s"))
+    (tmp_path / "s" / "v99999999999999999999" / "documents").mkdir(parents=True)  # cut short: no version
+    assert sinks.versions(spark, str(tmp_path / "s")) == [first, second]
+    assert sinks.restore_snapshot(spark, str(tmp_path / "s"))[1].count() == 1
+    with pytest.raises(ValueError, match="no such version"):
+        sinks.restore_snapshot(spark, str(tmp_path / "s"), "v99999999999999999999")
     sinks.snapshot(docs, chunks, str(tmp_path / "s"))
     assert sinks.restore_snapshot(spark, str(tmp_path / "s"))[1].count() == 2
     kept, left, counts = collection.delete_documents(docs, chunks, docs.where("row_id = 1"))
@@ -252,3 +259,161 @@ def test_type_counts_of_all_rules(spark):
                 want[i, kind] = want.get((i, kind), 0) + n
     assert {(r["doc_id"], r["type"]): r["n"] for r in rows} == want
     assert {(0, "NAME"), (1, "NAME"), (1, "MRN"), (2, "ADDRESS")} <= set(want)
+
+
+def test_json_text_escapes_as_python_does(spark):
+    import json
+
+    texts = ["Résumé \x07\x08\x0c\x7f", 'say "hi" \\ \n\r\t', "中文 😀 \U0010ffff", "plain", "", "\x00\x1f~ "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", ledger.json_text(F.col("t")).alias("j")).collect()
+    assert {r["i"]: r["j"] for r in rows} == {i: json.dumps(t) for i, t in enumerate(texts)}
+
+
+def test_ledger_load(spark, tmp_path):
+    _, chain = _ledger(spark, 5)
+    chain = chain.withColumn("ledger", F.col("ledger").cast("string"))
+    chain.write.json(str(tmp_path / "l"))
+    assert ledger.read(spark, str(tmp_path / "l")).count() == 5
+    with pytest.raises(ValueError, match="malformed"):
+        ledger.loaded(chain.withColumn("data_hash", F.when(F.col("idx") == 1, F.lit("short")).otherwise(F.col("data_hash"))))
+    with pytest.raises(ValueError, match="chains are broken"):
+        ledger.loaded(chain.where("idx <> 2"))
+    with pytest.raises(ValueError, match="empty"):
+        ledger.loaded(chain.limit(0))
+    with pytest.raises(ValueError, match="lacks data_hash"):
+        ledger.loaded(chain.drop("data_hash"))
+    (tmp_path / "l" / "bad.json").write_text("no json\n")
+    with pytest.raises(ValueError, match="no JSON"):
+        ledger.read(spark, str(tmp_path / "l"))
+
+
+def test_long_and_many_ledgers(spark):
+    import hashlib
+
+    e = spark.range(30_000).select((F.col("id") % 3).alias("ledger"), F.floor(F.col("id") / 3).alias("idx"), F.lit("t").alias("ts"), F.lit("ERROR").alias("event_type"), F.lit("s").alias("payload_summary"), F.sha2(F.col("id").cast("string"), 256).alias("data_hash"))
+    e = e.unionByName(e.where("ledger = 0 and idx < 50").withColumn("ledger", F.lit(None).cast("bigint")))
+    chain = ledger.chained(e)
+    assert {tuple(r) for r in ledger.verified(chain.where("ledger is not null")).collect()} == {(i, True, -1, 10_000) for i in range(3)}
+    prev = "0" * 64
+    for r in chain.where("ledger is null").orderBy("idx").collect():
+        assert r["previous_hash"] == prev
+        prev = hashlib.sha256(f"{r['idx']}:t:ERROR:{r['data_hash']}:{prev}".encode()).hexdigest()
+        assert r["current_hash"] == prev
+
+
+def test_writers(spark):
+    row = spark.range(1).select(*ledger.mode_switch(F.lit("cloud")), *ledger.system_shutdown(F.lit("stopped"))).first()
+    assert tuple(row) == ("Mode switched to cloud", '{"mode": "cloud"}', "stopped", "{}")
+
+
+def test_long_text_in_windows(spark):
+    """Five million characters on few lines, and windows that reach into several steps."""
+    import time
+
+    text = ("word é😀 " * 12_500 + "\n") * 50
+    docs = spark.createDataFrame([("d", "t", "LEGAL", text[:5_000_000])], "doc_key string, title string, category string, text string")
+    start = time.time()
+    got = chunk.fixed(docs).agg(F.count(F.lit(1)).alias("n"), F.max("start_line").alias("line")).first()
+    assert got["n"] == math.ceil((5_000_000 - 60) / 390) and got["line"] > 40 and time.time() - start < 20
+    short = "".join(f"{i}\n" for i in range(3000))
+    rows = chunk.fixed(docs.withColumn("text", F.lit(short)), 100, 80).orderBy("chunk_index").collect()
+    assert len(rows) == math.ceil((len(short) - 80) / 20)
+    assert all(r["content"] == short[20 * i : 20 * i + 100] and r["start_line"] == short[: 20 * i].count("\n") + 1 for i, r in enumerate(rows))
+    assert [r["content"] for r in chunk.fixed(docs.withColumn("text", F.lit("short")), 100, 80).collect()] == ["short"]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 10])
+def test_words_of_a_limit(limit):
+    def plain(text):
+        line = None
+        for word in text.split(" "):
+            if line is not None and len(line) + 1 + len(word) <= limit:
+                line += " " + word
+                continue
+            if line is not None:
+                yield line
+            line = word
+            if len(word) > limit:
+                yield from (word[i : i + limit] for i in range(0, len(word), limit))
+                line = None
+        if line is not None:
+            yield line
+
+    for text in ("a bb ccc dddd", "abcdefghijkl mn  o p", "  lead and trail ", "x", "aaaaaaaaaaaaaaaaaaaaaaa", "one  two   three"):
+        assert [x for x in chunk._by_words(text, limit) if x] == [x for x in plain(text) if x]
+
+
+def test_pdf_content_streams():
+    import zlib
+
+    body = b"BT /F1 12 Tf (a (nested) b\\) c) Tj <48 656C6C6F> Tj [(x) -120.5 <79> (\\172)] TJ (line) ' 1 2 (spaced) \" (not shown) pop ET"
+    pdf = b"%PDF-1.4\n1 0 obj\nstream\r\n" + body + b"\nendstream endobj\nstream\n" + zlib.compress(b"(second) Tj") + b"\nendstream\nstream\n(cut"
+    assert files.pdf_text(pdf) == "a (nested) b) c Hello x y z line spaced second"
+    assert files.pdf_text(b"%PDF-1.4") == ""
+
+
+def test_pdf_guards(spark):
+    given = [("a.pdf", b"%PDF-1.4 /Encrypt 5 0 R"), ("b.pdf", b"%PDF-1.4 << /Type /Pages /Kids [] /Count 0 >>"), ("c.pdf", b"%PDF-1.4 << /Type /Pages /Count 2 >> stream\n(hi) Tj\nendstream"), ("d.pdf", b"%PDF-1.4")]
+    df = spark.createDataFrame([(n, len(c), c) for n, c in given], "path string, length bigint, content binary")
+    assert {r["name"]: (r["text"], r["load_error"]) for r in files.load(df).collect()} == {"a.pdf": (None, "ENCRYPTED_PDF"), "b.pdf": (None, "EMPTY_PDF"), "c.pdf": ("hi", None), "d.pdf": (None, "WHITESPACE")}
+
+
+def test_fusion_ranks_the_unrounded_sum(spark):
+    make = lambda pairs: spark.createDataFrame([(1, c, r) for c, r in pairs], "query_id bigint, chunk_id string, rank int")
+    rows = retrieve.fuse([make([("b", 99_999), ("a", 100_000)]), make([("z", 1)])]).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in rows] == ["z", "b", "a"] and rows[1]["rrf"] == rows[2]["rrf"]
+    rows = retrieve.fuse([make([("a", 100_000)]), make([("b", 99_999)])]).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in rows] == ["b", "a"]  # equal when rounded, and a was seen first
+
+
+def test_spaces_and_index(spark, tmp_path):
+    from docsluice.operators import dense
+
+    chunks = spark.createDataFrame([("c1", "radar power"), ("c2", "cooling fluid"), ("c3", "radar")], "chunk_id string, content string")
+    queries = spark.createDataFrame([(1, "radar power")], "query_id bigint, query string")
+    with pytest.raises(PermissionError):
+        dense.search_space(chunks, queries, "airgap", "cloud")
+    for mode, space in (("cloud", "cloud"), ("airgap", "local")):
+        assert dense.search_space(chunks, queries, mode, space).where("rank = 1").first()["chunk_id"] == "c1"
+    sinks.vectors(dense.both_spaces(chunks).drop("space").limit(0), str(tmp_path / "v"), "local")
+    for space, rows in (("local", dense.both_spaces(chunks).where("space = 'local'")), ("cloud", dense.both_spaces(chunks).where("space = 'cloud'"))):
+        sinks.vectors(rows.drop("space"), str(tmp_path / "v"), space)
+    back = sinks.read_vectors(spark, str(tmp_path / "v"), "cloud")
+    assert back.count() == 3 and max(s for r in back.collect() for s in r["slots"]) < 768
+    index = dense.index_update(back, added=back.where("chunk_id = 'c1'"), removed=back.where("chunk_id = 'c2'"))
+    assert sorted(r["chunk_id"] for r in index.collect()) == ["c1", "c3"]
+
+
+def test_ingest_report_and_clear(spark):
+    raw = spark.createDataFrame([(1, "a", "same", "LEGAL"), (2, "b", "same", "LEGAL"), (3, "c", "", "LEGAL"), (4, "d", "x " * 2000, "LEGAL"), (5, "e", "old", "LEGAL")], "row_id bigint, title string, raw string, category string")
+    old = collection.ingest(raw.where("row_id = 5"))
+    docs, chunks, report = collection.ingest_report(raw, chunk.fixed, old, most=3)
+    assert sorted((r["row_id"], r["status"], r["chunk_count"]) for r in report.collect()) == [(1, "INGESTED", 1), (2, "DUPLICATE", 0), (3, "EMPTY", 0), (4, "TOO_MANY_CHUNKS", 0), (5, "DUPLICATE", 0)]
+    assert [r["row_id"] for r in docs.collect()] == [1] and chunks.count() == 1
+    none, bare, counts = collection.cleared(docs, chunks)
+    assert (none.count(), bare.count(), tuple(counts.first())) == (0, 0, (1, 1))
+
+
+def test_percentiles_of_many_values(spark):
+    import random
+
+    r = random.Random(1)
+    values = [("hot", r.gauss(0, 1)) for _ in range(5000)] + [("few", 1.0), ("few", 1.0), ("one", 3.0), ("none", None)]
+    got = {x["k"]: tuple(x)[1:] for x in metrics.nearest_rank(spark.createDataFrame(values, "k string, v double"), "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}, ["k"]).collect()}
+    hot = sorted(v for k, v in values if k == "hot")
+    assert got == {"hot": (5000, hot[0], hot[2500], hot[4950], hot[4999]), "few": (2, 1.0, 1.0, 1.0, 1.0), "one": (1, 3.0, 3.0, 3.0, 3.0)}
+
+
+def test_small_helpers(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("one\ntwo")
+    (tmp_path / "a.txt").write_text("x")
+    report = sinks.merged_report(spark, str(tmp_path), "*.txt").orderBy("name").collect()
+    assert [(r["name"], r["lines"], r["chars"]) for r in report] == [("a.txt", 1, 1), ("b.txt", 2, 7)] and report[0]["section"] == "=== a.txt ===\nx\n"
+    sinks.write_json(str(tmp_path / "x" / "s.json"), {"a": 1})
+    assert sinks.read_json(str(tmp_path / "x" / "s.json")) == {"a": 1} and sinks.read_json(str(tmp_path / "no.json"), 5) == 5
+    (tmp_path / "g.csv").write_text("question,expected_doc,query_type\nWhat?,a.txt,direct\n")
+    assert tuple(files.golden(spark, str(tmp_path / "g.csv")).first()) == ("What?", "a.txt", "direct")
+    names = spark.createDataFrame([("My_Clinical.txt",), ("legal_msa.txt",), ("FINANCIAL.txt",), ("radar.txt",)], "n string")
+    assert [r[0] for r in names.select(files.category_of_name(F.col("n"))).collect()] == ["CLINICAL", "LEGAL", "FINANCIAL", "DEFENSE"]
+    q, c = spark.createDataFrame([(1, "why"), (2, "who")], "query_id bigint, query string"), spark.createDataFrame([(1, "ctx")], "query_id bigint, context string")
+    assert {r["query_id"]: r["prompt"] for r in retrieve.prompt(q, c).collect()} == {1: "Context Blocks:\nctx\n\nQuestion:\nwhy", 2: "Context Blocks:\n\n\nQuestion:\nwho"}
