@@ -194,7 +194,8 @@ def sql() -> dict[str, str]:
         "word_count": one("words", f"CAST({word_count('text')} AS INTEGER)"),
         "sha256_id": one("sha256", "sha256(text)"),
         "doc_id_hash": one("doc_key", "'doc_' || substr(md5(sha256(text)), 1, 10)"),
-        "line_numbers": f"""SELECT doc_id, "at", line, CAST((line - 1) // 50 + 1 AS INTEGER) AS page FROM (SELECT doc_id, "at", CAST({nl('substr(text, 1, "at")')} + 1 AS INTEGER) AS line FROM (SELECT doc_id, text, CAST(strpos(text, '.') - 1 AS INTEGER) AS "at" FROM documents) WHERE "at" >= 0)""",
+        "line_numbers": f"""WITH s AS (SELECT doc_id, row_number() OVER () AS r, string_split(text, '.') AS w FROM documents), p AS (SELECT doc_id, r, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM s),
+          a AS (SELECT doc_id, CAST(sum(length(x)) OVER u + i AS INTEGER) AS "at", CAST(sum({nl('x')}) OVER u + 1 AS INTEGER) AS line FROM p WHERE i < n - 1 WINDOW u AS (PARTITION BY r ORDER BY i)) SELECT *, CAST((line - 1) // 50 + 1 AS INTEGER) AS page FROM a""",
         "mask_secrets": "SELECT c_custkey, CASE WHEN coalesce(c_name, '') = '' THEN '' WHEN length(c_name) > 8 THEN left(c_name, 4) || '...' || right(c_name, 4) ELSE '****' END AS masked FROM customer",
         "file_extension": f"SELECT page_id, lower(regexp_extract(p, '([.][^./]+)$', 1)) AS extension, regexp_replace(regexp_extract(replace(p, chr(92), '/'), '([^/]*)$', 1), {q(chr(91) + '^' + chr(92) + 'p{L}' + chr(92) + 'p{N}._-]|^[.]+')}, '_', 'g') AS name FROM (SELECT page_id, regexp_extract(url, '^[^?#]*') AS p FROM pages)",
         "term_freq": f"WITH {TF} SELECT chunk_id, term, tf FROM tf",

@@ -101,10 +101,12 @@ def doc_id_hash(spark, d):
 
 @query
 def line_numbers(spark, d):
-    """Line and page of every full stop's first place in a text."""
-    at = F.locate(".", F.col("text"), 1) - 1
-    rows = _t(spark, d, "documents").select("doc_id", at.cast("int").alias("at"), "text").where("at >= 0")
-    rows = rows.withColumn("line", T.line_at(F.col("text"), F.col("at")).cast("int"))
+    """Place, line and page of every full stop of every text, from the pieces between them."""
+    pieces = F.transform(F.split("text", "[.]"), lambda p: F.struct(F.length(p).alias("n"), T.newlines(p).alias("lines")))
+    rows = _t(spark, d, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), pieces.alias("pieces"))
+    rows = rows.select("doc_id", "row", F.size("pieces").alias("of"), F.posexplode("pieces").alias("i", "p")).where(F.col("i") < F.col("of") - 1)
+    upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("doc_id", (F.sum("p.n").over(upto) + F.col("i")).cast("int").alias("at"), (F.sum("p.lines").over(upto) + 1).cast("int").alias("line"))
     return rows.select("doc_id", "at", "line", T.page_of(F.col("line")).alias("page"))
 
 

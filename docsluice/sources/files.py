@@ -6,6 +6,7 @@ import json
 import os
 import re
 import shutil
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
@@ -221,9 +222,45 @@ def write_settings(settings: Settings, path: str) -> None:
     write_bytes(path, json.dumps(asdict(settings), indent=2, sort_keys=True).encode(), 0o600)
 
 
-def host_figures(spark: SparkSession) -> DataFrame:
-    """One row about the driver's host. It differs from run to run."""
+def upsert_env(values: dict[str, str], path: str) -> None:
+    """Set ``KEY=value`` lines of an environment file: lines of these keys are replaced where they stand, new keys come last, other lines stay. Whole or not at all, readable by the owner alone."""
+    from .sinks import write_bytes
+
+    wrong = [k for k, v in values.items() if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", k) or "\n" in v or "\r" in v]
+    if wrong:
+        raise ValueError("not to be written as one line: " + ", ".join(wrong))
+    lines = []
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    left = dict(values)
+    for i, line in enumerate(lines):
+        key = line.split("=", 1)[0].strip()
+        if "=" in line and key in values:
+            lines[i] = f"{key}={values[key]}"
+            left.pop(key, None)
+    lines += [f"{k}={v}" for k, v in left.items()]
+    write_bytes(path, "".join(x + "\n" for x in lines).encode(), 0o600)
+
+
+def _ticks() -> tuple[int, int] | None:
+    """Idle and all clock ticks of the host so far; None where the system does not tell."""
+    try:
+        with open("/proc/stat", encoding="ascii") as f:
+            n = [int(x) for x in f.readline().split()[1:9]]
+    except (OSError, ValueError):
+        return None
+    return n[3] + n[4], sum(n)
+
+
+def host_figures(spark: SparkSession, seconds: float = 0.1) -> DataFrame:
+    """One row about the driver's host, the CPU's share in use over ``seconds``. It differs from run to run; what the system does not tell is null."""
     gib = lambda n: round(n / (1 << 30), 2)
-    disk = shutil.disk_usage("/")
-    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
-    return spark.createDataFrame([(os.cpu_count(), gib(memory), gib(disk.total), gib(disk.free))], "cpu_count int, memory_gib double, disk_gib double, disk_free_gib double")
+    disk, page = shutil.disk_usage("/"), os.sysconf("SC_PAGE_SIZE")
+    memory, free = page * os.sysconf("SC_PHYS_PAGES"), page * os.sysconf("SC_AVPHYS_PAGES")
+    before = _ticks()
+    time.sleep(seconds)
+    after = _ticks()
+    busy = None if not before or after[1] == before[1] else round(100 * (1 - (after[0] - before[0]) / (after[1] - before[1])), 1)
+    row = (os.cpu_count(), busy, gib(memory), gib(memory - free), gib(disk.total), gib(disk.free))
+    return spark.createDataFrame([row], "cpu_count int, cpu_percent double, memory_gib double, memory_used_gib double, disk_gib double, disk_free_gib double")

@@ -417,3 +417,25 @@ def test_small_helpers(spark, tmp_path):
     assert [r[0] for r in names.select(files.category_of_name(F.col("n"))).collect()] == ["CLINICAL", "LEGAL", "FINANCIAL", "DEFENSE"]
     q, c = spark.createDataFrame([(1, "why"), (2, "who")], "query_id bigint, query string"), spark.createDataFrame([(1, "ctx")], "query_id bigint, context string")
     assert {r["query_id"]: r["prompt"] for r in retrieve.prompt(q, c).collect()} == {1: "Context Blocks:\nctx\n\nQuestion:\nwhy", 2: "Context Blocks:\n\n\nQuestion:\nwho"}
+
+
+def test_environment_files(tmp_path):
+    path = str(tmp_path / "x.env")
+    files.upsert_env({"A": "1"}, path)
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("# note\nB = old\n")
+    files.upsert_env({"B": "two=2", "C": ""}, path)
+    assert open(path, encoding="utf-8").read() == "A=1\n# note\nB=two=2\nC=\n"
+    with pytest.raises(ValueError):
+        files.upsert_env({"A": "1\nB=2"}, path)
+
+
+def test_host_figures(spark):
+    row = files.host_figures(spark).first()
+    assert row["cpu_count"] > 0 and 0 < row["memory_used_gib"] <= row["memory_gib"] and (row["cpu_percent"] is None or 0 <= row["cpu_percent"] <= 100)
+
+
+def test_prompt(spark):
+    q = spark.createDataFrame([(1, "why?"), (2, "who?")], "query_id bigint, query string")
+    made = retrieve.prompt(q, spark.createDataFrame([(1, "ctx")], "query_id bigint, context string"))
+    assert {r["query_id"]: r["prompt"] for r in made.collect()} == {1: "Context Blocks:\nctx\n\nQuestion:\nwhy?", 2: "Context Blocks:\n\n\nQuestion:\nwho?"}
