@@ -20,7 +20,7 @@ records. No column is read but those named.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"  # where the source has none
@@ -98,6 +98,39 @@ def record_bytes(header: Column, block: Column) -> Column:
     return F.concat(header.cast("binary"), block.cast("binary"), F.lit(b"\r\n\r\n"))
 
 
+#: What ends a record, and the columns that ``read_records`` makes of header fields.
+END = "\r\n\r\n"
+FIELDS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "date": "WARC-Date", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "block_digest": "WARC-Block-Digest", "content_type": "Content-Type"}
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, plain or gzip: FIELDS, content_length, block (its bytes as text) and whole.
+
+    Files are cut at the end of a record that a new one follows, by the reader
+    itself, so plain files are split among tasks. A block that holds this mark
+    is cut there: its record is not ``whole`` and what follows has no warc_type.
+    Header fields that are missing are null; an empty file gives no row.
+    """
+    rows = spark.read.option("lineSep", END + "WARC/1.").text(path)
+    rows = rows.select("value", F.regexp_extract("value", r"(?s)^(?:WARC/1\.)?[0-9]\r\n.*?\r\n\r\n", 0).alias("head"))
+    field = lambda n: F.nullif(F.trim(F.regexp_extract("head", rf"(?i)\n{n}:([^\r\n]*)", 1)), F.lit(""))
+    size = field("Content-Length").try_cast("int").alias("size")
+    rows = rows.select(*[field(n).alias(c) for c, n in FIELDS.items()], size, F.expr("cast(substr(value, length(head) + 1) as binary)").alias("rest"))
+    block = F.coalesce(F.substring("rest", F.lit(1), F.col("size")), F.col("rest")).cast("string")
+    return rows.select(*FIELDS, F.col("size").cast("bigint").alias("content_length"), block.alias("block"), F.coalesce(F.octet_length("rest") >= F.col("size"), F.lit(False)).alias("whole"))
+
+
+def of_records(records: DataFrame) -> DataFrame:
+    """Derivatives of the responses among ``records`` (as ``read_records`` gives them), which keep their ids, dates and digests. The key is the record id."""
+    responses = records.where((F.col("warc_type") == "response") & F.col("whole")).select(F.col("record_id").alias("key"), "record_id", "target_uri", "block", "date", "payload_digest", "block_digest")
+    return derivatives(responses, "key", "target_uri", "block", source_id="record_id", source_date="date", source_payload_digest="payload_digest", source_block_digest="block_digest")
+
+
+def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Rows with ``header`` and ``block`` as WARC files, one for each partition (``none`` leaves them plain, so that readers can split them)."""
+    records.select(F.concat("header", "block")).write.option("lineSep", END).option("compression", compression).text(path)
+
+
 def page_derivatives(pages: DataFrame) -> DataFrame:
     """Digests of both records of every page."""
     return derivatives(pages).select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", "n_links", F.sha2(record_bytes(F.col("header"), F.col("block")), 256).alias("record_sha256"))

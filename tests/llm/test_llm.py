@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, and its edge cases."""
 
 import functools
+import gzip
 import itertools
 import math
 import random
@@ -584,6 +585,46 @@ def test_warc_keeps_the_source(spark):
     assert plain == {(r["warc_type"], r["record_id"], r["header"], r["block"]) for r in rows if r["page_id"] == 2}
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_files(spark, tmp_path, compression):
+    def record(kind, i, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{i}>", "WARC-Date": "2020-02-02T02:02:02Z", "WARC-Target-URI": f"http://a/{i}", "Content-Length": str(len(block)), **more}
+        return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+    page = "HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>wörd one\r\n\r\n<p>two".encode()
+    parts = [record("warcinfo", 0, b"software: x\r\n"), record("response", 1, page, **{"WARC-Payload-Digest": "sha1:P"}), record("response", 2, b""), record("response", 3, "long é ".encode() * 40_000), record("response", 4, b"a\r\n\r\nWARC/1.9 b")]
+    source = tmp_path / ("in.warc" if compression == "none" else "in.warc.gz")
+    source.write_bytes(b"".join(parts) if compression == "none" else b"".join(map(gzip.compress, parts)))
+    got = {r["record_id"]: r for r in warc.read_records(spark, str(source)).collect()}
+    assert [got[f"<urn:uuid:{i}>"]["whole"] for i in range(5)] == [True] * 4 + [False] and got[None]["warc_type"] is None and not got[None]["whole"]
+    assert got["<urn:uuid:1>"]["block"].encode() == page and got["<urn:uuid:2>"]["block"] == "" and got["<urn:uuid:3>"]["content_length"] == 320_000
+    made = warc.of_records(warc.read_records(spark, str(source)))
+    warc.write_records(made, str(tmp_path / "out"), compression)
+    back = {(r["refers_to"], r["warc_type"]): r for r in warc.read_records(spark, str(tmp_path / "out")).collect()}
+    rows = made.collect()
+    assert len(rows) == len(back) == 6 and back["<urn:uuid:1>", "conversion"]["payload_digest"] == "sha1:P"
+    for r in rows:
+        b = back[r["refers_to"], r["warc_type"]]
+        assert b["whole"] and [b[n] for n in ("record_id", "target_uri", "content_type", "content_length", "block_digest", "block")] == [r[n] for n in ("record_id", "target_uri", "content_type", "content_length", "block_digest", "block")]
+        assert b["date"] == "2020-02-02T02:02:02Z"
+
+
+def test_warc_repeats_long_and_empty(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (2, "u", "<p>wörd " * 50_000)], "page_id bigint, url string, html string")
+    rows = warc.page_derivatives(df).collect()
+    assert len(rows) == 6 and len({tuple(r) for r in rows}) == 4
+    assert warc.page_derivatives(df.limit(0)).count() == 0
+
+
+def test_urls_ties_repeats_long_and_empty(spark):
+    df = spark.createDataFrame([(1, "http://x.com/en/" + "a/" * 50_000), (1, None), (1, None)], "page_id bigint, url string")
+    rows = urlrules.page_verdicts(df).collect()
+    assert sorted(str(r["rule"]) for r in rows) == ["None", "None", "com/en/"]
+    assert urlrules.page_verdicts(df.limit(0)).count() == 0
+    index = urlrules.PatternIndex((("/bb/x^", "allow"), ("/aa/x^", "block"), ("/zz/^", "block")))
+    assert index.match("http://h/aa/x/bb/x/zz/")[:2] == ("/aa/x^", "block")
+
+
 def mix_rows(n=400):
     r = random.Random(6)
     return [(i, "w " * r.choice([20, 300, 1500]), r.choice(["en", "de", None]), r.choice(["hot", "hot", "s1", "s2"]), 0) for i in range(n)] + [(None, None, None, None, None), (n, "", "en", "s1", 0), (n, "", "en", "s1", 0), (n + 1, "long " * 40_000, "de", "hot", 0)]
