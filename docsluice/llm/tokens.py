@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gathered, split_words
+from .common import gathered, split_words, stored
 
 END_ID = 1
 MEMORY_WORDS = 300_000  # words of one generation; a worker keeps two, about 120 MB
@@ -152,9 +152,11 @@ def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     quantile q is the row with rank_from <= ceil(q * total_docs) <= rank_to.
     Suffix sums run inside buckets of SPAN lengths and over the buckets'
     totals, so no task holds more than a bucket or one row for each bucket.
-    An empty table gives no row; null lengths are left out.
+    The counts are stored first, as three steps read them and each would count
+    (and tokenize) again. An empty table gives no row; null lengths are left out.
     """
-    counts = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("bucket", F.floor(F.col("length") / SPAN)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    counts = stored(lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
+    counts = counts.withColumn("bucket", F.floor(F.col("length") / SPAN)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     whole = totals.agg(F.sum("d").alias("total_docs"), F.sum("t").alias("total_tokens"))
