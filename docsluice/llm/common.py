@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20  # text handled at once inside a Python worker
 BATCH_ROWS = 1000  # rows of one Arrow batch: texts may be long
+HOT_KEYS, HOT_ROWS = 10_000, 1000  # a key is hot with more than HOT_ROWS rows and more than one in HOT_KEYS of them
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +70,19 @@ def free_names(wanted: tuple[str, ...], taken: list[str]) -> tuple[str, ...]:
     return tuple(out)
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each key and in ``many`` how many of the ``total`` rows hold it.
+
+    Rows of hot keys meet theirs by broadcast, where they lie: each holds more
+    than total / HOT_KEYS rows, so there are fewer than HOT_KEYS of them. All
+    others meet by shuffle, where no key brings more than that to a task.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = one.where(F.col("many") > most).drop("many"), one.where(F.col("many") <= most).drop("many")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what it no longer refers to, so that executors delete the shuffle files of finished steps."""
     spark.sparkContext._jvm.System.gc()

@@ -2,8 +2,8 @@
 
 Alternates the large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond"). Every minimum is a partial aggregate, so
-a node with very many neighbours costs each task one row; every round is
-written to the shared folder.
+a node with very many neighbours costs each task one row, and its edges meet the
+minimum where they lie; every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, spread_join, stored
 
 MAX_ROUNDS = 60
 
@@ -31,11 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("many")).select("a", F.least("a", "m").alias("m"), "many")
+        large = spread_join(both.where(F.col("b") > F.col("a")), least, "a", before[0])
+        large = stored(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct(), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("many"))
+        small = spread_join(large, least, "a", before[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         spent, now = now, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(large)
         discard(spent)
         after = _fingerprint(now)
         if after == before:

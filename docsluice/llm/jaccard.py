@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, mix64, modest, slices, split_words, stored
+from .common import gathered, mix64, modest, slices, split_words, spread_join, stored
 from .components import components
 
 WORDS, THRESHOLD = 5, (4, 5)  # of the general interface
@@ -325,19 +325,22 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     sides = digest.where("part < 0").select("block", "part", F.lit(None).cast("binary").alias("packed"), "sizes", "sids")
     left = shared.select("block", "part", "packed", F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("array<binary>").alias("sids")).unionByName(sides)
     held = stored(left.groupBy("block").applyInArrow(_ties(t), "key bigint, sid binary"), "ties")
-    stars = held.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where(F.col("b") != F.col("z")).select("key", "b")
-    clusters = stored(components(held.join(stars, "key").select(F.col("sid").alias("a"), "b")), "clusters")
-    rows = digest.where("part < 0").select(F.explode(F.arrays_zip("ids", "sizes", "sids")).alias("x")).select(F.col("x.ids").alias("key"), F.col("x.sizes").alias("n"), F.col("x.sids").alias("sid"))
+    stars = held.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("z"), F.count(F.lit(1)).alias("many")).where(F.col("b") != F.col("z")).drop("z")
+    clusters = stored(components(spread_join(held, stars, "key", held.count()).select(F.col("sid").alias("a"), "b")), "clusters")
+    every = digest.where("part < 0")
+    rows = every.select(F.explode(F.arrays_zip("ids", "sizes", "sids")).alias("x")).select(F.col("x.ids").alias("key"), F.col("x.sizes").alias("n"), F.col("x.sids").alias("sid"))
+    total = every.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
     # one document stands for each set
     named = clusters.select(F.col("node").alias("sid"), "label")
-    chosen = rows.join(named, "sid").groupBy("sid").agg(F.min(F.struct("key")).alias("k")).select(F.col("k.key").alias("key"))
+    each = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("many"))
+    chosen = each.join(named, "sid").select(F.col("first").alias("key"))
     kept = docs.alias("d").join(chosen.distinct().alias("c"), F.col("d.key").eqNullSafe(F.col("c.key")), "left_semi")
     fresh = _sets_of(kept, "text", words).join(named, "sid").groupBy("sid", "label").agg(F.min(F.struct("size", "elements")).alias("s"))
     member = stored(fresh.select("sid", "s.size", "s.elements", "label"), "members")
-    blocks = member.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    blocks = member.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_ELEMENTS), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("many"))
     most = blocks.agg(F.max("blocks")).first()[0] or 1
     whole = member.agg(F.sum("size")).first()[0] or 0
-    dealt = member.join(blocks, "label").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = spread_join(member, blocks, "label", member.count()).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "sid", "size", "elements", "blocks")
     # small clusters travel in bundles of about BUNDLE_ELEMENTS, as each group of an Arrow call has its cost
@@ -348,11 +351,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     else:
         found = stored(found, "links")
         labels = found.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-    each = rows.where("n > 0").groupBy("sid").agg(F.min("key").alias("first"))
-    each = each.join(labels, each["sid"] == labels["node"], "left").select("sid", "first", "label")
-    whole = each.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-    each = each.join(whole, "label", "left").select("sid", F.coalesce("least", "first").alias("component"))
-    linked = rows.where("n > 0").join(each, "sid").select("key", "n", "component")
+    # sets without a link skip the join of labels: as nulls they would all meet in one task
+    each = each.join(labels, each["sid"] == labels["node"], "left").select("sid", "first", "label", "many")
+    tied = each.where("label is not null")
+    whole = tied.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("many"))
+    tied = spread_join(tied.withColumnRenamed("many", "copies"), whole, "label", total).select("sid", F.coalesce("least", "first").alias("component"), F.col("copies").alias("many"))
+    each = tied.unionByName(each.where("label is null").select("sid", F.col("first").alias("component"), "many"))
+    linked = spread_join(rows.where("n > 0"), stored(each, "sets"), "sid", total).select("key", "n", "component")
     alone = rows.where("n = 0").select("key", "n", F.col("key").alias("component"))
     return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
 

@@ -14,7 +14,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from docsluice.llm import components, ctw, flac, jaccard, langid, mixing, packing, tokens, urlrules, vafile, warc
+from docsluice.llm import common, components, ctw, flac, jaccard, langid, mixing, packing, tokens, urlrules, vafile, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -362,6 +362,34 @@ def test_jaccard_empty_and_stage(docs, none, spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c) and kept.columns == docs.columns
 
 
+def test_components_of_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    r = random.Random(8)
+    edges = [(0, x) for x in range(10, 200)] + [(x, 900) for x in range(300, 380)] + [(x, x + 1) for x in range(500, 520)] + [(r.randint(600, 800), r.randint(600, 800)) for _ in range(60)]
+    forest = jaccard.Forest(1000)
+    for a, b in edges:
+        forest.join(a, b)
+    want = {x: forest.root(x) for e in edges for x in e if e[0] != e[1]}
+    got = components.components(spark.createDataFrame(edges + edges[:9], "a bigint, b bigint")).collect()
+    assert len(got) == len(want) and {x["node"]: x["label"] for x in got} == want
+
+
+def test_spread_join_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i % 30}" if i % 5 else None, i) for i in range(300)], "k string, v int")
+    one = rows.where("k is not null and k <> 'k3'").groupBy("k").agg(F.max("v").alias("w"), F.count("*").alias("many"))
+    got = common.spread_join(rows, one, "k", 20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(one.drop("many"), "k").collect()))
+
+
+def test_jaccard_of_hot_sets(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rows = jaccard.jaccard_components(docs, words=5, threshold=(4, 5)).collect()
+    assert len(rows) == len(corpus())
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == plain_components(corpus(), 5, (4, 5))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 150), (150, 170)] + [(7, 300 + i) for i in range(50)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
