@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, ctw, flac, jaccard, langid, mixing, packing, tokens, urlrules, vafile, warc, whitening
+from . import centroids, ctw, flac, jaccard, langid, maintext, mixing, packing, tokens, urlrules, vafile, warc, whitening
 from .common import table
 
 
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op9_url_filters": lambda spark, d: urlrules.page_verdicts(table(spark, d, "pages")),
         "op10_source_mixing": lambda spark, d: mixing.document_mix(table(spark, d, "documents")),
         "op11_embedding_whitening": lambda spark, d: whitening.embedding_whitening(table(spark, d, "embeddings")),
+        "op12_main_text": lambda spark, d: maintext.page_texts(table(spark, d, "pages")),
         "op13_centroid_clustering": lambda spark, d: centroids.embedding_clusters(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": jaccard.SQL, "op7_exact_topk": vafile.SQL, "op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of(), "op13_centroid_clustering": centroids.SQL}
+    return {"op5_ngram_jaccard": jaccard.SQL, "op7_exact_topk": vafile.SQL, "op6_warc_derivatives": warc.sql(), "op9_url_filters": urlrules.sql_of(), "op12_main_text": maintext.SQL, "op13_centroid_clustering": centroids.SQL}
