@@ -17,11 +17,18 @@ STOPWORDS = (
 WS = r"[ \t\n\r\f\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]+"
 TERM = r"[$%\p{L}\p{N}_]+(?:[-./][$%\p{L}\p{N}_]+)*"
+#: How answers cite and quote.
 CITATION = r"\[Doc:[ \t\n]*([^,\]]+),[ \t\n]*Page[ \t\n]*([0-9]+),[ \t\n]*Line[ \t\n]*([0-9]+)-([0-9]+)\]"
 QUOTE = r'"([^"\n]{12,})"'
 PII_TOKEN = r"\[SAFE_[A-Z_]+_[0-9]+(?:_X)*\]"
 
 
+#: The same in loops that never give back: a long text neither fills the stack nor takes quadratic time.
+_TERM = TERM.replace("+", "++").replace(")*", ")*+")
+_B = r"[ \t\n]*+"
+_REST = rf",{_B}Page{_B}([0-9]++),{_B}Line{_B}([0-9]++)-([0-9]++)\]"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once for a row, also where ``body`` uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -30,7 +37,7 @@ def let(value: Column, body) -> Column:
 def bm25_tokens(text: Column) -> Column:
     """Lower-case terms: runs of $, %, letters, digits and _ joined by single - . or /, commas between digits gone, two characters at least, no stopword. Null gives an empty array."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=\p{Nd}),(?=\p{Nd})", "")
-    return F.filter(F.regexp_extract_all(plain, F.lit(f"({TERM})"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
+    return F.filter(F.regexp_extract_all(plain, F.lit(f"({_TERM})"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
 
 
 def word_tokens(text: Column) -> Column:
@@ -49,7 +56,7 @@ def sentences(text: Column, after: str = ".!?") -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(text, f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -89,8 +96,16 @@ def page_of(line: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Array of structs (name, page, first, last)."""
-    part = [F.regexp_extract_all(text, F.lit(CITATION), F.lit(i)) for i in range(1, 5)]
-    return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(part, ("name", "page", "first", "last"), strict=True)]), lambda x: F.struct(x["name"].alias("name"), x["page"].cast("int").alias("page"), x["first"].cast("int").alias("first"), x["last"].cast("int").alias("last")))
+    # a name that no page follows matches too, so that it is read once, and goes then
+    part = [F.regexp_extract_all(text, F.lit(rf"\[Doc:([^,\]]++)(?:{_REST})?+"), F.lit(i)) for i in range(1, 5)]
+    rows = F.filter(F.arrays_zip(*[p.alias(n) for p, n in zip(part, ("name", "page", "first", "last"), strict=True)]), lambda x: x["page"] != "")
+    name = lambda x: F.regexp_replace(x["name"], r"(?s)^[ \t\n]+(?=.)", "")
+    return F.transform(rows, lambda x: F.struct(name(x).alias("name"), x["page"].cast("int").alias("page"), x["first"].cast("int").alias("first"), x["last"].cast("int").alias("last")))
+
+
+def without_citations(text: Column) -> Column:
+    rest = _REST.replace("(", "(?:")
+    return F.regexp_replace(text, rf"(\[Doc:[^,\]]++(?!{rest}))|\[Doc:[^,\]]++{rest}", "$1")
 
 
 def quotes(text: Column) -> Column:
@@ -98,7 +113,7 @@ def quotes(text: Column) -> Column:
 
 
 def pii_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({PII_TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({PII_TOKEN.replace(')*', ')*+')})"), F.lit(1))
 
 
 def restore(text: Column, tokens: Column) -> Column:

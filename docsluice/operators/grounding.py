@@ -17,7 +17,7 @@ def claims_of(answer: Column) -> Column:
     """Sentences of an answer that state something: no blank, Note: or Based on lines, without citations and quote marks, 15 characters at least."""
     lines = F.filter(F.transform(F.split(answer, "\n"), T.strip), lambda s: (s != "") & ~F.startswith(s, F.lit("Note:")) & ~F.startswith(s, F.lit("Based on")))
     said = F.flatten(F.transform(lines, lambda s: T.sentences(s)))
-    bare = F.transform(said, lambda s: T.strip(F.replace(F.regexp_replace(s, T.CITATION, ""), F.lit('"'), F.lit(""))))
+    bare = F.transform(said, lambda s: T.strip(F.replace(T.without_citations(s), F.lit('"'), F.lit(""))))
     return F.filter(bare, lambda s: F.length(s) >= SHORTEST_CLAIM)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CITATION, QUOTE, STOPWORDS, TERM, WORD, WS
-from ..operators.privacy import PLAIN_RULES, ascii_pattern
+from ..operators.rules import RULES
 from ..operators.retrieve import LEAD, NO_FACTS, NOTE
 from ..operators.telemetry import MODELS, QUANTS
 
@@ -145,10 +145,33 @@ def checked(data_hash: str) -> str:
       SELECT ledger, bool_and(good) AS valid, coalesce(min(CASE WHEN NOT good THEN idx END), -1) AS first_bad, count(*) AS n FROM tested GROUP BY 1"""
 
 
+def ascii_pattern(p: str) -> str:
+    """The rule with its classes spelt out and without lookaround, for counting: a match may take in what it looks ahead at, and a name's further words are those that are not excluded."""
+    other = "(?!at\\b|in\\b|on\\b|to\\b|from\\b|by\\b|with\\b|and\\b|or\\b)[A-Za-z]{2,}"
+    return p.replace(other, _but("at in on to by or and from with".split())).replace("(?=", "(?:").replace(r"[^\s", r"[^ \t\n\r\f\x0B").replace(r"\d", "[0-9]")
+
+
+def _but(words: list[str]) -> str:
+    """A pattern for words of two letters or more other than ``words``, longer ones first."""
+
+    def rest(left: list[str], n: int) -> list[str]:
+        if not left:
+            return [f"[a-z]{{{n}}}"] if n else [""]
+        if not n:
+            return []
+        firsts = sorted({w[0] for w in left})
+        out = [f"[^{''.join(firsts)}\\W0-9_]" + tail for tail in rest([], n - 1)]
+        return out + [c + tail for c in firsts for tail in rest([w[1:] for w in left if w[0] == c], n - 1)]
+
+    longest = max(map(len, words))
+    parts = [f"[a-z]{{{longest + 1},}}"] + [x for n in range(longest, 1, -1) for x in rest([w for w in words if len(w) == n], n)]
+    return "(?:" + "|".join(parts) + ")"
+
+
 def _pii() -> str:
     kinds: dict[str, list[str]] = {}
-    for _, kind, p in PLAIN_RULES:
-        kinds.setdefault(kind, []).append(f"len(regexp_extract_all(text, {q(ascii_pattern(p))}))")
+    for kind, p, group, *_ in RULES:
+        kinds.setdefault(kind, []).append(f"len(list_filter(regexp_extract_all(text, {q(ascii_pattern(p))}, {group}), lambda x: regexp_matches(x, '[^ \\t\\n\\r\\f\\x0B]')))")
     rows = " UNION ALL ".join(f"SELECT doc_id, {q(k)} AS type, CAST({' + '.join(v)} AS BIGINT) AS n FROM documents" for k, v in kinds.items())
     return f"SELECT * FROM ({rows}) WHERE n > 0"
 
