@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, mix64, modest, slices, split_words, spread_join, stored
+from .common import free_names, gathered, mix64, modest, slices, split_words, spread_join, stored
 from .components import components
 
 WORDS, THRESHOLD = 5, (4, 5)  # of the general interface
@@ -379,10 +379,15 @@ def document_links(documents: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id. A repeated row (same doc_id and text) stays once."""
+    """One row of each group stays, of the smallest doc_id in it. Where a doc_id repeats, its rows are told apart by their text: each belongs to its own text's group, and a repeated row (same doc_id and text) stays once."""
     modest(spark)
-    found = jaccard_components(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if twice.isEmpty():
+        found = jaccard_components(docs.select("doc_id", "text"))
+        first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+        return docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    (row,) = free_names(("row",), docs.columns)
+    rows = stored(docs.dropDuplicates(["doc_id", "text"]).withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(row, "text"), key=row)
+    first = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("x"))
+    return rows.join(first.select(f"x.{row}"), row, "left_semi").select(docs.columns)

@@ -23,24 +23,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 DATE = "2024-01-01T00:00:00Z"  # where the source has none
 S = r"[ \t\r\n\f]"
-HIDDEN = rf"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template){S}*>"
+_SHUT = rf"</(script|style|noscript|template){S}*>"
+HIDDEN = rf"(?is)<(script|style|noscript|template)\b[^<>]*>.*?{_SHUT}"
 COMMENT = r"(?s)<!--.*?-->"
-BREAK = r"(?i)<(br|p|/p|div|/div|li|/li|tr|/tr|h[1-6]|/h[1-6])\b[^>]*>"
-TAG = r"<[^>]*>"
-TITLE = rf"(?is)<title\b[^>]*>(.*?)</title{S}*>"
-LINK = r"""(?i)<a\b[^>]*\bhref=["']?([^"' >]+)"""
+BREAK = r"(?i)<(br|p|/p|div|/div|li|/li|tr|/tr|h[1-6]|/h[1-6])\b[^<>]*>"
+TAG = r"<[^<>]*>"
+TITLE = rf"(?is)<title\b[^<>]*>(.*?)</title{S}*>"
+LINK = r"""(?i)<a\b[^<>]*\bhref=["']?([^"' <>]+)"""
 FIELD = r"(?m)^([^\r\n:]+):[ \t]*([^\r\n]*(?:\r?\n[ \t]+[^\r\n]*)*)"
+#: The same in loops that never give back, so that long heads do not fill the stack.
+_FIELD = r"(?m)^([^\r\n:]++):[ \t]*+([^\r\n]*+(?:\r?\n[ \t]++[^\r\n]*+)*+)"
 HEAD = r"(?s)^HTTP/1\.[01] .*?\r?\n\r?\n"
 #: Entities that are resolved, in this order; the ampersand comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+def _until(text: Column, last: str) -> Column:
+    """``text`` up to the last match of ``last``: what opens beyond it is never closed, and would be looked at to the end each time."""
+    return F.regexp_extract(text, rf"(?is)^.*{last}", 0)
+
+
+def _closed(text: Column, pattern: str, last: str) -> Column:
+    """``pattern`` replaced by a blank, in linear time also where it opens often and never closes."""
+    return T.let(_until(text, last), lambda head: F.concat(F.regexp_replace(head, pattern, " "), F.substr(text, F.length(head) + 1)))
+
+
 def plain_text(html: Column) -> Column:
-    """Visible text: hidden elements, comments and tags go, block tags end a line, blanks collapse."""
-    out = F.regexp_replace(html, HIDDEN, " ")
-    out = F.regexp_replace(out, COMMENT, " ")
+    """Visible text: hidden elements, comments and tags go, block tags end a line, blanks collapse. A tag ends at the next < or >."""
+    out = _closed(html, HIDDEN, _SHUT)
+    out = _closed(out, COMMENT, "-->")
     out = F.regexp_replace(out, BREAK, "\n")
     out = F.regexp_replace(out, TAG, " ")
     for name, char in ENTITIES:
@@ -69,11 +84,11 @@ def derivatives(responses: DataFrame, key: str = "page_id", uri: str = "url", bl
     base = base.select("key", "uri", "http", *given, F.expr("substr(raw, length(http) + 1)").alias("body"))
     base = base.select("*", F.coalesce("given_payload", F.concat(F.lit("sha256:"), F.sha2("body", 256))).alias("payload_digest"), F.coalesce(F.col("key").cast("string"), F.lit("")).alias("k"), F.coalesce("given_date", F.lit(date)).alias("date"))
     base = base.select("*", F.coalesce("given_id", _uuid(F.lit("response"), F.col("k"), F.col("uri"), F.col("payload_digest"))).alias("source_id"), plain_text(F.col("body")).alias("text"))
-    title = F.regexp_replace(F.regexp_extract("body", TITLE, 1), r"[ \t\r\n\f]+", " ")
+    title = F.regexp_replace(F.regexp_extract(_until(F.col("body"), f"</title{S}*>"), TITLE, 1), r"[ \t\r\n\f]+", " ")
     links = F.regexp_extract_all("body", F.lit(LINK), F.lit(1))
     status = F.regexp_extract("http", r"^HTTP/1\.[01] ([0-9]+)", 1)
     kind = F.regexp_extract("http", r"(?i)\ncontent-type: *([^\r\n]*)", 1)
-    names, values = (F.regexp_extract_all(F.regexp_replace("http", r"^[^\r\n]*", ""), F.lit(FIELD), F.lit(i)) for i in (1, 2))
+    names, values = (F.regexp_extract_all(F.regexp_replace("http", r"^[^\r\n]*", ""), F.lit(_FIELD), F.lit(i)) for i in (1, 2))
     fields = F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.concat(F.lit("\r\nhttp-header-"), F.trim(x["n"]), F.lit(": "), F.regexp_replace(x["v"], r"\r?\n[ \t]+", " ")))
     base = base.select("*", title.alias("title"), links.alias("links"), F.coalesce(F.nullif(status, F.lit("")), F.lit("200")).alias("status"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("text/html")).alias("kind"))
     meta = F.concat(
@@ -148,6 +163,8 @@ def sql() -> str:
     uuid = lambda parts: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5(concat_ws('|', {parts})) AS h))"
     crlf = "chr(13) || chr(10)"
     header = " || ".join(f"'{n}: ' || {v} || {crlf}" for n, v in (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", q(DATE)), ("WARC-Target-URI", "uri"), ("WARC-Refers-To", "source_id"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "CAST(content_length AS VARCHAR)")))
+    rest = f"regexp_replace(http, {q('^[^\\r\\n]*')}, '')"
+    fields = f"list_transform(list_zip(regexp_extract_all({rest}, {q(FIELD)}, 1), regexp_extract_all({rest}, {q(FIELD)}, 2)), lambda x: {crlf} || 'http-header-' || trim(x[1]) || ': ' || regexp_replace(x[2], {q('\\r?\\n[ \\t]+')}, ' ', 'g'))"
     return f"""
       WITH raw AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS raw FROM pages),
       split AS (SELECT *, regexp_extract(raw, {q(HEAD)}) AS http FROM raw),
@@ -159,7 +176,7 @@ def sql() -> str:
         coalesce(nullif(regexp_extract(http, {q('(?i)\\ncontent-type: *([^\\r\\n]*)')}, 1), ''), 'text/html') AS kind FROM dig),
       recs AS (
         SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, 'status: ' || status || {crlf} || 'content-type: ' || kind || {crlf} || 'title: ' || title || {crlf} || 'text-digest: sha256:' || sha256(text)
-          || coalesce(array_to_string(list_transform(links, lambda x: {crlf} || 'outlink: ' || x), ''), '') || {crlf} AS block FROM src
+          || coalesce(array_to_string(list_transform(links, lambda x: {crlf} || 'outlink: ' || x), ''), '') || coalesce(array_to_string({fields}, ''), '') || {crlf} AS block FROM src
         UNION ALL SELECT *, 'conversion', 'text/plain', text FROM src),
       ided AS (SELECT *, {uuid("warc_type, k, uri, payload_digest")} AS record_id, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM recs)
       SELECT page_id, warc_type, record_id, source_id AS refers_to, uri AS target_uri, content_type, content_length, block_digest, payload_digest, CAST(len(links) AS INTEGER) AS n_links,
