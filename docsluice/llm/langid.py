@@ -16,7 +16,6 @@ with a labelled text has a dictionary. Everything else covers all rows.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +32,6 @@ BLOCK_BYTES = 64 << 10  # with the dictionary well inside the window of 256 KB
 LEVEL = 9
 MIN_MATCH = 3
 REJECT_MARGIN = 0.004
-_OTHER = re.compile(r"[\W\d_]+")
 SOFTNESS = 3.0  # bytes by which a competitor may lose before its weight falls by e
 
 
@@ -57,13 +55,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
     for r in sample.orderBy("l", "h").toLocalIterator():
         have = out.setdefault(r["l"], b"")
         if len(have) < DICT_BYTES:
-            out[r["l"]] = have + letters(r["t"])[: min(TEXT_BYTES, DICT_BYTES - len(have))] + b"\n"
+            out[r["l"]] = have + encoded(r["t"])[: min(TEXT_BYTES, DICT_BYTES - len(have))] + b"\n"
     return out
 
 
-def letters(text: str) -> bytes:
-    """What is compressed: the whole text in lower case, each run of other characters than letters as one space."""
-    return _OTHER.sub(" ", text.lower()).encode()
+def encoded(text: str) -> bytes:
+    """What is compressed: the whole text in lower case, with its digits, signs and combining marks."""
+    return text.lower().encode()
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -87,7 +85,7 @@ def judge(text: str | None, models: list, reject_margin: float = REJECT_MARGIN)
     """Language, score, margin, rejected. Ties go to the name first in order (and are rejected, as their margin is 0)."""
     if not text or not models or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0, True
-    parts = blocks(letters(text))
+    parts = blocks(encoded(text))
     sizes = sorted((sum(len(c.compress(p)) for p in parts), name) for name, c in models)
     best = sizes[0][0]
     margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0

@@ -42,3 +42,13 @@ def test_stage_tells_rows_of_one_id_apart(spark):
     assert got == sorted([(None, a), (1, b), (3, None), (3, "")], key=str)
     single = jaccard.stage(spark, docs.where("doc_id = 0 or doc_id = 2").withColumn("n", F.lit(1)), "").collect()
     assert {r["doc_id"] for r in single} == {0, 2}
+
+
+def test_combining_marks_and_digits_are_compressed():
+    from docsluice.llm import langid
+
+    assert langid.encoded("हिन्दी É 12 %") == "हिन्दी é 12 %".encode()
+    hindi, marathi = "यह एक किताब है और वह मेज़ पर है। ", "हे एक पुस्तक आहे आणि ते टेबलावर आहे. "
+    models = langid.compressors({"hi": langid.encoded(hindi * 40), "mr": langid.encoded(marathi * 40)})
+    assert langid.judge(hindi, models)[0] == "hi" and langid.judge(marathi, models)[0] == "mr"
+    assert langid.judge("12 34 %", models)[0] == "und"
