@@ -226,6 +226,7 @@ def sql() -> dict[str, str]:
         "corpus_stats": f"WITH {TF} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
         "idf": f"WITH {TF} SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, stats",
         "bm25_score_pair": f"WITH {BM25} SELECT query_id, chunk_id, round(bm25, 4) AS bm25 FROM bm",
+        "bm25_index_topk": f"WITH {BM25.replace('FROM chunks', 'FROM (SELECT * FROM chunks WHERE category <> ' + q('LEGAL') + ')')} SELECT query_id, chunk_id, score, rank FROM bm_top",
         "bm25_topk": f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM bm_top",
         "dot_product": f"WITH {VECTORS} SELECT vec_id, round({DOT}, 6) AS dot FROM both_",
         "l2_norm": "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.tables import shared_dir, stored
-from ..operators import chunk, collection, dense, grounding, ledger, lexical, metrics, privacy, retrieve, telemetry
+from ..operators import chunk, collection, dense, graph, grounding, ledger, lexical, metrics, postings, privacy, retrieve, telemetry
 from ..sources import files
 from ..streaming import streams
 
@@ -157,6 +157,28 @@ def bm25_topk(spark, d):
     return lexical.top(lexical.scores(_chunks(spark, d), _questions(spark, d)))
 
 
+def _index(spark, d):
+    """The chunks as a stored index: two adds, the second with the first chunk of every document once more, then the chunks of category LEGAL removed."""
+    c = _kept_chunks(spark, d)
+    index = postings.PostingsIndex(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    index.add(c.where("chunk_index % 3 < 2"), "one")
+    index.add(c.where("chunk_index = 0 or chunk_index % 3 = 2"), "two")
+    index.remove(c.where("category = 'LEGAL'"), "legal")
+    return index
+
+
+@query
+def bm25_index_topk(spark, d):
+    """Top-k from stored postings after two adds and a removal."""
+    return _index(spark, d).search(_questions(spark, d))
+
+
+@query
+def bm25_index_reads(spark, d):
+    """How many postings blocks of a query's terms the search reads."""
+    return _index(spark, d).searched(_questions(spark, d))[1]
+
+
 # ---- vectors
 
 
@@ -200,6 +222,19 @@ def vector_topk(spark, d):
     return dense.vector_top(_vectors(spark, d), _probe(spark, d))
 
 
+@query
+def vector_index_topk(spark, d):
+    """Top-k from stored small-world graphs after two adds and a removal, with the recall against the flat search of the same vectors. Queries are the vectors whose id is divisible by 20."""
+    v = _vectors(spark, d)
+    index = graph.VectorIndex(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    index.add(v.where("vec_id % 3 < 2"), "one")
+    index.add(v.where("vec_id % 3 >= 1"), "two")
+    index.remove(v.where("vec_id % 10 = 3"), "gone")
+    queries = stored(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), "queries")
+    found = stored(index.search(queries), "found")
+    return found.crossJoin(F.broadcast(index.recall(found, queries)))  # one row
+
+
 # ---- hash embeddings
 
 
