@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
 EVENTS = ("GENESIS", "DOCUMENT_INGEST", "PII_REDACT", "LOCAL_QUERY", "AIR_GAP_VERIFY", "QUANT_TELEMETRY", "ERROR", "MODE_SWITCH", "SYSTEM_SHUTDOWN")
@@ -157,19 +158,48 @@ def read(spark, path: str, key: str = "ledger") -> DataFrame:
     return loaded(rows.drop("_bad"), key)
 
 
-def verified(ledger: DataFrame, key: str = "ledger") -> DataFrame:
-    """(key, valid, first_bad, n): each record's hash must recompute and its previous hash be its predecessor's (64 zeros for the first); first_bad is -1 if all hold.
+def verified(ledger: DataFrame, key: str = "ledger", place: str = "idx") -> DataFrame:
+    """(key, valid, first_bad, n): by place, each record's hash must recompute and its previous hash be that of the record before it (64 zeros for the first). first_bad is the position, from 0, of the first that fails, -1 if all hold.
 
-    Predecessors come by an equi-join on the index, so a long ledger spreads
-    over tasks; nothing is collected. Editing a summary alone goes unseen, as
-    the payload is not stored.
+    Records are compared with their neighbours as they lie, so repeated, missing
+    and swapped ones are found. They are dealt out by ranges of (key, place), so
+    a long ledger spreads over tasks; each range gives a row for each ledger in
+    it, and these are stitched at their ends. Editing a summary alone goes
+    unseen, as the payload is not stored. Equal places go by idx and hash.
     """
-    before = ledger.select(F.col(key).alias("_k"), (F.col("idx") + 1).alias("_i"), F.col("current_hash").alias("_before"))
-    rows = ledger.join(before, (F.col(key) == F.col("_k")) & (F.col("idx") == F.col("_i")), "left")
-    link = F.when(F.col("idx") == 0, F.col("previous_hash") == GENESIS).otherwise(F.coalesce(F.col("previous_hash") == F.col("_before"), F.lit(False)))
-    good = link & (F.col("current_hash") == current_hash(F.col("idx"), F.col("ts"), F.col("event_type"), F.col("data_hash"), F.col("previous_hash")))
-    bad = F.min(F.when(~good, F.col("idx")))
-    return rows.groupBy(key).agg(F.coalesce(bad, F.lit(-1)).alias("first_bad"), F.count(F.lit(1)).alias("n")).select(key, (F.col("first_bad") == -1).alias("valid"), "first_bad", "n")
+    own = F.coalesce(F.col("current_hash") == current_hash(F.col("idx"), F.col("ts"), F.col("event_type"), F.col("data_hash"), F.col("previous_hash")), F.lit(False))
+    rows = ledger.select(F.col(key).alias("_k"), F.col(place).alias("_p"), "idx", "previous_hash", "current_hash", own.alias("_own"))
+    rows = rows.repartitionByRange("_k", "_p").sortWithinPartitions("_k", "_p", "idx", "current_hash", "previous_hash").select("_k", "previous_hash", "current_hash", "_own", F.spark_partition_id().alias("_part"))
+    schema = f"_k {rows.schema['_k'].dataType.simpleString()}, _part int, n bigint, begins string, own boolean, ends string, bad bigint"
+    parts = rows.mapInArrow(_ranges, schema)
+    by = Window.partitionBy("_k").orderBy("_part")
+    ahead = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.when(F.row_number().over(by) == 1, F.lit(GENESIS)).otherwise(F.lag("ends").over(by))
+    good = F.col("own") & F.coalesce(F.col("begins") == before, F.lit(False))
+    parts = parts.select("_k", "n", (ahead + F.when(~good, F.lit(0)).otherwise(F.col("bad"))).alias("bad"))
+    return parts.groupBy("_k").agg(F.coalesce(F.min("bad"), F.lit(-1)).alias("first_bad"), F.sum("n").alias("n")).select(F.col("_k").alias(key), (F.col("first_bad") == -1).alias("valid"), "first_bad", "n")
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each ledger of a sorted partition: rows, the first one's link and whether its hash holds, the last hash, and the first later position that fails."""
+    names = ("_k", "_part", "n", "begins", "own", "ends", "bad")
+    done: list[list] = []
+    for b in batches:
+        kinds = [b.schema.field(c).type for c in ("_k", "_part")] + [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+        for k, before, after, own, part in zip(*(b.column(c).to_pylist() for c in ("_k", "previous_hash", "current_hash", "_own", "_part")), strict=True):
+            if not done or done[-1][0] != k:
+                done.append([k, part, 1, before, own, after, None])
+                continue
+            r = done[-1]
+            if r[6] is None and not (own and before == r[5]):
+                r[6] = r[2]
+            r[2], r[5] = r[2] + 1, after
+        if len(done) > 1:
+            cols = zip(*done[:-1], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            done = done[-1:]
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
 
 def filtered(ledger: DataFrame, event_type: str) -> DataFrame:

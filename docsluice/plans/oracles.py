@@ -145,6 +145,16 @@ def checked(data_hash: str) -> str:
       SELECT ledger, bool_and(good) AS valid, coalesce(min(CASE WHEN NOT good THEN idx END), -1) AS first_bad, count(*) AS n FROM tested GROUP BY 1"""
 
 
+def tampered() -> str:
+    """Records by place, each against the one before it, after the third record was changed, repeated, removed or swapped."""
+    return f"""WITH RECURSIVE {CHAIN}, moved AS (SELECT ledger, idx, ts, CASE WHEN ledger % 5 = 0 AND idx = 2 THEN repeat('0', 64) ELSE data_hash END AS data_hash, previous_hash, current_hash,
+        CASE WHEN ledger % 5 = 3 AND idx IN (2, 3) THEN 5 - idx ELSE idx END AS place FROM chain WHERE NOT (ledger % 5 = 2 AND idx = 2)),
+      given AS (SELECT * FROM moved UNION ALL SELECT * FROM moved WHERE ledger % 5 = 1 AND idx = 2),
+      tested AS (SELECT ledger, row_number() OVER w - 1 AS position, previous_hash = coalesce(lag(current_hash) OVER w, repeat('0', 64)) AND current_hash = sha256(idx || ':' || ts || ':LOCAL_QUERY:' || data_hash || ':' || previous_hash) AS good
+        FROM given WINDOW w AS (PARTITION BY ledger ORDER BY place, idx))
+      SELECT ledger, bool_and(good) AS valid, coalesce(min(CASE WHEN NOT good THEN position END), -1) AS first_bad, count(*) AS n FROM tested GROUP BY 1"""
+
+
 def ascii_pattern(p: str) -> str:
     """The rule with its classes spelt out and without lookaround, for counting: a match may take in what it looks ahead at, and a name's further words are those that are not excluded."""
     other = "(?!at\\b|in\\b|on\\b|to\\b|from\\b|by\\b|with\\b|and\\b|or\\b)[A-Za-z]{2,}"
@@ -273,7 +283,7 @@ def sql() -> dict[str, str]:
         "ingest_status": f"WITH {CHUNKS}, n AS (SELECT doc_key, count(*) AS n FROM chunks GROUP BY 1), given AS (SELECT doc_id, source || '_' || doc_id AS title, text, 'doc_' || left(md5(sha256(text)), 10) AS doc_key, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS turn FROM documents), s AS (SELECT doc_id, title, CASE WHEN length(text) = 0 THEN 'EMPTY' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'WHITESPACE' WHEN length(text) > 5000000 THEN 'TOO_LARGE' WHEN turn > 1 THEN 'DUPLICATE' WHEN n > 60 THEN 'TOO_MANY_CHUNKS' ELSE 'INGESTED' END AS status, n FROM given LEFT JOIN n USING (doc_key)) SELECT doc_id AS row_id, title, status, CASE WHEN status = 'INGESTED' THEN n ELSE 0 END AS chunk_count FROM s",
         "ledger_chain": f"WITH RECURSIVE {CHAIN} SELECT ledger, idx, previous_hash, current_hash FROM chain",
         "ledger_verify": checked("data_hash"),
-        "ledger_tamper": checked("CASE WHEN idx = 2 THEN repeat('0', 64) ELSE data_hash END"),
+        "ledger_tamper": tampered(),
         "ledger_filter": "SELECT event_id, event_type FROM events WHERE event_type = 'purchase'",
         "nearest_rank_percentile": "SELECT event_type, count(*) AS n, " + ", ".join(f"list_sort(list(value))[least(CAST(floor(count(*) * {p}::DOUBLE) AS BIGINT), count(*) - 1) + 1] AS {k}" for k, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM events WHERE value IS NOT NULL GROUP BY 1",
         "doc_match_accuracy": f"WITH {HYBRID}, m AS (SELECT coalesce(e.k = g.k, FALSE) AS hit FROM ({chunk_doc('bm_top')}) e LEFT JOIN ({chunk_doc('got')}) g USING (query_id)) SELECT CAST(count_if(hit) AS BIGINT) AS matches, count(*) AS total, round(avg(CASE WHEN hit THEN 100.0::DOUBLE ELSE 0 END), 2) AS accuracy FROM m",

@@ -521,9 +521,12 @@ def ledger_verify(spark, d):
 
 @query
 def ledger_tamper(spark, d):
-    """Verification after the third record of every ledger got another data hash."""
-    chain = ledger.chained(_events(spark, d))
-    return ledger.verified(chain.withColumn("data_hash", F.when(F.col("idx") == 2, F.lit("0" * 64)).otherwise(F.col("data_hash"))))
+    """Verification after the third record of every ledger was tampered with, by the ledger's number modulo 5: another data hash, repeated, missing, its place swapped with the next, left alone."""
+    chain = stored(ledger.chained(_events(spark, d)), "chain").withColumn("place", F.col("idx"))
+    kind, third = F.pmod("ledger", F.lit(5)), F.col("idx") == 2
+    chain = chain.withColumn("data_hash", F.when((kind == 0) & third, F.lit("0" * 64)).otherwise(F.col("data_hash")))
+    chain = chain.where(~((kind == 2) & third)).withColumn("place", F.when((kind == 3) & third, 3).when((kind == 3) & (F.col("idx") == 3), 2).otherwise(F.col("place")))
+    return ledger.verified(chain.unionByName(chain.where((kind == 1) & third)), place="place")
 
 
 @query
