@@ -92,6 +92,11 @@ def current_hash(index: Column, ts: Column, kind: Column, data: Column, previous
     return F.sha2(F.concat_ws(":", index.cast("string"), ts, kind, data, previous), 256)
 
 
+def record_hash(index: int, ts, kind, data, previous) -> str:
+    """``current_hash`` of one record."""
+    return hashlib.sha256(":".join(x for x in (str(index), ts, kind, data, previous) if x is not None).encode()).hexdigest()
+
+
 _NO_KEY = object()
 RECORD = "idx bigint, ts string, event_type string, payload_summary string, data_hash string, previous_hash string, current_hash string"
 
@@ -110,10 +115,9 @@ def fold(rows: DataFrame, key: str, first: tuple[str, str] | None = None) -> Dat
                 if now is _NO_KEY or k != now:
                     now, at, last = k, *((cols[first[0]][i], cols[first[1]][i]) if first else (None, GENESIS))
                 number = cols["idx"][i] if at is None else at
-                text = ":".join(x for x in (str(number), cols["ts"][i], cols["event_type"][i], cols["data_hash"][i], last) if x is not None)
                 index.append(number)
                 before.append(last)
-                last = hashlib.sha256(text.encode()).hexdigest()
+                last = record_hash(number, cols["ts"][i], cols["event_type"][i], cols["data_hash"][i], last)
                 after.append(last)
                 at = None if at is None else at + 1
             kept = [b.column(n) for n in ("ts", "event_type", "payload_summary", "data_hash")]

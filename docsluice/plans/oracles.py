@@ -282,6 +282,7 @@ def sql() -> dict[str, str]:
         "ledger_json": JSON_TEXT,
         "ingest_status": f"WITH {CHUNKS}, n AS (SELECT doc_key, count(*) AS n FROM chunks GROUP BY 1), given AS (SELECT doc_id, source || '_' || doc_id AS title, text, 'doc_' || left(md5(sha256(text)), 10) AS doc_key, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS turn FROM documents), s AS (SELECT doc_id, title, CASE WHEN length(text) = 0 THEN 'EMPTY' WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'WHITESPACE' WHEN length(text) > 5000000 THEN 'TOO_LARGE' WHEN turn > 1 THEN 'DUPLICATE' WHEN n > 60 THEN 'TOO_MANY_CHUNKS' ELSE 'INGESTED' END AS status, n FROM given LEFT JOIN n USING (doc_key)) SELECT doc_id AS row_id, title, status, CASE WHEN status = 'INGESTED' THEN n ELSE 0 END AS chunk_count FROM s",
         "ledger_chain": f"WITH RECURSIVE {CHAIN} SELECT ledger, idx, previous_hash, current_hash FROM chain",
+        "stream_ledger_chain": f"WITH RECURSIVE {CHAIN} SELECT ledger, idx, previous_hash, current_hash FROM chain",
         "ledger_verify": checked("data_hash"),
         "ledger_tamper": tampered(),
         "ledger_filter": "SELECT event_id, event_type FROM events WHERE event_type = 'purchase'",

@@ -587,6 +587,21 @@ def stream_ingest_dedup(spark, d):
     return spark.read.parquet(f"{at}/table").select("doc_key", "row_id", "sha256")
 
 
+@query
+def stream_ledger_chain(spark, d):
+    """Each user's events as a ledger kept by a stream: the earlier half lands and is chained, then the later one, after a restart from the checkpoint."""
+    at = _scratch(spark)
+    e = _t(spark, d, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    half = F.lit(_t(spark, d, "events").agg(F.date_format(F.percentile_approx(F.col("ts").cast("timestamp"), 0.5), "yyyy-MM-dd'T'HH:mm:ss")).first()[0])
+    for part, which in enumerate((F.col("ts") < half, F.col("ts") >= half)):
+        e.where(which).write.parquet(f"{at}/landing/part={part}")
+        rows = spark.readStream.schema(e.schema).parquet(f"{at}/landing")
+        summary, data = ledger.local_query(F.col("event_type"), F.col("event_id"), F.col("event_id") % 2 == 0)
+        rows = rows.select(F.col("user_id").alias("ledger"), "ts", F.col("event_id").alias("seq"), F.lit("LOCAL_QUERY").alias("event_type"), summary.alias("payload_summary"), ledger.data_hash(summary, data).alias("data_hash"))
+        streams.ledger_stream(rows, f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/ledger").select("ledger", "idx", "previous_hash", "current_hash")
+
+
 @query
 def stream_ledger_counts(spark, d):
     """Event counts as a stream with a watermark, in complete mode."""
