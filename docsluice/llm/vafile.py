@@ -13,8 +13,10 @@ bound over all blocks.
 Queries and approximations meet in blocks of bounded size, so a task holds one
 block of each at a time.
 
-Rows, not ids, are candidates: several rows with one id all take part, and a
-query's own row alone is left out of its result. Defined cases: rows with a null
+Equal vectors are scanned as one, with the k + 1 rows of theirs that come first,
+so copies, however many, add no candidates. As one of the vectors may be the
+query's own alone, k + 1 of them make the bound. Rows, not ids, count: several
+rows with one id all take part, and a query's own row alone is left out. Defined cases: rows with a null
 id, a null vector, or null or non-finite components take no part. Shorter vectors
 count as padded with zeros. Fewer than k candidates: all are returned. Ties go to
 the smaller id. No queries or no rows: no result. Only the id and the vector are
@@ -85,7 +87,7 @@ def _approximated(vectors: DataFrame, low: np.ndarray, width: np.ndarray) -> Dat
 
 def _scan(low: np.ndarray, width: np.ndarray, k: int, first: bool):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        """Of one block: the ``k`` candidates of each query with the highest lower bounds, or (second scan) those whose upper bound reaches the query's ``floor``."""
+        """Of one block of vectors: the ``k`` candidates of each query with the highest lower bounds, or (second scan) those whose upper bound reaches the query's ``floor``."""
         out = []
         if queries.num_rows and rows.num_rows:
             q = _padded(queries.column("v"), len(low))
@@ -100,7 +102,6 @@ def _scan(low: np.ndarray, width: np.ndarray, k: int, first: bool):
             for at in range(0, len(q), max(1, SCORES // len(cid))):
                 part = slice(at, at + max(1, SCORES // len(cid)))
                 s = q[part].astype(kind) @ edge
-                s[qid[part, None] == cid] = NONE
                 up, down = np.maximum(q[part], 0) @ (width - 1), np.minimum(q[part], 0) @ (width - 1)
                 err = slack * (np.abs(q[part]) @ (np.abs(low) + CELLS * width))
                 if first:
@@ -128,13 +129,18 @@ def top_k(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str
     empty = base.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
     if not m or n < 2:
         return empty
-    low, width = grid(base)
+    # equal vectors are one candidate; k + 1 of its rows are enough for any query, its own left out
+    order = Window.partitionBy("v").orderBy("vec_id", "row")
+    few = base.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    vectors = few.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("row").alias("of")))).alias("members"))
+    vectors = stored(vectors.select(F.monotonically_increasing_id().alias("row"), "v", "members"), "distinct")
+    low, width = grid(vectors)
     if not len(low):
         low, width = np.zeros(1), np.ones(1)
-    rows, cols = -(-n // ROW_BLOCK), -(-m // QUERY_BLOCK)
+    rows, cols = max(1, -(-vectors.count() // ROW_BLOCK)), -(-m // QUERY_BLOCK)
     block = lambda c, size: F.pmod(F.xxhash64("row"), F.lit(size)).cast("int").alias(c)
     spread = lambda c, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(c)
-    cells = stored(_approximated(base, low, width), "cells").select("row", "code", block("cb", rows)).select("*", spread("qb", cols))
+    cells = stored(_approximated(vectors, low, width), "cells").select("row", "code", block("cb", rows)).select("*", spread("qb", cols))
     asked = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     wide = len(low) * float((np.abs(low) + CELLS * width).max()) ** 2 >= 2.0**53
     kind = "decimal(19,0)" if wide else "double"
@@ -142,18 +148,18 @@ def top_k(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str
 
     def scan(some: DataFrame, first: bool, label: str) -> DataFrame:
         left = some.select("*", block("qb", cols)).select("*", spread("cb", rows))
-        return stored(left.groupBy("qb", "cb").cogroup(cells.groupBy("qb", "cb")).applyInArrow(_scan(low, width, k, first), "query bigint, row bigint, lower double"), label)
+        return stored(left.groupBy("qb", "cb").cogroup(cells.groupBy("qb", "cb")).applyInArrow(_scan(low, width, k + 1, first), "query bigint, row bigint, lower double"), label)
 
     def read(pairs: DataFrame) -> DataFrame:
-        return pairs.join(base, "row").join(asked, "query").select("query", "row", "query_id", "vec_id", product.cast("bigint").alias("score"))
+        return pairs.join(vectors, "row").join(asked, "query").select("query", "row", "query_id", "members", product.cast("bigint").alias("score"))
 
     by = Window.partitionBy("query")
-    near = scan(queries.select("row", "v"), True, "bounds").withColumn("r", F.row_number().over(by.orderBy(F.desc("lower"), "row"))).where(F.col("r") <= k)
+    near = scan(queries.select("row", "v"), True, "bounds").withColumn("r", F.row_number().over(by.orderBy(F.desc("lower"), "row"))).where(F.col("r") <= k + 1)
     near = stored(read(near.select("query", "row")), "near")
-    floor = near.groupBy(F.col("query").alias("row")).agg(F.when(F.count(F.lit(1)) == k, F.min("score").cast("double")).alias("floor"))
+    floor = near.groupBy(F.col("query").alias("row")).agg(F.when(F.count(F.lit(1)) == k + 1, F.min("score").cast("double")).alias("floor"))
     may = scan(queries.select("row", "v").join(floor, "row", "left").select("row", "v", F.coalesce("floor", F.lit(NONE)).alias("floor")), False, "candidates")
     rest = may.select("query", "row").join(near.select("query", "row"), ["query", "row"], "left_anti")
-    whole = near.unionByName(read(rest))
+    whole = near.unionByName(read(rest)).select("query", "query_id", "score", F.inline("members")).where(F.col("of") != F.col("query"))
     return whole.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

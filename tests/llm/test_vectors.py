@@ -174,3 +174,26 @@ def test_trees_prune_and_stay_exact():
     assert sum(int(tree.nodes[n, 1] - tree.nodes[n, 0]) for n, _ in whole) > len(points) * 0.7  # most go by whole nodes
     wide = centroids.Tree(row, [[v + (1 << 40) * (i == 7) for v in m] for i, m in enumerate(c)])
     assert wide.kind is object and wide.totals()[0][:7] == [int((wide.labels()[0] == i).sum()) for i in range(7)]
+
+
+# ---- exact top-k: copies
+
+
+def test_copies_add_no_candidates(spark, monkeypatch):
+    from docsluice.llm import vafile
+
+    made = {}
+    real = vafile.stored
+    monkeypatch.setattr(vafile, "stored", lambda df, label: made.setdefault(label, real(df, label)))
+    r = np.random.default_rng(2)
+    same = r.standard_normal(8).round(2).tolist()
+    rows = [(i, same) for i in range(2000)] + [(i, r.standard_normal(8).round(2).tolist()) for i in range(2000, 2300)] + [(40, same), (2040, same)]
+    got = vafile.embedding_neighbours(frame(spark, rows)).collect()
+    assert made["candidates"].count() < 60 * 116 and made["distinct"].count() == 301
+    x = [(i, [math.floor(64 * e) for e in v]) for i, v in rows]
+    want = []
+    for p, (i, v) in enumerate(x):
+        if i % 20 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), j) for o, (j, w) in enumerate(x) if o != p))[:20]
+            want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
