@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CITATION, QUOTE, STOPWORDS, TERM, WORD, WS
+from ..operators import merkle
 from ..operators.rules import RULES
 from ..operators.retrieve import LEAD, NO_FACTS, NOTE
 from ..operators.telemetry import MODELS, QUANTS
@@ -264,6 +265,7 @@ def sql() -> dict[str, str]:
         "dedup_sha256": f"WITH {CORPUS} SELECT doc_key, row_id, sha256, category FROM corpus",
         "delete_document": f"WITH {CHUNKS} SELECT doc_key, count(chunk_id) AS chunks FROM corpus LEFT JOIN chunks USING (doc_key) WHERE corpus.category <> 'LEGAL' GROUP BY 1",
         "reclassify": f"WITH {CORPUS} SELECT doc_key, CASE lang WHEN 'de' THEN 'FINANCIAL' WHEN 'fr' THEN 'GENERAL' ELSE category END AS category FROM corpus JOIN documents ON row_id = doc_id",
+        "merkle_tree": merkle.sql(f"WITH {CHUNKS}, ids AS (SELECT chunk_id FROM chunks)", "chunk_id"),
         "manifest": f"WITH {CHUNKS}, p AS (SELECT substr(chunk_id, 1, 8) AS p, count(*) AS n, sha256(string_agg(chunk_id, '' ORDER BY chunk_id)) AS h FROM chunks GROUP BY 1) SELECT '2.0' AS schema_version, (SELECT count(DISTINCT doc_key) FROM chunks) AS document_count, CAST(sum(n) AS BIGINT) AS chunk_count, sha256(string_agg(h, '' ORDER BY p)) AS ids_sha256 FROM p",
         "collection_stats": f"WITH {CHUNKS} SELECT category, documents, chunks, category <> 'GENERAL' AS sensitive FROM (SELECT category, count(*) AS documents FROM corpus GROUP BY 1) LEFT JOIN (SELECT category, count(*) AS chunks FROM chunks GROUP BY 1) USING (category)",
         "doc_filter": f"WITH {CORPUS} SELECT doc_key, title, category FROM corpus WHERE contains(lower(title), 'src1') OR contains(lower(category), 'src1')",

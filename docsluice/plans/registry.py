@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.tables import shared_dir, stored
-from ..operators import chunk, collection, dense, graph, grounding, ledger, lexical, metrics, postings, privacy, retrieve, telemetry
+from ..operators import chunk, collection, dense, graph, grounding, ledger, lexical, merkle, metrics, postings, privacy, retrieve, telemetry
 from ..sources import files
 from ..streaming import streams
 
@@ -375,6 +375,16 @@ def manifest(spark, d):
     return collection.manifest(_chunks(spark, d))
 
 
+@query
+def merkle_tree(spark, d):
+    """All nodes of the Merkle tree over the chunks' ids, from that of the chunks without the category LEGAL, updated by the rest."""
+    c = _kept_chunks(spark, d)
+    whole, legal = merkle.entries(c, "chunk_id"), merkle.entries(c.where("category = 'LEGAL'"), "chunk_id")
+    depth = merkle.depth_of(whole.count())
+    before = merkle.tree(merkle.entries(c.where("category <> 'LEGAL'"), "chunk_id"), depth)
+    return merkle.updated(before, whole, legal)[0]
+
+
 @query
 def collection_stats(spark, d):
     docs = collection.corpus(spark, d)
