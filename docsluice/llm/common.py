@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,10 +132,21 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
         held.append(batch)
         size += batch.column(column).nbytes
         if size >= most:
-            yield from slices(iter([pa.concat_batches(held)]), column, most)
-            held, size = [], 0
+            whole, held, size = iter([pa.concat_batches(held)]), [], 0
+            yield from slices(whole, column, most)
     if held:
-        yield from slices(iter([pa.concat_batches(held)]), column, most)
+        whole, held = iter([pa.concat_batches(held)]), []
+        yield from slices(whole, column, most)
+
+
+def worked(parts: Iterator[pa.RecordBatch], f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``f`` gives for each part. Nothing of a part is held, and its memory is handed back, before the next one is read."""
+    for part in parts:
+        made = f(part)
+        del part
+        yield from made
+        del made
+        tidy()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, gathered, mix64, modest, slices, split_words, spread_join, stored
+from .common import free_names, gathered, mix64, modest, slices, split_words, spread_join, stored, worked
 from .components import components
 
 WORDS, THRESHOLD = 5, (4, 5)  # of the general interface
@@ -107,7 +107,8 @@ def _digest(df: DataFrame, key: str, text: str, words: int, t: tuple[int, int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = counter(TaskContext.get().partitionId() << 32)
-        for wide in gathered(batches, text, SIEVE_BYTES):
+
+        def blocks(wide: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for lo in range(0, wide.num_rows, 50_000):
                 b = wide.slice(lo, 50_000)
                 sets = shingle_sets(b.column(text), words)
@@ -133,6 +134,8 @@ def _digest(df: DataFrame, key: str, text: str, words: int, t: tuple[int, int],
                     names=["block", "part", "packed", "ids", "sizes", "sids"],
                 )
 
+        yield from worked(gathered(batches, text, SIEVE_BYTES), blocks)
+
     return df.mapInArrow(run, schema)
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, free_names, modest, slices
+from .common import doc_fold, free_names, modest, slices, worked
 
 DICT_BYTES = 96 << 10  # training text kept for a language
 TEXT_BYTES = 8 << 10  # what one text gives to a dictionary at most
@@ -109,11 +109,14 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = compressors(dictionaries)
-        for b in slices(batches, text):
+
+        def judged(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             got = [judge(t, models, reject_margin) for t in b.column(text).to_pylist()]
             cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in own] + cols, names=[*own, *names])
 
+        yield from worked(slices(batches, text), judged)
+
     return df.select(*[F.col(f"`{n}`") for n in own]).mapInArrow(run, schema)
 
 

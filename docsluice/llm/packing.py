@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, modest, stored
+from .common import gathered, modest, stored, worked
 from .tokens import END_ID, SLICE, WordTokenizer, default_path
 
 CAPACITY = 4096
@@ -44,7 +44,9 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.at(path)
         number = TaskContext.get().partitionId() << 36
-        for b in gathered(batches, text, SLICE):
+
+        def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal number
             ids, lengths = tok.encode(b.column(text))
             data, at, rows = memoryview(ids.tobytes()), 0, []
             for d, n in enumerate(lengths.tolist()):
@@ -57,6 +59,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             of = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key).take(of[0]), *of[1:]], names=[key, "uid", "piece", "start", "length", "ids_crc32"])
 
+        yield from worked(gathered(batches, text, SLICE), cut)
+
     return df.select(key, text).mapInArrow(run, f"{key} {id_type}, uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
