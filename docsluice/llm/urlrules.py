@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -124,10 +126,15 @@ def host_rule(host: str, path: str, by_host: dict[str, list[HostRule]]) -> HostR
 
 
 def judge(df: DataFrame, url: str = "url", host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
-    """Add host, path, rule, verdict, pattern and n_tried. The verdict is the host rule's; without one the pattern's; without either allow."""
-    new = ("host", "path", "rule", "verdict", "pattern", "n_tried")
-    names = [n for n in df.columns if n not in new]
-    lit = [F.lit(None).cast("string").alias(n) for n in new[:5]] + [F.lit(None).cast("int").alias("n_tried")]
+    """Add host, path, rule, verdict, pattern and n_tried (expressions that ran). The verdict is the host rule's; without one the pattern's; without either allow.
+
+    A null URL counts as empty. Ties of length go to the later host rule and the
+    earlier pattern in order of text. Repeated rows stay, an empty table gives
+    none. Columns of ``df`` stay; an added one whose name is taken gets an underscore.
+    """
+    names = df.columns
+    new = free_names(("host", "path", "rule", "verdict", "pattern", "n_tried"), names)
+    lit = [F.lit(None).cast("string").alias(n) for n in new[:5]] + [F.lit(None).cast("int").alias(new[5])]
     schema = df.select(*[F.col(f"`{n}`") for n in names], *lit).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,27 @@ def test_combining_marks_and_digits_are_compressed():
     models = langid.compressors({"hi": langid.encoded(hindi * 40), "mr": langid.encoded(marathi * 40)})
     assert langid.judge(hindi, models)[0] == "hi" and langid.judge(marathi, models)[0] == "mr"
     assert langid.judge("12 34 %", models)[0] == "und"
+
+
+def test_url_columns_stay_and_a_large_index_tries_few_rules(spark):
+    import random
+
+    from docsluice.llm import urlrules
+
+    df = spark.createDataFrame([(1, "http://x.net/de/1", "own", 7)], "page_id int, url string, host string, Verdict int")
+    row = urlrules.judge(df).first().asDict()
+    assert (row["host"], row["Verdict"], row["host_"], row["verdict_"], row["rule"]) == ("own", 7, "x.net", "allow", "net/de/")
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rules = tuple({f"/{word()}/{r.choice(['ads', 'img', word()])}^": r.choice(["block", "allow"]) for _ in range(5000)}.items())
+    index = urlrules.PatternIndex(rules)
+    tried = 0
+    for _ in range(300):
+        path = r.choice(rules)[0].rstrip("^") if r.random() < 0.5 else f"/{word()}/ads"
+        url = f"http://host.org{path}/x"
+        hits = [(p, v) for p, v in rules if urlrules.re.search(urlrules.to_regex(p), url)]
+        best = min(hits, key=lambda x: (-len(x[0]), x[0]), default=(None, None))
+        got = index.match(url)
+        assert got[:2] == best
+        tried += got[2]
+    assert tried < 300 * len(rules) * 0.01
