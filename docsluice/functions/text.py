@@ -29,6 +29,16 @@ _B = r"[ \t\n]*+"
 _REST = rf",{_B}Page{_B}([0-9]++),{_B}Line{_B}([0-9]++)-([0-9]++)\]"
 
 
+def free_names(wanted: tuple[str, ...], taken: list[str]) -> tuple[str, ...]:
+    """``wanted`` with underscores until none is a name in ``taken`` (case does not count)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once for a row, also where ``body`` uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -66,11 +66,13 @@ ENTITY = "struct<id:string,type:string,raw:string,token:string,start_index:int,e
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Add redacted_text, entities, token_map, risk and redact_error (NUL_BYTE for texts with NUL, which are refused: their redacted_text is null). Null text gives nulls, no entities, risk 0.
 
-    token_map holds raw identifiers: keep it in a restricted table.
+    token_map holds raw identifiers: keep it in a restricted table. A column of
+    ``df`` with one of these names stays, and the added one gets an underscore.
     """
     names = df.columns
-    extra = ("redacted_text", "entities", "token_map", "redact_error")
-    schema = df.select("*", F.lit(None).cast("string").alias("redacted_text"), F.lit(None).cast(f"array<{ENTITY}>").alias("entities"), F.lit(None).cast("map<string,string>").alias("token_map"), F.lit(None).cast("string").alias("redact_error")).schema
+    *extra, level = T.free_names(("redacted_text", "entities", "token_map", "redact_error", "risk"), names)
+    kinds = ("string", f"array<{ENTITY}>", "map<string,string>", "string")
+    schema = df.select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(extra, kinds, strict=True)]).schema
     entity = pa.struct([("id", pa.string()), ("type", pa.string()), ("raw", pa.string()), ("token", pa.string()), ("start_index", pa.int32()), ("end_index", pa.int32()), ("confidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.list_(entity), pa.map_(pa.string(), pa.string()), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + cols, names=[*names, *extra])
 
-    return df.mapInArrow(run, schema).withColumn("risk", risk(F.size("entities")))
+    return df.mapInArrow(run, schema).withColumn(level, risk(F.size(F.col(f"`{extra[1]}`"))))
 
 
 def risk(entities: Column) -> Column:

@@ -94,3 +94,10 @@ def test_citations_of_odd_names(spark):
     df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", T.citations(F.col("t")).alias("c"), T.without_citations(F.col("t")).alias("w")).collect()
     for r in df:
         assert [tuple(map(str, c)) for c in r["c"]] == re.findall(T.CITATION, r["t"]) and r["w"] == re.sub(T.CITATION, "", r["t"])
+
+
+def test_redaction_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([("mail a.b@c.org", 1, "x", "y")], "text string, entities int, Risk string, redacted_text string")
+    row = privacy.redact(df).first().asDict()
+    assert (row["entities"], row["Risk"], row["redacted_text"]) == (1, "x", "y")
+    assert row["redacted_text_"] == "mail [SAFE_EMAIL_1]" and len(row["entities_"]) == 1 and row["risk_"] == 12
