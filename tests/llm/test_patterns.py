@@ -66,13 +66,14 @@ def test_url_columns_stay_and_a_large_index_tries_few_rules(spark):
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     rules = tuple({f"/{word()}/{r.choice(['ads', 'img', word()])}^": r.choice(["block", "allow"]) for _ in range(5000)}.items())
     index = urlrules.PatternIndex(rules)
+    plain = [(p, v, urlrules.re.compile(urlrules.to_regex(p))) for p, v in rules]
     tried = 0
-    for _ in range(300):
+    for _ in range(100):
         path = r.choice(rules)[0].rstrip("^") if r.random() < 0.5 else f"/{word()}/ads"
         url = f"http://host.org{path}/x"
-        hits = [(p, v) for p, v in rules if urlrules.re.search(urlrules.to_regex(p), url)]
+        hits = [(p, v) for p, v, e in plain if e.search(url)]
         best = min(hits, key=lambda x: (-len(x[0]), x[0]), default=(None, None))
         got = index.match(url)
         assert got[:2] == best
         tried += got[2]
-    assert tried < 300 * len(rules) * 0.01
+    assert tried < 100 * len(rules) * 0.01
