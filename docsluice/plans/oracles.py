@@ -93,6 +93,7 @@ DENSE = f"""{BM25}, {embedded('ce', 'chunks', 'chunk_id', 'content', 384)}, {emb
   chunk_ids AS (SELECT DISTINCT chunk_id FROM ce), query_ids AS (SELECT DISTINCT query_id FROM qe), pairs AS (SELECT query_id, chunk_id, sum(ce.weight * qe.weight) AS s FROM ce JOIN qe USING (slot) GROUP BY ALL),
   dn AS (SELECT query_id, chunk_id, round(coalesce(s, 0), 6) AS score FROM query_ids CROSS JOIN chunk_ids LEFT JOIN pairs USING (query_id, chunk_id)),
   dn_top AS (SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM dn) WHERE rank <= 20)"""
+CLOUD = DENSE.replace(embedded("ce", "chunks", "chunk_id", "content", 384), embedded("ce", "chunks", "chunk_id", "content", 768)).replace(embedded("qe", "questions", "query_id", "query", 384), embedded("qe", "questions", "query_id", "query", 768))
 JSON_TEXT = r"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents),
   e AS (SELECT doc_id, list_transform(c, lambda x: CASE x WHEN '"' THEN '\"' WHEN '\' THEN '\\' WHEN chr(10) THEN '\n' WHEN chr(13) THEN '\r' WHEN chr(9) THEN '\t' WHEN chr(8) THEN '\b' WHEN chr(12) THEN '\f'
     ELSE CASE WHEN unicode(x) BETWEEN 32 AND 126 THEN x WHEN unicode(x) < 65536 THEN '\u' || lpad(lower(to_hex(unicode(x))), 4, '0')
@@ -146,6 +147,22 @@ def checked(data_hash: str) -> str:
       SELECT ledger, bool_and(good) AS valid, coalesce(min(CASE WHEN NOT good THEN idx END), -1) AS first_bad, count(*) AS n FROM tested GROUP BY 1"""
 
 
+def _entries() -> str:
+    """Each kind of ledger entry: summary and data by event."""
+    true = lambda c, yes, no: f"CASE WHEN {c} THEN '{yes}' ELSE '{no}' END"
+    each = (
+        ("DOCUMENT_INGEST", "'Document Ingested: ' || event_type || ' (' || event_id || ' chunks)'", """'{"category": "GENERAL", "chunks": ' || event_id || ', "doc_id": "doc_' || event_id || '", "sha256": "' || sha256(CAST(event_id AS VARCHAR)) || '"}'"""),
+        ("PII_REDACT", "'PII Redaction: ' || event_id % 9 || ' entities sanitized (risk score: ' || least(100, event_id % 9 * 12) || ')'", """'{"entities_redacted": ' || event_id % 9 || ', "risk_score_heuristic": ' || least(100, event_id % 9 * 12) || '}'"""),
+        ("LOCAL_QUERY", f"'Query executed via ' || event_type || ' (retrieved ' || event_id || ' chunks, grounded: ' || {true('event_id % 2 = 0', 'True', 'False')} || ')'", f"""'{{"chunks_retrieved": ' || event_id || ', "grounded": ' || {true('event_id % 2 = 0', 'true', 'false')} || ', "model": "' || event_type || '"}}'"""),
+        ("AIR_GAP_VERIFY", f"'Air Gap Verification: loopback=' || {true('event_id % 3 = 0', 'True', 'False')} || ', observed non-loopback egress bytes=' || event_id", f"""'{{"egress_bytes": ' || event_id || ', "loopback_verified": ' || {true('event_id % 3 = 0', 'true', 'false')} || '}}'"""),
+        ("QUANT_TELEMETRY", "'Quantization Telemetry: ' || event_type || ' (Q4) memory estimate ' || event_id || ' GiB'", """'{"model": "' || event_type || '", "quant": "Q4", "vram_estimate_gib": ' || event_id || '}'"""),
+        ("ERROR", "'Error: [' || event_type || '] ' || substr(repeat(event_type, 40), 1, 120)", """'{"error_class": "' || event_type || '", "message": "' || repeat(event_type, 40) || '"}'"""),
+        ("MODE_SWITCH", "'Mode switched to ' || event_type", """'{"mode": "' || event_type || '"}'"""),
+        ("SYSTEM_SHUTDOWN", "event_type", "'{}'"),
+    )
+    return " UNION ALL ".join(f"SELECT event_id, '{name}' AS entry, {summary} AS payload_summary, sha256({summary} || {data}) AS data_hash FROM events WHERE event_id % 8 = {i}" for i, (name, summary, data) in enumerate(each))
+
+
 def tampered() -> str:
     """Records by place, each against the one before it, after the third record was changed, repeated, removed or swapped."""
     return f"""WITH RECURSIVE {CHAIN}, moved AS (SELECT ledger, idx, ts, CASE WHEN ledger % 5 = 0 AND idx = 2 THEN repeat('0', 64) ELSE data_hash END AS data_hash, previous_hash, current_hash,
@@ -251,6 +268,12 @@ def sql() -> dict[str, str]:
         "hash_slots_768": slots(768),
         "hash_embed_sparse": sparse(384),
         "hash_embed_sparse_768": sparse(768),
+        "cloud_topk": f"WITH {CLOUD} SELECT query_id, chunk_id, score, rank FROM dn_top",
+        "both_spaces": f"WITH {CHUNKS}, {embedded('ce', 'chunks', 'chunk_id', 'content', 384)}, {embedded('cx', 'chunks', 'chunk_id', 'content', 768)} "
+        + " UNION ALL ".join(f"SELECT '{space}' AS space, chunk_id, CAST(count(*) AS INTEGER) AS slots, round(sum(weight * weight), 6) AS squared FROM {name} GROUP BY 2" for space, name in (("local", "ce"), ("cloud", "cx"))),
+        "manifest_check": f"WITH {CHUNKS} SELECT 'all' AS against, true AS documents_ok, true AS chunks_ok, true AS ids_ok UNION ALL SELECT 'some', count(DISTINCT doc_key) = count(DISTINCT doc_key) FILTER (category <> 'LEGAL'), count(*) = count(*) FILTER (category <> 'LEGAL'), string_agg(chunk_id, ',' ORDER BY chunk_id) = string_agg(chunk_id, ',' ORDER BY chunk_id) FILTER (category <> 'LEGAL') FROM chunks",
+        "ledger_entries": _entries(),
+        "text_decoding": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CAST(length(coalesce(text, '')) AS INTEGER) AS chars FROM documents",
         "dense_topk": f"WITH {DENSE} SELECT query_id, chunk_id, score, rank FROM dn_top",
         "rrf_fuse": f"WITH {FUSED} SELECT query_id, chunk_id, rrf, rank FROM fused",
         "hybrid_search": f"WITH {HYBRID} SELECT query_id, rank, chunk_id, similarity_score, bm25_score, rrf_score FROM got",

@@ -274,6 +274,19 @@ def dense_topk(spark, d):
     return dense.search(_kept_chunks(spark, d), _questions(spark, d))
 
 
+@query
+def cloud_topk(spark, d):
+    """Search in the space of 768 dimensions, which only cloud mode may read."""
+    return dense.search_space(_kept_chunks(spark, d), _questions(spark, d), "cloud", "cloud")
+
+
+@query
+def both_spaces(spark, d):
+    """What every chunk has in each space: slots in use and the squared length."""
+    e = dense.both_spaces(_kept_chunks(spark, d))
+    return e.select("space", "chunk_id", F.size("slots").alias("slots"), F.round(F.aggregate("weights", F.lit(0.0), lambda s, w: s + w * w), 6).alias("squared"))
+
+
 # ---- fusion and retrieval
 
 
@@ -375,6 +388,15 @@ def manifest(spark, d):
     return collection.manifest(_chunks(spark, d))
 
 
+@query
+def manifest_check(spark, d):
+    """The manifest of all chunks held against the chunks without the category LEGAL: none of its figures holds; and against all: each does."""
+    c = _kept_chunks(spark, d)
+    all_ = stored(collection.manifest(c), "manifest")
+    check = lambda rows, name: collection.manifest_holds(rows, all_).withColumn("against", F.lit(name))
+    return check(c, "all").unionByName(check(c.where("category <> 'LEGAL'"), "some"))
+
+
 @query
 def merkle_tree(spark, d):
     """All nodes of the Merkle tree over the chunks' ids, from that of the chunks without the category LEGAL, updated by the rest."""
@@ -507,6 +529,38 @@ def ledger_data_hash(spark, d):
     return _events(spark, d).select("ledger", "idx", "payload_summary", "data_hash")
 
 
+@query
+def ledger_entries(spark, d):
+    """Summary and data hash of every kind of ledger entry, dealt out over the events."""
+    e, i, kind = _t(spark, d, "events"), F.col("event_id"), F.col("event_type")
+    entities = F.pmod(i, F.lit(9))
+    each = {
+        "DOCUMENT_INGEST": ledger.document_ingest(kind, F.concat(F.lit("doc_"), i), F.lit("GENERAL"), T.sha256(i.cast("string")), i),
+        "PII_REDACT": ledger.pii_redact(entities, privacy.risk(entities)),
+        "LOCAL_QUERY": ledger.local_query(kind, i, i % 2 == 0),
+        "AIR_GAP_VERIFY": ledger.air_gap_verify(i % 3 == 0, i),
+        "QUANT_TELEMETRY": ledger.quant_telemetry(kind, F.lit("Q4"), i),
+        "ERROR": ledger.error(kind, F.repeat(kind, F.lit(40))),
+        "MODE_SWITCH": ledger.mode_switch(kind),
+        "SYSTEM_SHUTDOWN": ledger.system_shutdown(kind),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("entry"), summary.alias("payload_summary"), ledger.data_hash(summary, data).alias("data_hash")) for name, (summary, data) in each.items()])
+    return e.select("event_id", F.get(rows, F.pmod(i, F.lit(8)).cast("int")).alias("r")).select("event_id", "r.*")
+
+
+@query
+def text_decoding(spark, d):
+    """Every text as the bytes of a file, in turn UTF-16 and UTF-8 with a byte-order mark, plain UTF-8 and, where its letters allow, Latin-1, and decoded again."""
+    t = F.coalesce("text", F.lit(""))
+    utf16 = lambda mark, name: F.concat(F.lit(mark), F.encode(t, name))
+    plain = F.encode(t, "UTF-8")
+    kind = F.pmod("doc_id", F.lit(5))
+    latin = F.when(F.rlike(t, F.lit(r"^[\x00-\xFF]*+$")), F.encode(F.regexp_replace(t, r"[^\x00-\xFF]", ""), "ISO-8859-1")).otherwise(plain)
+    content = F.when(kind == 0, utf16(b"\xff\xfe", "UTF-16LE")).when(kind == 1, utf16(b"\xfe\xff", "UTF-16BE")).when(kind == 2, F.concat(F.lit(b"\xef\xbb\xbf"), plain)).when(kind == 3, plain).otherwise(latin)
+    rows = _t(spark, d, "documents").select("doc_id", content.alias("content"))
+    return rows.select("doc_id", files.decoded(F.col("content")).alias("t")).select("doc_id", T.sha256(F.col("t")).alias("sha256"), F.length("t").alias("chars"))
+
+
 @query
 def ledger_json(spark, d):
     """Hash of every text as a JSON string, as the ledger's payloads hold texts: non-ASCII and control characters escaped."""
