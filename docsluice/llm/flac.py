@@ -582,18 +582,25 @@ def encode(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
 
 
 def decode(df: DataFrame, media: str = "media") -> DataFrame:
-    """Add ``pcm`` (the sample bytes), ``blocks`` (array of sample offset, byte offset, samples), and sums of the samples (``level``, ``energy``, ``crossings``). Columns of these five names are replaced, all others stay."""
-    names = [f.name for f in df.schema.fields if f.name not in ("pcm", "blocks", "level", "energy", "crossings")]
+    """Add ``pcm`` (the sample bytes), ``blocks`` (array of sample offset, byte offset, samples), sums of the samples (``level``, ``energy``, ``crossings``) and ``media_error``. Columns of these six names are replaced, all others stay.
+
+    A stream that is null, damaged or of another kind gives its error and nulls, and leaves the others of its batch alone.
+    """
+    names = [f.name for f in df.schema.fields if f.name not in ("pcm", "blocks", "level", "energy", "crossings", "media_error")]
     df = df.select(*[F.col(f"`{n}`") for n in names])
     extra = "array<struct<sample_offset:bigint,byte_offset:bigint,n_samples:int>>"
-    schema = df.select("*", F.lit(b"").alias("pcm"), F.lit(None).cast(extra).alias("blocks"), *[F.lit(0).cast("bigint").alias(n) for n in ("level", "energy", "crossings")]).schema
+    schema = df.select("*", F.lit(b"").alias("pcm"), F.lit(None).cast(extra).alias("blocks"), *[F.lit(None).cast("bigint").alias(n) for n in ("level", "energy", "crossings")], F.lit(None).cast("string").alias("media_error")).schema
+    schema["pcm"].nullable = True
     kind = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, media):
-            got = decode_many(b.column(media).to_pylist())
+            got, errors = decode_each(b.column(media).to_pylist())
             sums = []
             for pcm, _ in got:
+                if pcm is None:
+                    sums.append((None, None, None))
+                    continue
                 s = np.frombuffer(pcm, np.uint8).astype(np.int32) - 128
                 sums.append((int(s.sum()), int((s * s).sum(dtype=np.int64)), int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))))
             cols = [b.column(n) for n in names] + [pa.array([p for p, _ in got], pa.binary())]
@@ -601,12 +608,28 @@ def decode(df: DataFrame, media: str = "media") -> DataFrame:
             flat = np.array([v for _, x in got for v in x], dtype=np.int64).reshape(-1, 3)
             inner = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(flat[:, 2].astype(np.int32))], fields=list(kind.value_type))
             cols.append(pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner, type=kind))
-            cols += [pa.array([s[i] for s in sums], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "pcm", "blocks", "level", "energy", "crossings"])
+            cols += [pa.array([s[i] for s in sums], pa.int64()) for i in range(3)] + [pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "pcm", "blocks", "level", "energy", "crossings", "media_error"])
 
     return df.mapInArrow(run, schema)
 
 
+def decode_each(streams: list[bytes | None]) -> tuple[list[tuple], list[str | None]]:
+    """``decode_many`` of all streams at once or, if one of them fails, of each: (None, no blocks) and a message for those that fail."""
+    try:
+        return decode_many(streams), [None] * len(streams)
+    except Exception:  # noqa: BLE001  (a damaged stream can fail anywhere; each is tried alone)
+        got, errors = [], []
+    for s in streams:
+        try:
+            got += decode_many([s])
+            errors.append(None)
+        except Exception as e:  # noqa: BLE001
+            got.append((None, []))
+            errors.append(f"{type(e).__name__}: {e}"[:200])
+    return got, errors
+
+
 def pcm_blocks(decoded: DataFrame, *keys: str) -> DataFrame:
     """One row for each block of PCM: keys, sample offset, samples, bytes. Write it partitioned as you like; a reader finds a sample by its offset."""
     return decoded.select(*keys, "pcm", F.posexplode("blocks").alias("block", "b")).select(*keys, "block", F.col("b.sample_offset").alias("sample_offset"), F.col("b.n_samples").alias("n_samples"), F.substring("pcm", (F.col("b.sample_offset") + 1).cast("int"), F.col("b.n_samples")).alias("pcm"))
@@ -623,7 +646,7 @@ def document_media(documents: DataFrame) -> DataFrame:
     read = decode(encode(given, "payload"))
     feature = F.format_string("blocks=%d;level=%d;energy=%d;crossings=%d", F.size("blocks"), "level", "energy", "crossings")
     return read.select(
-        "doc_id", "n_bytes", F.length("pcm").cast("bigint").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),
+        "doc_id", "n_bytes", F.length("pcm").cast("bigint").alias("payload_bytes"), F.sha2(F.coalesce("pcm", F.raise_error(F.col("media_error")).cast("binary")), 256).alias("payload_sha256"),
         F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"), F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"), F.size("blocks").alias("n_blocks"),
     )

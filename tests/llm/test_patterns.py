@@ -77,3 +77,19 @@ def test_url_columns_stay_and_a_large_index_tries_few_rules(spark):
         assert got[:2] == best
         tried += got[2]
     assert tried < 100 * len(rules) * 0.01
+
+
+def test_damaged_streams_are_rows_with_an_error(spark):
+    from docsluice.llm import flac
+
+    good = flac.encode_many([b"some text to keep " * 300, b"another one, " * 50])
+    bad = bytearray(good[0])
+    bad[-20] ^= 4
+    rows = [(1, good[0]), (2, bytes(bad)), (3, b"no stream"), (4, None), (5, good[1]), (6, good[0][:100]), (7, good[0][:-1])]
+    got = {r["i"]: r for r in flac.decode(spark.createDataFrame(rows, "i int, media binary").coalesce(1)).collect()}
+    assert got[1]["media_error"] is None and bytes(got[1]["pcm"]) == b"some text to keep " * 300 and got[5]["media_error"] is None
+    for i in (2, 3, 4, 6, 7):
+        assert got[i]["media_error"] and got[i]["pcm"] is None and got[i]["blocks"] == [] and got[i]["energy"] is None
+    assert "CRC-16" in got[2]["media_error"]
+    blocks = flac.pcm_blocks(flac.decode(spark.createDataFrame(rows, "i int, media binary")), "i").collect()
+    assert b"".join(bytes(b["pcm"]) for b in sorted(blocks, key=lambda b: b["block"]) if b["i"] == 1) == b"some text to keep " * 300 and {b["i"] for b in blocks} == {1, 5}
