@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parted(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key (null too) no other row has, and the rest, or None if there is no rest. The keys are read once beforehand."""
+    again = stored(rows.groupBy(F.col(key).alias("again_")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again_"), "again")
+    if again.isEmpty():
+        return rows, None
+    same = F.col(key).eqNullSafe(F.col("again_"))
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete what this application stored. Call it when its results have been read or written."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

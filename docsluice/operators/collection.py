@@ -33,7 +33,7 @@ def validated(raw: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """Add text (normal line ends), sha256 of the raw text and load_error (null if fine). Nothing raises inside a job."""
     text = T.normal_lines(F.coalesce(F.col("raw"), F.lit("")))
     out = raw.withColumn("text", text).withColumn("sha256", T.sha256(F.coalesce(F.col("raw"), F.lit(""))))
-    error = F.when(F.length(F.coalesce("raw", F.lit(""))) == 0, "EMPTY").when(T.strip(F.col("text")) == "", "WHITESPACE").when(F.length("text") > max_chars, "TOO_LARGE")
+    error = F.when(F.length(F.coalesce("raw", F.lit(""))) == 0, "EMPTY").when(T.blank(F.col("text")), "WHITESPACE").when(F.length("text") > max_chars, "TOO_LARGE")
     return out.withColumn("load_error", error).withColumn("category", category_of(F.col("category")))
 
 

@@ -2,42 +2,120 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.tables import parted
 
 TOP = 20
 CHUNK_BLOCK, QUERY_BLOCK = 8192, 2048
+FOUND = "query_id bigint, chunk_id string, similarity double"
 CLOSE = 2e-6  # ranks go by six places; what is this near to the kth score is kept for them
 
 
-def slot_weights(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """(key, slot, weight) before normalising: each word adds +-(1 + 1/(place+1)), each pair of neighbours +-1.5.
+WORDS = 1 << 16  # words whose hashes are made at once; a longer text goes by itself
+
+
+def _words(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words): the words of each text between blanks, which no word holds."""
+    return rows.select(key, F.array_join(T.content_words(F.col(text)), " ").alias("words"))
+
+
+def _hashed(make, names: list[bytes]) -> np.ndarray:
+    """Digests as rows of 32-bit numbers, the highest first."""
+    return np.frombuffer(b"".join([make(x).digest() for x in names]), ">u4").reshape(len(names), -1).astype(np.int64)
+
+
+def _slots(digests: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """``V.hex_slot`` and ``V.hex_sign`` of digests."""
+    slot = np.zeros(len(digests), np.int64)
+    for column in digests.T:
+        slot = (slot * ((1 << 32) % dim) + column) % dim
+    return slot, np.where(digests[:, -1] >> 8 & 1, 1.0, -1.0)
+
+
+def _sums(at: np.ndarray, words: pa.Array, n: int, dims: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each space n rows of sums by slot, and which slots are in use: each word adds +-(1 + 1/(place+1)), each pair of neighbours +-1.5.
+
+    ``at`` gives the text of each word, in order; each distinct word and pair is hashed once.
+    """
+    coded = words.dictionary_encode()
+    names, of = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    second = np.flatnonzero(place > 0)
+    pairs, pair_of = np.unique(of[second - 1] * len(names) + of[second], return_inverse=True)
+    one = _hashed(hashlib.md5, names) if names else np.zeros((0, 4), np.int64)
+    two = _hashed(hashlib.sha1, [names[x // len(names)] + b"_" + names[x % len(names)] for x in pairs.tolist()]) if len(pairs) else np.zeros((0, 5), np.int64)
+    out = {}
+    for dim in dims:
+        (slot, sign), (pair_slot, pair_sign) = _slots(one, dim), _slots(two, dim)
+        cell = np.concatenate((at * dim + slot[of], at[second] * dim + pair_slot[pair_of]))
+        value = np.concatenate((sign[of] * (1 + 1 / (place + 1)), pair_sign[pair_of] * 1.5))
+        out[dim] = np.bincount(cell, value, n * dim).reshape(n, dim), np.bincount(cell, minlength=n * dim).reshape(n, dim) > 0
+    return out
+
+
+def _flat(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The text of each word, and the words."""
+    lists = pc.split_pattern(texts, " ")
+    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    at, real = np.repeat(np.arange(len(texts)), counts), pc.not_equal(words, "")
+    return at[real.to_numpy(zero_copy_only=False)], words.filter(real)
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return sums / np.where(length == 0, 1.0, length)
+
+
+def _embedder(dims: tuple[int, ...], unit: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.not_equal(b.column(1), ""))
+            sizes = np.cumsum(pc.add(pc.count_substring(b.column(1), " "), 1).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < b.num_rows:
+                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + WORDS, "right")))
+                part = b.slice(start, stop - start)
+                start = stop
+                for dim, (sums, used) in _sums(*_flat(part.column(1)), part.num_rows, dims).items():
+                    row, slot = np.nonzero(used)
+                    weight = (_unit(sums) if unit else sums)[row, slot]
+                    ends = pa.array(np.concatenate(([0], np.cumsum(used.sum(axis=1)))), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, dim, np.int32)), part.column(0), pa.ListArray.from_arrays(ends, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weight))], names=["dim", b.schema.names[0], "slots", "weights"])
+
+    return run
 
-    Texts are dealt by key before they are taken apart; both groupings reuse that.
+
+def embeddings(rows: DataFrame, key: str, text: str, dims: tuple[int, ...]) -> DataFrame:
+    """(dim, key, slots, weights) of unit length in each space. Rows without any word have no row: their vector is zero.
+
+    A text is hashed where it lies, without a shuffle; only rows that share a
+    key are summed by key and slot. The keys are read beforehand.
     """
-    words = rows.select(key, text).repartition(key).select(key, T.content_words(F.col(text)).alias("words"))
-    # each word with the pair before it, words[i-1]_words[i]; the shifted array keeps this linear
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))))
-    words = words.select(key, F.zip_with("words", shifted, lambda w, p: F.struct(w.alias("word"), F.concat(p, F.lit("_"), w).alias("pair"))).alias("items"))
-    pairs = words.select(key, F.posexplode("items").alias("pos", "item")).select(key, "pos", "item.word", "item.pair")
-    m, s = F.md5("word"), F.sha1("pair")
-    one = F.struct(V.hex_slot(m, 32, dim).alias("slot"), (V.hex_sign(m, 32) * (1 + 1 / (F.col("pos") + 1))).alias("w"))
-    two = F.struct(V.hex_slot(s, 40, dim).alias("slot"), (V.hex_sign(s, 40) * 1.5).alias("w"))
-    both = F.when(F.col("pair").isNull(), F.array(one)).otherwise(F.array(one, two))
-    return pairs.select(key, F.inline(both)).groupBy(key, "slot").agg(F.sum("w").alias("weight"))
+    once, more = parted(rows.select(key, text), key)
+    schema = f"dim int, `{key}` {rows.schema[key].dataType.simpleString()}, slots array<int>, weights array<double>"
+    out = _words(once, key, text).mapInArrow(_embedder(dims, True), schema)
+    if more is None:
+        return out
+    sums = _words(more, key, text).mapInArrow(_embedder(dims, False), schema).select("dim", key, F.inline(F.arrays_zip(F.col("slots").alias("slot"), F.col("weights").alias("weight"))))
+    whole = sums.groupBy("dim", key, "slot").agg(F.sum("weight").alias("weight")).groupBy("dim", key).agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("v"))
+    return out.unionByName(whole.select("dim", key, F.col("v.slot").alias("slots"), V.normalised(F.col("v.weight")).alias("weights")))
 
 
 def embed(rows: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
-    """(key, slots, weights) of unit length. Rows without any word have no row: their vector is zero."""
-    sums = slot_weights(rows, key, text, dim)
-    whole = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("v"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return whole.select(key, F.transform("v", lambda x: x["slot"]).alias("slots"), F.transform("v", lambda x: F.when(F.col("length") == 0, x["weight"]).otherwise(x["weight"] / F.col("length"))).alias("weights"))
+    """(key, slots, weights) of unit length, as of ``embeddings``."""
+    return embeddings(rows, key, text, (dim,)).drop("dim")
 
 
 def _matrix(slots: list, weights: list, dim: int) -> np.ndarray:
@@ -48,13 +126,33 @@ def _matrix(slots: list, weights: list, dim: int) -> np.ndarray:
     return out
 
 
-def _block_top(dim: int, k: int):
+def _given(rows: pa.Table, key: str, dim: int) -> tuple[list, np.ndarray]:
+    """Ids and vectors of a block of (key, slots, weights)."""
+    return rows.column(key).to_pylist(), _matrix(rows.column("slots").to_pylist(), rows.column("weights").to_pylist(), dim)
+
+
+def _made(rows: pa.Table, key: str, dim: int) -> tuple[list, np.ndarray]:
+    """Ids and vectors of a block of (key, words); rows that share a key are one vector."""
+    rows = rows.filter(pc.not_equal(rows.column("words"), ""))
+    coded = rows.column(key).combine_chunks().dictionary_encode("encode")
+    of, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    out, step = np.zeros((n, dim)), 1024
+    for lo in range(0, rows.num_rows, step):
+        texts = rows.column("words").slice(lo, step).combine_chunks()
+        sums = _sums(*_flat(texts), len(texts), (dim,))[dim][0]
+        if n == rows.num_rows:
+            out[lo : lo + step] = sums
+        else:
+            np.add.at(out, of[lo : lo + step], sums)
+    return coded.dictionary.to_pylist(), _unit(out)
+
+
+def _block_top(vectors, dim: int, k: int):
     def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
         """The best chunks of one block for each query of one block."""
-        ids, qids, rows = chunks.column("chunk_id").to_pylist(), queries.column("query_id").to_pylist(), ([], [], [])
-        if ids and qids:
-            a = _matrix(chunks.column("slots").to_pylist(), chunks.column("weights").to_pylist(), dim)
-            b = _matrix(queries.column("slots").to_pylist(), queries.column("weights").to_pylist(), dim)
+        rows = ([], [], [])
+        if chunks.num_rows and queries.num_rows:
+            (ids, a), (qids, b) = vectors(chunks, "chunk_id", dim), vectors(queries, "query_id", dim)
             for q, s in zip(qids, b @ a.T, strict=True):
                 least = np.partition(s, len(s) - k)[len(s) - k] - CLOSE if len(s) > k else -np.inf
                 for i in np.nonzero(s >= least)[0].tolist():
@@ -66,26 +164,28 @@ def _block_top(dim: int, k: int):
     return run
 
 
-def _searched(a: DataFrame, b: DataFrame, n: int, m: int, dim: int, k: int) -> DataFrame:
-    """(query_id, chunk_id, similarity): the best of each block of ``a`` (chunk_id, slots, weights) for each row of ``b`` (query_id, slots, weights).
+def met(a: DataFrame, b: DataFrame, n: int, m: int, run, schema: str) -> DataFrame:
+    """``run`` over every block of ``a`` (chunk_id, ...) with every block of ``b`` (query_id, ...), of about n and m ids.
 
-    Both sides meet in blocks of bounded size, so a task holds one block of each.
+    Both sides meet in blocks of bounded size, so a task holds one block of
+    each. Rows that share an id are in one block.
     """
     rows, cols = max(1, -(-n // CHUNK_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     part = lambda key, size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
     spread = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name)
-    a = a.select("chunk_id", "slots", "weights", part("chunk_id", rows).alias("cb")).select("*", spread("qb", cols))
-    b = b.select("query_id", "slots", "weights", part("query_id", cols).alias("qb")).select("*", spread("cb", rows))
-    return a.groupBy("cb", "qb").cogroup(b.groupBy("cb", "qb")).applyInArrow(_block_top(dim, k), "query_id bigint, chunk_id string, similarity double")
+    a = a.withColumn("cb", part("chunk_id", rows)).select("*", spread("qb", cols))
+    b = b.withColumn("qb", part("query_id", cols)).select("*", spread("cb", rows))
+    return a.groupBy("cb", "qb").cogroup(b.groupBy("cb", "qb")).applyInArrow(run, schema)
 
 
 def search(chunks: DataFrame, queries: DataFrame, dim: int = 384, k: int = TOP) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k highest inner products of each query, by six places, ties by chunk_id.
 
-    Each block gives its own best, and a window picks the final ones. Chunks
-    are read twice (count and embedding): pass a stored table.
+    Words travel to the blocks and become vectors there, as these are several
+    times larger. Each block gives its own best, and a window picks the final
+    ones. Chunks are read twice (count and words): pass a stored table.
     """
-    found = _searched(embed(chunks, "chunk_id", "content", dim), embed(queries, "query_id", "query", dim), chunks.count(), queries.count(), dim, k)
+    found = met(_words(chunks, "chunk_id", "content"), _words(queries, "query_id", "query"), chunks.count(), queries.count(), _block_top(_made, dim, k), FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
@@ -104,8 +204,8 @@ def search_space(chunks: DataFrame, queries: DataFrame, mode: str, space: str =
 
 def both_spaces(chunks: DataFrame) -> DataFrame:
     """(space, chunk_id, slots, weights): the embeddings of both spaces, as ``sinks.vectors`` writes them."""
-    each = [embed(chunks, "chunk_id", "content", dim).select(F.lit(space).alias("space"), "chunk_id", "slots", "weights") for space, dim in (("local", 384), ("cloud", CLOUD_DIM))]
-    return each[0].unionByName(each[1])
+    both = embeddings(chunks, "chunk_id", "content", (384, CLOUD_DIM))  # words are cut and hashed once for both
+    return both.select(F.when(F.col("dim") == CLOUD_DIM, "cloud").otherwise("local").alias("space"), "chunk_id", "slots", "weights")
 
 
 def index_update(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
@@ -122,7 +222,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFram
     dense = lambda df, key, name: df.where(F.size("v") > 0).select(F.col(key).cast("string" if name == "chunk_id" else "bigint").alias(name), F.sequence(F.lit(0), F.size("v") - 1).alias("slots"), V.normalised(F.col("v")).alias("weights"))
     a, b = dense(vectors, "vec_id", "chunk_id"), dense(queries, "query_id", "query_id")
     figures = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first() for df in (vectors, queries)]
-    found = _searched(a, b, figures[0]["n"], figures[1]["n"], max(1, *(f["dim"] for f in figures)), k)
+    found = met(a, b, figures[0]["n"], figures[1]["n"], _block_top(_given, max(1, *(f["dim"] for f in figures)), k), FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     rows = found.select("query_id", F.col("chunk_id").cast("bigint").alias("vec_id"), F.round("similarity", 6).alias("score"))
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

@@ -53,7 +53,7 @@ class PostingsIndex(Batches):
         """Chunks (chunk_id, content) of one batch, each id once. A chunk_id that is live is replaced. ``batch`` names the segment; the same name again does the same work again."""
         tokens = stored(chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")), "tokens")
         self.remove(tokens.select("chunk_id"), f"{batch}-replaced", but=batch)
-        self._segment(tokens.select("chunk_id", F.size("tokens").alias("dl"), _counts(F.col("tokens")).alias("x")), batch)
+        self._segment(tokens.select("chunk_id", F.size("tokens").alias("dl"), T.counts(F.col("tokens")).alias("x")), batch)
 
     def _segment(self, rows: DataFrame, batch: str) -> None:
         """rows: chunk_id, dl, x (array of term and tf)."""
@@ -138,14 +138,4 @@ class PostingsIndex(Batches):
         return lexical.top(found, k=k), report
 
 
-def _counts(tokens: Column) -> Column:
-    """Distinct terms with their counts: runs of the sorted tokens."""
-    def runs(s: Column, starts: Column) -> Column:
-        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(s)))
-        return F.zip_with(starts, ends, lambda a, z: F.struct(F.get(s, a).alias("term"), (z - a).alias("tf")))
-
-    def of(s: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.when(F.size(s) > 0, T.let(at, lambda starts: runs(s, starts))).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-
-    return T.let(F.array_sort(tokens), of)
+_counts = T.counts
