@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.tables import stored
+from ..functions.tables import parted, stored
+from .dense import CLOSE, met
 
 K1, B = 1.5, 0.75
 TOP = 20
+ENTRIES = 1 << 21  # products of a term's weight in a chunk and its weights in all queries that are held at once
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, times, terms, tfs), stored: the distinct terms of each chunk with their counts.
+
+    A chunk is counted where it lies, without a shuffle. Only rows that share a
+    chunk_id are grouped, those of the same dl as one row; times is how many they were.
+    """
+    rows = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens"))
+    rows = rows.select("chunk_id", F.size("tokens").alias("dl"), F.lit(1).cast("bigint").alias("times"), T.counts(F.col("tokens")).alias("x"))
+    rows = stored(rows.select("chunk_id", "dl", "times", F.col("x.term").alias("terms"), F.col("x.tf").cast("array<bigint>").alias("tfs")), "counted")
+    once, more = parted(rows, "chunk_id")
+    if more is None:
+        return rows
+    terms = _inline(more).groupBy("chunk_id", "dl", "term").agg(F.sum("tf").alias("tf")).groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("x"))
+    times = more.groupBy(F.col("chunk_id").alias("id_"), F.col("dl").alias("dl_")).agg(F.sum("times").alias("times"))
+    whole = times.join(terms, F.col("chunk_id").eqNullSafe(F.col("id_")) & (F.col("dl") == F.col("dl_")), "left")
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    whole = whole.select(F.col("id_").alias("chunk_id"), F.col("dl_").alias("dl"), "times", F.coalesce("x", none).alias("x"))
+    return stored(once.unionByName(whole.select("chunk_id", "dl", "times", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))), "counted")
+
+
+def _inline(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
 
 
 def term_frequencies(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, dl, term, tf). With ``only`` (column term) other terms go before the count."""
-    return _counted(chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")), only)
+    """(chunk_id, dl, term, tf). With ``only`` (column term) without other terms."""
+    return _kept(_inline(counted(chunks)), only)
 
 
-def _counted(tokens: DataFrame, only: DataFrame | None) -> DataFrame:
-    terms = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    return terms.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _kept(tf: DataFrame, only: DataFrame | None) -> DataFrame:
+    return tf if only is None else tf.join(only.select("term").distinct(), "term", "left_semi").select("chunk_id", "dl", "term", "tf")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -34,6 +60,19 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(T.bm25_tokens(F.col("content")))), F.lit(0.0)).alias("avgdl"))
 
 
+def _statistics(rows: DataFrame) -> DataFrame:
+    """The same from ``counted`` chunks."""
+    n = F.sum("times")
+    return rows.agg(F.coalesce(n, F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("times")) / n, F.lit(0.0)).alias("avgdl"))
+
+
+def inverse_frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, idf) of all terms."""
+    rows = counted(chunks)
+    each = document_frequencies(_inline(rows)).crossJoin(F.broadcast(_statistics(rows)))  # one row
+    return each.select("term", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
@@ -47,16 +86,70 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, bm25) of every chunk with a term of the query. The side of the queries is not hinted: the optimizer broadcasts it while it is small."""
-    asked = query_terms(queries)
-    tokens = stored(chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")), "tokens")  # cut once for counts and statistics
-    tf = stored(_counted(tokens, asked), "tf")
-    df = document_frequencies(tf)
-    whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
-    each = tf.join(df, "term").crossJoin(F.broadcast(whole))  # one row
-    each = each.select("term", "chunk_id", weight(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("w"))
-    return each.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("bm25"))
+def _block_scores(k1: float, b: float, k: int | None):
+    def run(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+        """Scores of one block of chunks for one block of queries."""
+        parts = []
+        if chunks.num_rows and asked.num_rows:
+            names = asked.column("term").combine_chunks().dictionary_encode()
+            queries = asked.column("query_id").combine_chunks().dictionary_encode()
+            n, df, avgdl, qtf = (asked.column(c).to_numpy().astype(float) for c in ("n", "df", "avgdl", "qtf"))
+            gain = np.zeros((len(names.dictionary), len(queries.dictionary)))
+            gain[names.indices.to_numpy(), queries.indices.to_numpy()] = qtf * np.log((n - df + 0.5) / (df + 0.5) + 1)
+            ids = chunks.column("chunk_id").combine_chunks().dictionary_encode("encode")
+            words = pc.split_pattern(chunks.column("terms").combine_chunks(), " ")
+            row = np.repeat(np.arange(chunks.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            term = pc.fill_null(pc.index_in(words.flatten(), names.dictionary), -1).to_numpy(zero_copy_only=False)
+            tf = chunks.column("tfs").combine_chunks().flatten().to_numpy()
+            held = np.flatnonzero(term >= 0)
+            row, term, tf = row[held], term[held], tf[held].astype(float)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * chunks.column("dl").to_numpy()[row] / avgdl[0]))
+            at = ids.indices.to_numpy()[row]
+            order = np.argsort(at, kind="stable")
+            at, term, part = at[order], term[order], part[order]
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            step = max(1, ENTRIES // gain.shape[1])  # entries that are multiplied at once, by whole chunks
+            lo = 0
+            while lo < len(starts):
+                hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step)))
+                a, z = starts[lo], starts[hi] if hi < len(starts) else len(at)
+                s = np.add.reduceat(gain[term[a:z]] * part[a:z, None], starts[lo:hi] - a, axis=0)
+                c, q = np.nonzero(s > 0)
+                parts.append((q, at[starts[lo:hi]][c], s[c, q]))
+                lo = hi
+        if not parts:
+            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], chunks.schema.field("chunk_id").type), "bm25": pa.array([], pa.float64())})
+        q, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if k is not None:
+            order = np.lexsort((-s, q))
+            q, c, s = q[order], c[order], s[order]
+            first = np.flatnonzero(np.diff(q, prepend=-1))
+            last = np.diff(first, append=len(q)) - 1
+            near = s >= np.repeat(s[first + np.minimum(last, k - 1)], last + 1) - CLOSE
+            q, c, s = q[near], c[near], s[near]
+        return pa.table({"query_id": queries.dictionary.take(pa.array(q)), "chunk_id": ids.dictionary.take(pa.array(c)), "bm25": pa.array(s)})
+
+    return run
+
+
+def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, bm25) of every chunk with a term of the query; with ``k``, of those that may be among the query's k best.
+
+    Counted chunks meet the queries' terms in blocks (``dense.met``), so a
+    chunk's score for all queries of a block is made in one place.
+    """
+    asked = stored(query_terms(queries), "asked")
+    rows = counted(chunks)
+    df = stored(document_frequencies(_kept(_inline(rows), asked)), "df")
+    weights = asked.join(df, "term").crossJoin(F.broadcast(_statistics(rows)))  # one row
+    some = rows.where(F.size("terms") > 0).select("chunk_id", "dl", F.array_join("terms", " ").alias("terms"), "tfs")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, bm25 double"
+    return met(some, weights, rows.count(), queries.count(), _block_scores(k1, b, k), schema)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best of each query, as of ``top``. Each block gives its own best."""
+    return top(scores(chunks, queries, k=k), k=k)
 
 
 def top(scored: DataFrame, column: str = "bm25", k: int = TOP) -> DataFrame:

@@ -45,15 +45,21 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, dim: int =
     and both rankings are stored, as several steps read each.
     """
     chunks = stored(chunks, "chunks")
-    near, words = stored(dense.search(chunks, queries, dim), "near"), stored(lexical.top(lexical.scores(chunks, queries)), "words")
+    near, words = stored(dense.search(chunks, queries, dim), "near"), stored(lexical.search(chunks, queries), "words")
+    return joined(chunks, queries, near, words, top_k, k)
+
+
+def joined(chunks: DataFrame, queries: DataFrame, near: DataFrame, words: DataFrame, top_k: int = TOP_K, k: int = RRF_K) -> DataFrame:
+    """``hybrid`` from stored chunks and rankings. The few best of each query are stored before they meet the chunks, and again with their texts, so that the chunks are read once, however often the result is."""
     limits = queries.select("query_id", (F.col("top_k") if "top_k" in queries.columns else F.lit(top_k)).alias("limit"))
     best = fuse([near, words], k).join(limits, "query_id").where(F.col("rank") <= F.col("limit")).drop("limit")
     best = best.join(near.select("query_id", "chunk_id", F.col("score").alias("sim")), ["query_id", "chunk_id"], "left").join(words.select("query_id", "chunk_id", F.col("score").alias("bm")), ["query_id", "chunk_id"], "left")
-    rows = best.join(chunks.select("chunk_id", "title", "category", "content", "page_number", "start_line", "end_line"), "chunk_id")
-    return rows.select(
+    rows = stored(best, "best").join(chunks.select("chunk_id", "title", "category", "content", "page_number", "start_line", "end_line"), "chunk_id")
+    rows = rows.select(
         "query_id", "rank", "chunk_id", "title", "category", "content", "page_number", "start_line", "end_line", F.round(F.coalesce("sim", F.lit(0.0)), 4).alias("similarity_score"),
         F.round(F.coalesce("bm", F.lit(0.0)), 4).alias("bm25_score"), F.round("rrf", 4).alias("rrf_score"), citation(F.col("title"), F.col("page_number"), F.col("start_line"), F.col("end_line")).alias("citation_label"),
     )
+    return stored(rows, "retrieved")
 
 
 def gate(queries: DataFrame, retrieved: DataFrame, mode: Column | None = None) -> DataFrame:
