@@ -101,3 +101,20 @@ def test_redaction_keeps_columns_of_its_own_names(spark):
     row = privacy.redact(df).first().asDict()
     assert (row["entities"], row["Risk"], row["redacted_text"]) == (1, "x", "y")
     assert row["redacted_text_"] == "mail [SAFE_EMAIL_1]" and len(row["entities_"]) == 1 and row["risk_"] == 12
+
+
+def test_counts_beyond_ascii_equal_sql(spark):
+    """Word boundaries before and after letters beyond ASCII, and rules of digits that match without one."""
+    import duckdb
+
+    from docsluice.operators import privacy
+    from docsluice.plans import oracles
+
+    texts = ["4734 zuschen. Gech, zu den stür", "né 60 chbeau, sté", "KLMNÄSCHCHSTSCHVNGAVPFÖ", "phone .......- x", "éa@b.cdé", "SSNé123-45-6789é", "١٢٣ Road", "Mr\u00a0Smith ıMr Li", "12\x1cMain St", "€1234567812345678", "2020-01-01 – 10:30", ""]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = sorted(con.execute(oracles.sql()["pii_type_counts"]).fetchall())
+    got = privacy.type_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").collect()
+    assert sorted(map(tuple, got)) == want and {"ADDRESS", "VEHICLE_ID", "PHONE", "EMAIL"} <= {r["type"] for r in got}
