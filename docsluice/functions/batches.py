@@ -35,3 +35,4 @@ class Batches:
     def _write(self, df: DataFrame, kind: str, batch: str, part: str, by: str | None = None) -> None:
         w = df.write.mode("overwrite")
         (w.partitionBy(by) if by else w).parquet(f"{self.path}/{kind}/{batch}/{part}")
+        self.spark.sparkContext._jvm.System.gc()  # what the driver no longer refers to lets executors delete the shuffle files of finished steps

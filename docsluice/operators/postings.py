@@ -50,9 +50,9 @@ class PostingsIndex(Batches):
     # ---- changes
 
     def add(self, chunks: DataFrame, batch: str) -> None:
-        """Chunks (chunk_id, content) of one batch, each id once. A chunk_id that is live is replaced. ``batch`` names the segment; the same name again does the same work again."""
-        tokens = stored(chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens")), "tokens")
-        self.remove(tokens.select("chunk_id"), f"{batch}-replaced", but=batch)
+        """Chunks (chunk_id, content) of one batch, each id once. A chunk_id that is live is replaced. ``batch`` names the segment; the same name again does the same work again. Ids are read before the texts: pass a stored table."""
+        self.remove(chunks.select("chunk_id"), f"{batch}-replaced", but=batch)
+        tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens"))
         self._segment(tokens.select("chunk_id", F.size("tokens").alias("dl"), T.counts(F.col("tokens")).alias("x")), batch)
 
     def _segment(self, rows: DataFrame, batch: str) -> None:
@@ -61,7 +61,8 @@ class PostingsIndex(Batches):
         docs = rows.select(F.shiftright(n, RANGE.bit_length() - 1).alias("rng"), n.bitwiseAND(F.lit(RANGE - 1)).cast("int").alias("doc"), "chunk_id", "dl", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
         self._write(docs, "add", batch, "docs")
         docs = self.spark.read.schema(DOCS).parquet(f"{self.path}/add/{batch}/docs")
-        each = docs.select("rng", "doc", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+        # dealt by range before terms become rows; the grouping reuses that
+        each = docs.repartition("rng").select("rng", "doc", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
         # at most RANGE entries a group
         blocks = each.groupBy("rng", "term").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("p"), F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         blocks = blocks.select(_bucket(F.col("term")).alias("bucket"), "term", "rng", "n", "max_tf", "min_dl", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))

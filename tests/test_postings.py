@@ -80,3 +80,14 @@ def test_readding_a_removed_chunk_and_removing_all(spark, index):
 def test_counts_of_sorted_runs(spark):
     df = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (["z"],)], "t array<string>").select("t", postings._counts(F.col("t")).alias("c"))
     assert {tuple(r["t"]): {x["term"]: x["tf"] for x in r["c"]} for r in df.collect()} == {("b", "a", "b", "b"): {"a": 1, "b": 3}, (): {}, ("z",): {"z": 1}}
+
+
+def test_terms_are_dealt_as_arrays(spark, index, monkeypatch):
+    """Before, every term of every chunk was a row of a shuffle, and the tokens were stored once more."""
+    plans = []
+    write = postings.PostingsIndex._write
+    monkeypatch.setattr(postings.PostingsIndex, "_write", lambda self, df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, *a))[1])
+    monkeypatch.setattr(postings, "stored", None)
+    index.add(frame(spark, [("x", "radar power"), ("y", "power")]), "dealt")
+    plan = next(p for p in plans if "max_tf" in p).split("Exchange hashpartitioning")
+    assert len(plan) == 3 and "Generate" not in plan[-1]
