@@ -33,10 +33,11 @@ from .tokens import END_ID, SLICE, WordTokenizer, default_path
 CAPACITY = 4096
 GROUP_PIECES = 16_384
 OPEN_SHARE = 0.985
+STAGE_SLICE = 2 << 20  # in the pipeline, whose earlier stages leave executors little memory
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """One row for each piece: key, uid, piece, start, length, ids_crc32. A longer document is cut every ``capacity`` ids."""
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, most: int = SLICE) -> DataFrame:
+    """One row for each piece: key, uid, piece, start, length, ids_crc32. A longer document is cut every ``capacity`` ids. ``most``: bytes of text that a worker encodes at once."""
     path = path or default_path()
     id_type = df.schema[key].dataType.simpleString()
     close = np.array([END_ID], "<u4").tobytes()
@@ -59,7 +60,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             of = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key).take(of[0]), *of[1:]], names=[key, "uid", "piece", "start", "length", "ids_crc32"])
 
-        yield from worked(gathered(batches, text, SLICE), cut)
+        yield from worked(gathered(batches, text, most), cut)
 
     return df.select(key, text).mapInArrow(run, f"{key} {id_type}, uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
@@ -242,12 +243,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP_PIECES) ->
     return out
 
 
-def document_sequences(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    cut = stored(pieces(documents, capacity=capacity), "pieces")
+def document_sequences(documents: DataFrame, capacity: int = CAPACITY, most: int = SLICE) -> DataFrame:
+    cut = stored(pieces(documents, capacity=capacity, most=most), "pieces")
     return pack(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing of all documents that reach it."""
     modest(spark)
-    return document_sequences(docs)
+    return document_sequences(docs, most=STAGE_SLICE)
