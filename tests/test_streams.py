@@ -1,5 +1,6 @@
 """State kept across batches and restarts: dedup of documents and chains of ledgers."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docsluice.operators import ledger
@@ -32,3 +33,28 @@ def test_chains_over_batches_and_restarts(spark, tmp_path):
     want = ledger.chained(events)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert all(r["valid"] and r["n"] == 20 for r in ledger.verified(got).collect())
+
+
+class _Seen:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.held = {}
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.held
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+
+
+def test_one_call_takes_many_hashes():
+    first = streams._FirstSeen()
+    first.init(_Seen())
+    part = lambda *rows: pd.DataFrame(rows, columns=["sha256", "row_id", "bucket"])
+    call = lambda *parts: [tuple(r) for got in first.handleInputRows((7,), iter(parts), None) for r in got.itertuples(index=False)]
+    assert sorted(call(part(("a", 5, 7), ("b", 9, 7), ("a", 3, 7)), part(("c", 1, 7), ("b", 2, 7)))) == [("a", 3), ("b", 2), ("c", 1)]
+    assert call(part(("b", 0, 7), ("d", 4, 7))) == [("d", 4)]
