@@ -7,8 +7,10 @@ fixed seed, so that any node is some steps from any other. A shard is one row.
 A search walks the graph of every shard from the best of some fixed entry nodes,
 for a block of queries at once: the best node of a query's beam not yet expanded
 gives its neighbours, and the best BEAM stay, until all are expanded. Removed
-vectors are still passed through, but never returned. A shard with few live
-vectors, or one whose walk returns too few, is scored whole. The best of all
+vectors are still passed through, but never returned. A shard that holds no more
+vectors than a walk would look at (BEAM times the links of a node: shards of SHARD,
+so walks serve larger shards and smaller beams), or one whose walk returns too few,
+is scored whole, for a block of queries at once. The best of all
 shards are the result; ``recall`` measures it against the flat search.
 
 Defined cases: vectors that are null, empty or hold null, NaN or infinite
@@ -106,15 +108,21 @@ def shard_best(row: dict, q: np.ndarray, k: int, beam: int, exact: bool) -> Iter
     if not want:
         return
     beam = -(-beam * len(ids) // n)
-    whole = exact or n <= 2 * beam
-    if not whole:
-        nodes, _ = walk(x.astype(np.float32), np.frombuffer(row["links"], np.int32).reshape(len(ids), -1), q.astype(np.float32), beam)
+    if exact or n <= beam * (NEAR + FAR):
+        places = np.nonzero(live)[0]
+        s = q @ x[places].T
+        least = np.partition(s, n - want, axis=1)[:, n - want] - dense.CLOSE  # what is near to the kth is kept for ranks by six places
+        for i in range(len(q)):
+            near = np.nonzero(s[i] >= least[i])[0]
+            yield i, ids[places[near]], s[i, near]
+        return
+    nodes, _ = walk(x.astype(np.float32), np.frombuffer(row["links"], np.int32).reshape(len(ids), -1), q.astype(np.float32), beam)
     for i, v in enumerate(q):
-        places = np.nonzero(live)[0] if whole else nodes[i][live[nodes[i]]]
+        places = nodes[i][live[nodes[i]]]
         if len(places) < want:
             places = np.nonzero(live)[0]
         s = x[places] @ v
-        if len(s) > want:  # what is near to the kth is kept for ranks by six places
+        if len(s) > want:
             least = np.partition(s, len(s) - want)[len(s) - want] - dense.CLOSE
             places, s = places[s >= least], s[s >= least]
         yield i, ids[places], s
@@ -181,11 +189,12 @@ class VectorIndex(Batches):
             names = b.column("query_id").to_pylist()
             vectors = b.column("v").to_pylist()
             dim = max(map(len, vectors), default=0)
-            for lo in range(0, len(names) if a.num_rows else 0, QUERY_BLOCK):
+            held = a.to_pylist()
+            for lo in range(0, len(names) if held else 0, QUERY_BLOCK):
                 q = np.array([v + [0.0] * (dim - len(v)) for v in vectors[lo : lo + QUERY_BLOCK]])
                 found: list[list] = [[] for _ in q]
-                for r in range(a.num_rows):
-                    for i, ids, s in shard_best(a.slice(r, 1).to_pylist()[0], q, k, beam, exact):
+                for shard in held:
+                    for i, ids, s in shard_best(shard, q, k, beam, exact):
                         found[i].append((ids, s))
                 for i, parts in enumerate(found):
                     if parts:

@@ -76,3 +76,18 @@ def test_walk_finds_neighbours_without_scoring_all():
     for n in (1, 2, 5):
         one, _ = graph.walk(x[:n], graph.linked(x[:n]), x[:3], 80)
         assert sorted(one[0].tolist()) == list(range(n))
+
+
+def test_walks_only_where_they_look_at_fewer_vectors(monkeypatch):
+    """A walk of the beam over a shard of SHARD looked at as many vectors as the shard holds, one by one."""
+    walked = []
+    real = graph.walk
+    monkeypatch.setattr(graph, "walk", lambda x, links, q, beam: walked.append(len(x)) or real(x, links, q, beam))
+    x = np.array([v for _, v in clustered(graph.SHARD)])
+    row = {"ids": list(range(len(x))), "dead": [3, 5], "vectors": x.tobytes(), "links": graph.linked(x).tobytes()}
+    live = np.array([i not in (3, 5) for i in range(len(x))])
+    for i, ids, s in graph.shard_best(row, x[:50], 10, graph.BEAM, False):
+        flat = np.where(live, x @ x[i], -np.inf)
+        assert set(np.argsort(-flat)[:10]) <= set(ids.tolist()) and np.allclose(s, flat[ids])
+    assert walked == []
+    assert len(list(graph.shard_best(row, x[:50], 10, 40, False))) == 50 and walked == [len(x)]
