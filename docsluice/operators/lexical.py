@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,15 +20,35 @@ TOP = 20
 ENTRIES = 1 << 21  # products of a term's weight in a chunk and its weights in all queries that are held at once
 
 
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms of each row with their counts, from ``bm25_runs``; the terms that ``bm25_tokens`` leaves out go once for each distinct one."""
+    stop = pa.array(T.STOPWORDS)
+    for b in batches:
+        runs = pc.split_pattern(b.column(1), " ")
+        coded = runs.flatten().dictionary_encode()
+        names, term = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+        meant = pc.and_(pc.greater_equal(pc.utf8_length(names), T.LEAST_TERM), pc.invert(pc.is_in(names, stop))).to_numpy(zero_copy_only=False)
+        held = np.flatnonzero(meant[term])
+        row, term = row[held], term[held]
+        cell, tf = np.unique(row * len(names) + term, return_counts=True)
+        row_of, term_of = np.divmod(cell, max(1, len(names)))
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row_of, minlength=b.num_rows)))), pa.int32())
+        dl, times = pa.array(np.bincount(row, minlength=b.num_rows), pa.int32()), pa.array(np.ones(b.num_rows, np.int64))
+        terms = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(term_of))), " ")
+        yield pa.RecordBatch.from_arrays([b.column(0), dl, times, terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["chunk_id", "dl", "times", "terms", "tfs"])
+
+
 def counted(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl, times, terms, tfs), stored: the distinct terms of each chunk with their counts.
+    """(chunk_id, dl, times, terms, tfs), stored: the distinct terms of each chunk, between blanks, with their counts.
 
-    A chunk is counted where it lies, without a shuffle. Only rows that share a
+    No term holds a blank, and one string a chunk moves faster than an array of
+    them. A chunk is counted where it lies, without a shuffle. Only rows that share a
     chunk_id are grouped, those of the same dl as one row; times is how many they were.
     """
-    rows = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("tokens"))
-    rows = rows.select("chunk_id", F.size("tokens").alias("dl"), F.lit(1).cast("bigint").alias("times"), T.counts(F.col("tokens")).alias("x"))
-    rows = stored(rows.select("chunk_id", "dl", "times", F.col("x.term").alias("terms"), F.col("x.tf").cast("array<bigint>").alias("tfs")), "counted")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = chunks.select("chunk_id", F.array_join(T.bm25_runs(F.col("content")), " ").alias("runs"))
+    rows = stored(rows.mapInArrow(_terms_of, f"chunk_id {kind}, dl int, times bigint, terms string, tfs array<int>"), "counted")
     once, more = parted(rows, "chunk_id")
     if more is None:
         return rows
@@ -35,11 +57,12 @@ def counted(chunks: DataFrame) -> DataFrame:
     whole = times.join(terms, F.col("chunk_id").eqNullSafe(F.col("id_")) & (F.col("dl") == F.col("dl_")), "left")
     none = F.array().cast("array<struct<term:string,tf:bigint>>")
     whole = whole.select(F.col("id_").alias("chunk_id"), F.col("dl_").alias("dl"), "times", F.coalesce("x", none).alias("x"))
-    return stored(once.unionByName(whole.select("chunk_id", "dl", "times", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))), "counted")
+    return stored(once.unionByName(whole.select("chunk_id", "dl", "times", F.array_join("x.term", " ").alias("terms"), F.col("x.tf").cast("array<int>").alias("tfs"))), "counted")
 
 
 def _inline(rows: DataFrame) -> DataFrame:
-    return rows.select("chunk_id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    each = rows.where("terms <> ''").select("chunk_id", "dl", F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("tfs").alias("tf"))))
+    return each.select("chunk_id", "dl", "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 def term_frequencies(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -55,6 +78,25 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = pc.split_pattern(b.column(0), " ").flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["term", "n"])
+
+
+def _frequencies(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``document_frequencies`` from ``counted`` chunks, summed in each batch before terms become rows. With ``only`` (column term) without other terms."""
+    each = rows.where("terms <> ''").select("terms").mapInArrow(_holders, "term string, n bigint")
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def chunk_frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, df) of all terms."""
+    return _frequencies(counted(chunks))
+
+
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: n and avgdl; chunks without a term count."""
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(T.bm25_tokens(F.col("content")))), F.lit(0.0)).alias("avgdl"))
@@ -69,7 +111,7 @@ def _statistics(rows: DataFrame) -> DataFrame:
 def inverse_frequencies(chunks: DataFrame) -> DataFrame:
     """(term, idf) of all terms."""
     rows = counted(chunks)
-    each = document_frequencies(_inline(rows)).crossJoin(F.broadcast(_statistics(rows)))  # one row
+    each = _frequencies(rows).crossJoin(F.broadcast(_statistics(rows)))  # one row
     return each.select("term", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
@@ -140,9 +182,9 @@ def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B,
     """
     asked = stored(query_terms(queries), "asked")
     rows = counted(chunks)
-    df = stored(document_frequencies(_kept(_inline(rows), asked)), "df")
+    df = stored(_frequencies(rows, asked), "df")
     weights = asked.join(df, "term").crossJoin(F.broadcast(_statistics(rows)))  # one row
-    some = rows.where(F.size("terms") > 0).select("chunk_id", "dl", F.array_join("terms", " ").alias("terms"), "tfs")
+    some = rows.where("terms <> ''").select("chunk_id", "dl", "terms", "tfs")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, bm25 double"
     return met(some, weights, rows.count(), queries.count(), _block_scores(k1, b, k), schema)
 
