@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import stored
 
 CATEGORIES = ("CLINICAL", "FINANCIAL", "LEGAL", "DEFENSE", "GENERAL")
 SENSITIVE = CATEGORIES[:4]
@@ -40,12 +41,15 @@ def validated(raw: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 def ingest(raw: DataFrame, existing: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
     """New documents: valid ones, one for each sha256 (smallest row_id), none that ``existing`` (column sha256) holds.
 
-    The winner of each hash is an aggregate of ids alone, so copies cost each
-    task one row and texts are not shuffled for it.
+    Hashes and ids are stored first, and what they show to be copies, by itself,
+    leaves the texts: these are shuffled only if the copies are too many to be
+    broadcast. A group of copies costs each task one row.
     """
     fine = validated(raw, max_chars).where("load_error is null")
-    first = fine.groupBy("sha256").agg(F.min("row_id").alias("row_id"))
-    out = fine.join(first, ["sha256", "row_id"], "left_semi")
+    ids = stored(fine.select("sha256", "row_id"), "ids")
+    first = ids.groupBy("sha256").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256", "first")
+    copies = stored(ids.join(first, "sha256").where("row_id > first").select("sha256", "row_id").distinct(), "copies")
+    out = fine.where("row_id is not null").join(copies, ["sha256", "row_id"], "left_anti")
     if existing is not None:
         out = out.join(existing.select("sha256").distinct(), "sha256", "left_anti")
     return out.select(T.document_key(F.col("sha256")).alias("doc_key"), "row_id", "title", "category", "sha256", "text")

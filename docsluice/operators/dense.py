@@ -23,6 +23,7 @@ CLOSE = 2e-6  # ranks go by six places; what is this near to the kth score is ke
 
 
 WORDS = 1 << 16  # words whose hashes are made at once; a longer text goes by itself
+BLOCK_WORDS = 1 << 20  # the same where a block of texts becomes vectors, so that its words are hashed once
 
 
 def _words(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,9 +31,9 @@ def _words(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.array_join(T.content_words(F.col(text)), " ").alias("words"))
 
 
-def _hashed(make, names: list[bytes]) -> np.ndarray:
-    """Digests as rows of 32-bit numbers, the highest first."""
-    return np.frombuffer(b"".join([make(x).digest() for x in names]), ">u4").reshape(len(names), -1).astype(np.int64)
+def _hashed(make, names: list[bytes], width: int) -> np.ndarray:
+    """Digests as rows of ``width`` 32-bit numbers, the highest first."""
+    return np.frombuffer(b"".join([make(x).digest() for x in names]), ">u4").reshape(-1, width).astype(np.int64)
 
 
 def _slots(digests: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,26 +44,36 @@ def _slots(digests: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return slot, np.where(digests[:, -1] >> 8 & 1, 1.0, -1.0)
 
 
-def _sums(at: np.ndarray, words: pa.Array, n: int, dims: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each space n rows of sums by slot, and which slots are in use: each word adds +-(1 + 1/(place+1)), each pair of neighbours +-1.5.
+def _cells(at: np.ndarray, words: pa.Array, to: np.ndarray, dims: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each space the cells (row * dim + slot) and what is added there: +-(1 + 1/(place+1)) of each word, +-1.5 of each pair of neighbours.
 
-    ``at`` gives the text of each word, in order; each distinct word and pair is hashed once.
+    ``at`` gives the text of each word, in order, ``to`` the row of each text;
+    each distinct word and pair is hashed once.
     """
     coded = words.dictionary_encode()
     names, of = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
     second = np.flatnonzero(place > 0)
-    pairs, pair_of = np.unique(of[second - 1] * len(names) + of[second], return_inverse=True)
-    one = _hashed(hashlib.md5, names) if names else np.zeros((0, 4), np.int64)
-    two = _hashed(hashlib.sha1, [names[x // len(names)] + b"_" + names[x % len(names)] for x in pairs.tolist()]) if len(pairs) else np.zeros((0, 5), np.int64)
-    out = {}
+    pairs = pa.array(of[second - 1] * len(names) + of[second]).dictionary_encode()
+    pair_of, (a, b) = pairs.indices.to_numpy(zero_copy_only=False), np.divmod(pairs.dictionary.to_numpy(), max(1, len(names)))
+    begun = [x + b"_" for x in names]
+    one = _hashed(hashlib.md5, names, 4)
+    two = _hashed(hashlib.sha1, [begun[x] + names[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], 5)
+    row = to[at]
     for dim in dims:
         (slot, sign), (pair_slot, pair_sign) = _slots(one, dim), _slots(two, dim)
-        cell = np.concatenate((at * dim + slot[of], at[second] * dim + pair_slot[pair_of]))
-        value = np.concatenate((sign[of] * (1 + 1 / (place + 1)), pair_sign[pair_of] * 1.5))
-        out[dim] = np.bincount(cell, value, n * dim).reshape(n, dim), np.bincount(cell, minlength=n * dim).reshape(n, dim) > 0
-    return out
+        yield dim, np.concatenate((row * dim + slot[of], row[second] * dim + pair_slot[pair_of])), np.concatenate((sign[of] * (1 + 1 / (place + 1)), pair_sign[pair_of] * 1.5))
+
+
+def _cut(texts: pa.Array | pa.ChunkedArray, most: int) -> Iterator[slice]:
+    """Runs of texts with some ``most`` words between blanks, or one text."""
+    sizes = np.cumsum(pc.add(pc.count_substring(texts, " "), 1).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
 
 
 def _flat(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -82,13 +93,11 @@ def _embedder(dims: tuple[int, ...], unit: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pc.not_equal(b.column(1), ""))
-            sizes = np.cumsum(pc.add(pc.count_substring(b.column(1), " "), 1).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < b.num_rows:
-                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + WORDS, "right")))
-                part = b.slice(start, stop - start)
-                start = stop
-                for dim, (sums, used) in _sums(*_flat(part.column(1)), part.num_rows, dims).items():
+            for some in _cut(b.column(1), WORDS):
+                part = b.slice(some.start, some.stop - some.start)
+                n = part.num_rows
+                for dim, cell, value in _cells(*_flat(part.column(1)), np.arange(n), dims):
+                    sums, used = np.bincount(cell, value, n * dim).reshape(n, dim), np.bincount(cell, minlength=n * dim).reshape(n, dim) > 0
                     row, slot = np.nonzero(used)
                     weight = (_unit(sums) if unit else sums)[row, slot]
                     ends = pa.array(np.concatenate(([0], np.cumsum(used.sum(axis=1)))), pa.int32())
@@ -136,15 +145,11 @@ def _made(rows: pa.Table, key: str, dim: int) -> tuple[list, np.ndarray]:
     rows = rows.filter(pc.not_equal(rows.column("words"), ""))
     coded = rows.column(key).combine_chunks().dictionary_encode("encode")
     of, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-    out, step = np.zeros((n, dim)), 1024
-    for lo in range(0, rows.num_rows, step):
-        texts = rows.column("words").slice(lo, step).combine_chunks()
-        sums = _sums(*_flat(texts), len(texts), (dim,))[dim][0]
-        if n == rows.num_rows:
-            out[lo : lo + step] = sums
-        else:
-            np.add.at(out, of[lo : lo + step], sums)
-    return coded.dictionary.to_pylist(), _unit(out)
+    out, texts = np.zeros(n * dim), rows.column("words")
+    for part in _cut(texts, BLOCK_WORDS):
+        for _, cell, value in _cells(*_flat(texts[part].combine_chunks()), of[part], (dim,)):
+            out += np.bincount(cell, value, n * dim)
+    return coded.dictionary.to_pylist(), _unit(out.reshape(n, dim))
 
 
 def _block_top(vectors, dim: int, k: int):

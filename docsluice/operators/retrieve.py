@@ -12,6 +12,7 @@ from . import collection, dense, lexical
 
 RRF_K = 60
 TOP_K = 4
+SHOWN = ("chunk_id", "title", "category", "content", "page_number", "start_line", "end_line")  # what retrieval reads of a chunk
 NO_FACTS = "The provided documents do not contain information regarding this query."
 NO_DOCUMENTS = "No relevant documents found in the local knowledge base."
 LEAD = "Based on verified local documentation ["
@@ -44,7 +45,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, dim: int =
     A column top_k of ``queries`` takes precedence over the argument. Chunks
     and both rankings are stored, as several steps read each.
     """
-    chunks = stored(chunks, "chunks")
+    chunks = stored(chunks.select(*SHOWN), "chunks")
     near, words = stored(dense.search(chunks, queries, dim), "near"), stored(lexical.search(chunks, queries), "words")
     return joined(chunks, queries, near, words, top_k, k)
 
@@ -54,7 +55,7 @@ def joined(chunks: DataFrame, queries: DataFrame, near: DataFrame, words: DataFr
     limits = queries.select("query_id", (F.col("top_k") if "top_k" in queries.columns else F.lit(top_k)).alias("limit"))
     best = fuse([near, words], k).join(limits, "query_id").where(F.col("rank") <= F.col("limit")).drop("limit")
     best = best.join(near.select("query_id", "chunk_id", F.col("score").alias("sim")), ["query_id", "chunk_id"], "left").join(words.select("query_id", "chunk_id", F.col("score").alias("bm")), ["query_id", "chunk_id"], "left")
-    rows = stored(best, "best").join(chunks.select("chunk_id", "title", "category", "content", "page_number", "start_line", "end_line"), "chunk_id")
+    rows = stored(best, "best").join(chunks.select(*SHOWN), "chunk_id")
     rows = rows.select(
         "query_id", "rank", "chunk_id", "title", "category", "content", "page_number", "start_line", "end_line", F.round(F.coalesce("sim", F.lit(0.0)), 4).alias("similarity_score"),
         F.round(F.coalesce("bm", F.lit(0.0)), 4).alias("bm25_score"), F.round("rrf", 4).alias("rrf_score"), citation(F.col("title"), F.col("page_number"), F.col("start_line"), F.col("end_line")).alias("citation_label"),

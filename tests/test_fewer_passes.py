@@ -1,7 +1,10 @@
 """Steps that all retrieval queries share: texts stay where they lie, and only what is read is stored."""
 
+import pyarrow as pa
+import pytest
+
 from docsluice.functions import text as T
-from docsluice.operators import lexical
+from docsluice.operators import collection, dense, lexical, retrieve
 
 
 def plan(df):
@@ -17,3 +20,30 @@ def test_frequencies_without_a_row_for_each_term(spark):
     assert {r["term"]: r["df"] for r in got.collect()} == {"radar": 3, "power": 1, "$1000": 1}
     tokens = chunks.select(T.bm25_tokens(chunks["content"]).alias("t")).collect()
     assert sorted(r["dl"] for r in lexical.counted(chunks.where("chunk_id <> 'c'")).collect()) == sorted([0] + [len(r["t"]) for r in tokens if r["t"]])
+
+
+def test_ingest_leaves_texts_where_they_lie(spark):
+    """Before, all texts were shuffled to find copies among them."""
+    rows = [(1, "t", "one", "LEGAL"), (2, "t", "two", "LEGAL"), (3, "t", "one", "LEGAL"), (4, "t", "one", "LEGAL"), (2, "t", "two", "LEGAL"), (2, "t", "one", "LEGAL"), (None, "t", "two", "LEGAL"), (None, "t", "three", "LEGAL"), (5, "t", "", "LEGAL")]
+    got = collection.ingest(spark.createDataFrame(rows, "row_id bigint, title string, raw string, category string"))
+    assert "Exchange hashpartitioning" not in plan(got)
+    assert sorted((r["row_id"], r["text"]) for r in got.collect()) == [(1, "one"), (2, "two"), (2, "two")]
+
+
+def test_only_what_is_read_is_stored(spark, monkeypatch):
+    """Before, hashes and word counts of all chunks were made and stored too."""
+    seen, store = {}, retrieve.stored
+    monkeypatch.setattr(retrieve, "stored", lambda df, label: seen.setdefault(label, df.columns) and store(df, label))
+    chunks = spark.createDataFrame([("c1", "t", "GENERAL", "radar", 1, 1, 1, 1, "ff")], "chunk_id string, title string, category string, content string, page_number int, start_line int, end_line int, word_count int, sha256 string")
+    assert retrieve.hybrid(chunks, spark.createDataFrame([(1, "radar")], "query_id bigint, query string")).count() == 1
+    assert "content" in seen["chunks"] and not {"word_count", "sha256"} & set(seen["chunks"])
+
+
+def test_a_block_hashes_a_word_once(monkeypatch):
+    """Before, each 1024 texts of a block hashed their words anew."""
+    names, make = [], dense._hashed
+    monkeypatch.setattr(dense, "_hashed", lambda how, of, *rest: names.extend(of) or make(how, of, *rest))
+    n = 3000
+    ids, v = dense._made(pa.table({"chunk_id": [f"c{i}" for i in range(n)], "words": ["radar power radar"] * n}), "chunk_id", 384)
+    assert len(ids) == n and sorted(names) == [b"power", b"power_radar", b"radar", b"radar_power"]
+    assert (v * v).sum(axis=1) == pytest.approx(1) and (v == v[0]).all()
