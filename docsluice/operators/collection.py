@@ -48,8 +48,9 @@ def ingest(raw: DataFrame, existing: DataFrame | None = None, max_chars: int = M
     fine = validated(raw, max_chars).where("load_error is null")
     ids = stored(fine.select("sha256", "row_id"), "ids")
     first = ids.groupBy("sha256").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha256", "first")
-    copies = stored(ids.join(first, "sha256").where("row_id > first").select("sha256", "row_id").distinct(), "copies")
-    out = fine.where("row_id is not null").join(copies, ["sha256", "row_id"], "left_anti")
+    mark = F.xxhash64("sha256").alias("mark")  # short, as it only tells apart texts of one row_id
+    copies = stored(ids.join(first, "sha256").where("row_id > first").select("row_id", mark).distinct(), "copies")
+    out = fine.where("row_id is not null").join(copies, (fine["row_id"] == copies["row_id"]) & (F.xxhash64(fine["sha256"]) == copies["mark"]), "left_anti")
     if existing is not None:
         out = out.join(existing.select("sha256").distinct(), "sha256", "left_anti")
     return out.select(T.document_key(F.col("sha256")).alias("doc_key"), "row_id", "title", "category", "sha256", "text")
