@@ -18,10 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named}/docsluice-core/{spark.sparkContext.applicationId}"
 
 
+FILE_ROWS = 1 << 16  # of one stored file
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and read back, for what several later steps read. A lost executor costs a re-read of files."""
+    """``df`` written once and read back, for what several later steps read. A lost executor costs a re-read of files.
+
+    Files are small enough that what a few tasks have written is read by more,
+    without a shuffle.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

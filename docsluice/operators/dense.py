@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..functions.tables import parted
+from ..functions.tables import parted, stored
 
 TOP = 20
 CHUNK_BLOCK, QUERY_BLOCK = 8192, 2048
+PIECE, BLOCK_BYTES = 1024, 1 << 24  # rows that join a block at once; what closes it before it has all its rows
 FOUND = "query_id bigint, chunk_id string, similarity double"
 CLOSE = 2e-6  # ranks go by six places; what is this near to the kth score is kept for them
 
@@ -169,28 +171,67 @@ def _block_top(vectors, dim: int, k: int):
     return run
 
 
-def met(a: DataFrame, b: DataFrame, n: int, m: int, run, schema: str) -> DataFrame:
-    """``run`` over every block of ``a`` (chunk_id, ...) with every block of ``b`` (query_id, ...), of about n and m ids.
+def _pack(rows: pa.Table) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_table(rows)
+    return out.getvalue()
 
-    Both sides meet in blocks of bounded size, so a task holds one block of
-    each. Rows that share an id are in one block.
+
+def _unpack(block: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_py()).read_all()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, some ``CHUNK_BLOCK`` or ``BLOCK_BYTES`` of them as one row."""
+    held = []
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE):
+            held.append(b.slice(at, PIECE))
+            if sum(x.num_rows for x in held) >= CHUNK_BLOCK or sum(x.nbytes for x in held) >= BLOCK_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(pa.Table.from_batches(held))], pa.binary())], names=["a"])
+                held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(pa.Table.from_batches(held))], pa.binary())], names=["a"])
+
+
+def _by_key(rows: DataFrame, key: str, blocks: int, name: str) -> DataFrame:
+    """Rows as blocks by a hash of the key, so that those of one key are in one block."""
+    part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    pack = lambda t: pa.table({name: pa.array([_pack(t.drop_columns("part_"))], pa.binary())})
+    return rows.withColumn("part_", part).groupBy("part_").applyInArrow(pack, f"{name} binary")
+
+
+def met(a: DataFrame, b: DataFrame, m: int, run, schema: str, single: bool = False) -> DataFrame:
+    """``run`` over every block of ``a`` (chunk_id, ...) with every block of ``b`` (query_id, ...), the latter of about m ids.
+
+    Both sides meet in blocks of bounded size, so a task holds few of each.
+    Rows of ``a`` become blocks where they lie; only rows that share a chunk_id,
+    which ``single`` rules out, are shuffled, so that they are in one block. Those
+    that share a query_id are in one block too.
     """
-    rows, cols = max(1, -(-n // CHUNK_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    part = lambda key, size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
-    spread = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name)
-    a = a.withColumn("cb", part("chunk_id", rows)).select("*", spread("qb", cols))
-    b = b.withColumn("qb", part("query_id", cols)).select("*", spread("cb", rows))
-    return a.groupBy("cb", "qb").cogroup(b.groupBy("cb", "qb")).applyInArrow(run, schema)
+    once, more = (a, None) if single else parted(a, "chunk_id")
+    left = once.mapInArrow(_blocks, "a binary")
+    if more is not None:
+        left = left.unionByName(_by_key(more, "chunk_id", max(1, -(-more.count() // CHUNK_BLOCK)), "a"))
+    right = stored(_by_key(b, "query_id", max(1, -(-m // QUERY_BLOCK)), "b"), "asked")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in batches:
+            for x, y in zip(pair.column(0), pair.column(1), strict=True):
+                yield from run(_unpack(x), _unpack(y)).to_batches()
+
+    return left.crossJoin(right).select("a", "b").mapInArrow(pairs, schema)
 
 
 def search(chunks: DataFrame, queries: DataFrame, dim: int = 384, k: int = TOP) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k highest inner products of each query, by six places, ties by chunk_id.
 
-    Words travel to the blocks and become vectors there, as these are several
-    times larger. Each block gives its own best, and a window picks the final
-    ones. Chunks are read twice (count and words): pass a stored table.
+    Blocks hold words, which become vectors where they meet the queries, as
+    these are several times larger. Each block gives its own best, and a window
+    picks the final ones. Chunks are read twice (ids and words): pass a stored table.
     """
-    found = met(_words(chunks, "chunk_id", "content"), _words(queries, "query_id", "query"), chunks.count(), queries.count(), _block_top(_made, dim, k), FOUND)
+    found = met(_words(chunks, "chunk_id", "content"), _words(queries, "query_id", "query"), queries.count(), _block_top(_made, dim, k), FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
@@ -227,7 +268,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFram
     dense = lambda df, key, name: df.where(F.size("v") > 0).select(F.col(key).cast("string" if name == "chunk_id" else "bigint").alias(name), F.sequence(F.lit(0), F.size("v") - 1).alias("slots"), V.normalised(F.col("v")).alias("weights"))
     a, b = dense(vectors, "vec_id", "chunk_id"), dense(queries, "query_id", "query_id")
     figures = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first() for df in (vectors, queries)]
-    found = met(a, b, figures[0]["n"], figures[1]["n"], _block_top(_given, max(1, *(f["dim"] for f in figures)), k), FOUND)
+    found = met(a, b, figures[1]["n"], _block_top(_given, max(1, *(f["dim"] for f in figures)), k), FOUND, single=True)  # rows of one id are vectors of their own
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     rows = found.select("query_id", F.col("chunk_id").cast("bigint").alias("vec_id"), F.round("similarity", 6).alias("score"))
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

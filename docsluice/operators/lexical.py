@@ -40,24 +40,30 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(chunks: DataFrame) -> DataFrame:
+    """``_counted`` without its second part."""
+    return _counted(chunks)[0]
+
+
+def _counted(chunks: DataFrame) -> tuple[DataFrame, bool]:
     """(chunk_id, dl, times, terms, tfs), stored: the distinct terms of each chunk, between blanks, with their counts.
 
     No term holds a blank, and one string a chunk moves faster than an array of
     them. A chunk is counted where it lies, without a shuffle. Only rows that share a
     chunk_id are grouped, those of the same dl as one row; times is how many they were.
+    Besides, whether no two chunks share a chunk_id.
     """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     rows = chunks.select("chunk_id", F.array_join(T.bm25_runs(F.col("content")), " ").alias("runs"))
     rows = stored(rows.mapInArrow(_terms_of, f"chunk_id {kind}, dl int, times bigint, terms string, tfs array<int>"), "counted")
     once, more = parted(rows, "chunk_id")
     if more is None:
-        return rows
+        return rows, True
     terms = _inline(more).groupBy("chunk_id", "dl", "term").agg(F.sum("tf").alias("tf")).groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("x"))
     times = more.groupBy(F.col("chunk_id").alias("id_"), F.col("dl").alias("dl_")).agg(F.sum("times").alias("times"))
     whole = times.join(terms, F.col("chunk_id").eqNullSafe(F.col("id_")) & (F.col("dl") == F.col("dl_")), "left")
     none = F.array().cast("array<struct<term:string,tf:bigint>>")
     whole = whole.select(F.col("id_").alias("chunk_id"), F.col("dl_").alias("dl"), "times", F.coalesce("x", none).alias("x"))
-    return stored(once.unionByName(whole.select("chunk_id", "dl", "times", F.array_join("x.term", " ").alias("terms"), F.col("x.tf").cast("array<int>").alias("tfs"))), "counted")
+    return stored(once.unionByName(whole.select("chunk_id", "dl", "times", F.array_join("x.term", " ").alias("terms"), F.col("x.tf").cast("array<int>").alias("tfs"))), "counted"), False
 
 
 def _inline(rows: DataFrame) -> DataFrame:
@@ -181,12 +187,12 @@ def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B,
     chunk's score for all queries of a block is made in one place.
     """
     asked = stored(query_terms(queries), "asked")
-    rows = counted(chunks)
+    rows, single = _counted(chunks)
     df = stored(_frequencies(rows, asked), "df")
     weights = asked.join(df, "term").crossJoin(F.broadcast(_statistics(rows)))  # one row
     some = rows.where("terms <> ''").select("chunk_id", "dl", "terms", "tfs")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, bm25 double"
-    return met(some, weights, rows.count(), queries.count(), _block_scores(k1, b, k), schema)
+    return met(some, weights, queries.count(), _block_scores(k1, b, k), schema, single)
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from docsluice.functions import tables
 from docsluice.functions import text as T
 from docsluice.operators import collection, dense, lexical, retrieve
 
@@ -47,3 +48,26 @@ def test_a_block_hashes_a_word_once(monkeypatch):
     ids, v = dense._made(pa.table({"chunk_id": [f"c{i}" for i in range(n)], "words": ["radar power radar"] * n}), "chunk_id", 384)
     assert len(ids) == n and sorted(names) == [b"power", b"power_radar", b"radar", b"radar_power"]
     assert (v * v).sum(axis=1) == pytest.approx(1) and (v == v[0]).all()
+
+
+def test_chunks_meet_queries_where_they_lie(spark, monkeypatch):
+    """Before, the words and the counted terms of all chunks were shuffled to blocks by their ids."""
+    monkeypatch.setattr(dense, "CHUNK_BLOCK", 2)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(dense, "PIECE", 1)
+    chunks = spark.createDataFrame([(f"c{i:02}", "radar power " * (i + 1) + f"x{i}y") for i in range(9)], "chunk_id string, content string")
+    queries = spark.createDataFrame([(i, f"radar x{i}y") for i in range(5)], "query_id bigint, query string")
+    found = dense.met(dense._words(chunks, "chunk_id", "content"), dense._words(queries, "query_id", "query"), 5, dense._block_top(dense._made, 384, 20), dense.FOUND)
+    assert "Exchange hashpartitioning" not in plan(found) and "Exchange hashpartitioning" not in plan(lexical.scores(chunks, queries))
+    assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == [(q, f"c{i:02}") for q in range(5) for i in range(9)]
+    best = lexical.search(chunks, queries, 1).collect()
+    assert {r["query_id"]: r["chunk_id"] for r in best} == {i: f"c{i:02}" for i in range(5)}
+    twice = dense.search(chunks.unionByName(chunks), queries, k=9).collect()
+    assert sorted((r["query_id"], r["chunk_id"], r["score"]) for r in twice) == sorted((r["query_id"], r["chunk_id"], r["score"]) for r in dense.search(chunks, queries, k=9).collect())
+
+
+def test_stored_files_are_read_by_more_tasks(spark, monkeypatch):
+    """Before, one task read again all that one task had written."""
+    monkeypatch.setattr(tables, "FILE_ROWS", 10)
+    got = tables.stored(spark.range(0, 35, 1, 1), "few")
+    assert got.count() == 35 and len(got.inputFiles()) == 4
