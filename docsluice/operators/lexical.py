@@ -17,7 +17,7 @@ from .dense import CLOSE, met
 
 K1, B = 1.5, 0.75
 TOP = 20
-ENTRIES = 1 << 21  # products of a term's weight in a chunk and its weights in all queries that are held at once
+ENTRIES = 1 << 21  # products of a term's weight in a chunk and its weights in queries that are held at once
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,48 +134,57 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _gains(asked: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a block of queries, the queries, and where each term's part of the rest starts: its queries and what it weighs in them."""
+    names = asked.column("term").combine_chunks().dictionary_encode()
+    queries = asked.column("query_id").combine_chunks().dictionary_encode("encode")
+    n, df, qtf = (asked.column(c).to_numpy().astype(float) for c in ("n", "df", "qtf"))
+    term = names.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(term, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(names.dictionary)))))
+    return names.dictionary, queries.dictionary, starts, queries.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64), (qtf * np.log((n - df + 0.5) / (df + 0.5) + 1))[order]
+
+
+def _summed(at: np.ndarray, term: np.ndarray, part: np.ndarray, n: int, gains: tuple) -> np.ndarray:
+    """Scores of n places as a row for each query: each entry (place, term, part) meets only the queries of its term."""
+    _, queries, starts, query, gain = gains
+    out = np.zeros(len(queries) * n)
+    many = starts[term + 1] - starts[term]
+    upto = np.cumsum(many)
+    lo = 0
+    while lo < len(term):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ENTRIES, "right")))
+        m, first = many[lo:hi], starts[term[lo:hi]]
+        each = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        out += np.bincount(query[each] * n + np.repeat(at[lo:hi], m), gain[each] * np.repeat(part[lo:hi], m), len(out))
+        lo = hi
+    return out.reshape(len(queries), n)
+
+
+def _best(s: np.ndarray, k: int | None) -> np.ndarray:
+    """Which scores above 0 may be among the k best of their row."""
+    if k is None or s.shape[1] <= k:
+        return s > 0
+    return (s > 0) & (s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - CLOSE)
+
+
 def _block_scores(k1: float, b: float, k: int | None):
     def run(chunks: pa.Table, asked: pa.Table) -> pa.Table:
         """Scores of one block of chunks for one block of queries."""
-        parts = []
-        if chunks.num_rows and asked.num_rows:
-            names = asked.column("term").combine_chunks().dictionary_encode()
-            queries = asked.column("query_id").combine_chunks().dictionary_encode()
-            n, df, avgdl, qtf = (asked.column(c).to_numpy().astype(float) for c in ("n", "df", "avgdl", "qtf"))
-            gain = np.zeros((len(names.dictionary), len(queries.dictionary)))
-            gain[names.indices.to_numpy(), queries.indices.to_numpy()] = qtf * np.log((n - df + 0.5) / (df + 0.5) + 1)
-            ids = chunks.column("chunk_id").combine_chunks().dictionary_encode("encode")
-            words = pc.split_pattern(chunks.column("terms").combine_chunks(), " ")
-            row = np.repeat(np.arange(chunks.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-            term = pc.fill_null(pc.index_in(words.flatten(), names.dictionary), -1).to_numpy(zero_copy_only=False)
-            tf = chunks.column("tfs").combine_chunks().flatten().to_numpy()
-            held = np.flatnonzero(term >= 0)
-            row, term, tf = row[held], term[held], tf[held].astype(float)
-            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * chunks.column("dl").to_numpy()[row] / avgdl[0]))
-            at = ids.indices.to_numpy()[row]
-            order = np.argsort(at, kind="stable")
-            at, term, part = at[order], term[order], part[order]
-            starts = np.flatnonzero(np.diff(at, prepend=-1))
-            step = max(1, ENTRIES // gain.shape[1])  # entries that are multiplied at once, by whole chunks
-            lo = 0
-            while lo < len(starts):
-                hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step)))
-                a, z = starts[lo], starts[hi] if hi < len(starts) else len(at)
-                s = np.add.reduceat(gain[term[a:z]] * part[a:z, None], starts[lo:hi] - a, axis=0)
-                c, q = np.nonzero(s > 0)
-                parts.append((q, at[starts[lo:hi]][c], s[c, q]))
-                lo = hi
-        if not parts:
+        if not chunks.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], chunks.schema.field("chunk_id").type), "bm25": pa.array([], pa.float64())})
-        q, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if k is not None:
-            order = np.lexsort((-s, q))
-            q, c, s = q[order], c[order], s[order]
-            first = np.flatnonzero(np.diff(q, prepend=-1))
-            last = np.diff(first, append=len(q)) - 1
-            near = s >= np.repeat(s[first + np.minimum(last, k - 1)], last + 1) - CLOSE
-            q, c, s = q[near], c[near], s[near]
-        return pa.table({"query_id": queries.dictionary.take(pa.array(q)), "chunk_id": ids.dictionary.take(pa.array(c)), "bm25": pa.array(s)})
+        gains = _gains(asked)
+        ids = chunks.column("chunk_id").combine_chunks().dictionary_encode("encode")
+        words = pc.split_pattern(chunks.column("terms").combine_chunks(), " ")
+        row = np.repeat(np.arange(chunks.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        term = pc.fill_null(pc.index_in(words.flatten(), gains[0]), -1).to_numpy(zero_copy_only=False)
+        tf = chunks.column("tfs").combine_chunks().flatten().to_numpy()
+        held = np.flatnonzero(term >= 0)
+        row, term, tf = row[held], term[held], tf[held].astype(float)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * chunks.column("dl").to_numpy()[row] / asked.column("avgdl").to_numpy()[0]))
+        s = _summed(ids.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64), term, part, len(ids.dictionary), gains)
+        q, c = np.nonzero(_best(s, k))
+        return pa.table({"query_id": gains[1].take(pa.array(q)), "chunk_id": ids.dictionary.take(pa.array(c)), "bm25": pa.array(s[q, c])})
 
     return run
 

@@ -91,3 +91,22 @@ def test_terms_are_dealt_as_arrays(spark, index, monkeypatch):
     index.add(frame(spark, [("x", "radar power"), ("y", "power")]), "dealt")
     plan = next(p for p in plans if "max_tf" in p).split("Exchange hashpartitioning")
     assert len(plan) == 3 and "Generate" not in plan[-1]
+
+
+def test_a_query_takes_no_row_for_each_chunk(spark, index, monkeypatch):
+    """Before, every chunk with a term of a query was a row of a shuffle for that query."""
+    kept = {}
+    store = postings.stored
+    monkeypatch.setattr(postings, "stored", lambda df, label: kept.setdefault(len(kept) if label in kept else label, store(df, label)))
+    monkeypatch.setattr(postings, "PART", 2)
+    monkeypatch.setattr(postings, "QUERY_BLOCK", 2)
+    rows = [(f"c{i:03d}", "usual word " * (1 + i % 7)) for i in range(160)]
+    index.add(frame(spark, rows), "a")
+    best = [f"c{i:03d}" for i in range(6, 160, 7)][:5]
+    index.remove(spark.createDataFrame([(i,) for i in best], "chunk_id string"), "r")
+    queries = spark.createDataFrame([(i, "usual word") for i in range(5)], "query_id bigint, query string")
+    got = index.search(queries, k=3)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert kept["early"].count() < 5 * 4 * 16  # four ranges of a query, 16 chunks in each, all with its terms
+    live = frame(spark, [r for r in rows if r[0] not in best])
+    assert rows_of(got) == rows_of(lexical.top(lexical.scores(live, queries), k=3))
