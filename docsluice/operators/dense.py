@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import hashes, tokens
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.tables import parted, stored
@@ -33,9 +33,14 @@ def _words(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.array_join(T.content_words(F.col(text)), " ").alias("words"))
 
 
-def _hashed(make, names: list[bytes], width: int) -> np.ndarray:
-    """Digests as rows of ``width`` 32-bit numbers, the highest first."""
-    return np.frombuffer(b"".join([make(x).digest() for x in names]), ">u4").reshape(-1, width).astype(np.int64)
+def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, words): texts whose words ``tokens.content`` finds in blocks."""
+    return rows.select(key, *tokens.columns(F.col(text), T.word_tokens))
+
+
+def _hashed(make: str, names: hashes.Strings) -> np.ndarray:
+    """Digests as rows of 32-bit numbers, the highest first."""
+    return hashes.digests(make, names)
 
 
 def _slots(digests: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +57,15 @@ def _cells(at: np.ndarray, words: pa.Array, to: np.ndarray, dims: tuple[int, ...
     ``at`` gives the text of each word, in order, ``to`` the row of each text;
     each distinct word and pair is hashed once.
     """
-    coded = words.dictionary_encode()
-    names, of = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words if pa.types.is_dictionary(words.type) else words.dictionary_encode()
+    names, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
     second = np.flatnonzero(place > 0)
     pairs = pa.array(of[second - 1] * len(names) + of[second]).dictionary_encode()
     pair_of, (a, b) = pairs.indices.to_numpy(zero_copy_only=False), np.divmod(pairs.dictionary.to_numpy(), max(1, len(names)))
-    begun = [x + b"_" for x in names]
-    one = _hashed(hashlib.md5, names, 4)
-    two = _hashed(hashlib.sha1, [begun[x] + names[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], 5)
+    one = _hashed("md5", hashes.Strings(names))
+    two = _hashed("sha1", hashes.Strings(pc.binary_join_element_wise(names.take(pa.array(a)), names.take(pa.array(b)), "_")))
     row = to[at]
     for dim in dims:
         (slot, sign), (pair_slot, pair_sign) = _slots(one, dim), _slots(two, dim)
@@ -143,13 +147,24 @@ def _given(rows: pa.Table, key: str, dim: int) -> tuple[list, np.ndarray]:
 
 
 def _made(rows: pa.Table, key: str, dim: int) -> tuple[list, np.ndarray]:
-    """Ids and vectors of a block of (key, words); rows that share a key are one vector."""
-    rows = rows.filter(pc.not_equal(rows.column("words"), ""))
+    """Ids and vectors of a block of (key, words) or (key, text, words); rows that share a key are one vector, those without words none."""
+    if "text" in rows.column_names:
+        at, words = tokens.content(rows.column("text").combine_chunks(), rows.column("words").combine_chunks())
+        used = np.zeros(rows.num_rows, bool)
+        used[at] = True
+        rows, at = rows.filter(pa.array(used)), (np.cumsum(used) - 1)[at]
+        cuts = np.append(np.searchsorted(at, at[BLOCK_WORDS::BLOCK_WORDS]), len(at))  # between texts
+        words = words if len(cuts) == 1 else words.dictionary_decode()  # a part hashes its own words alone
+        parts = [(at[a:z], words[a:z]) for a, z in zip(np.append(0, cuts[:-1]), cuts, strict=True) if z > a]
+    else:
+        rows = rows.filter(pc.not_equal(rows.column("words"), ""))
+        texts = rows.column("words")
+        parts = ((row + part.start, each) for part in _cut(texts, BLOCK_WORDS) for row, each in [_flat(texts[part].combine_chunks())])
     coded = rows.column(key).combine_chunks().dictionary_encode("encode")
     of, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-    out, texts = np.zeros(n * dim), rows.column("words")
-    for part in _cut(texts, BLOCK_WORDS):
-        for _, cell, value in _cells(*_flat(texts[part].combine_chunks()), of[part], (dim,)):
+    out = np.zeros(n * dim)
+    for at, words in parts:
+        for _, cell, value in _cells(at, words, of, (dim,)):
             out += np.bincount(cell, value, n * dim)
     return coded.dictionary.to_pylist(), _unit(out.reshape(n, dim))
 
@@ -224,14 +239,14 @@ def met(a: DataFrame, b: DataFrame, m: int, run, schema: str, single: bool = Fal
     return left.crossJoin(right).select("a", "b").mapInArrow(pairs, schema)
 
 
-def search(chunks: DataFrame, queries: DataFrame, dim: int = 384, k: int = TOP) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, dim: int = 384, k: int = TOP, single: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k highest inner products of each query, by six places, ties by chunk_id.
 
-    Blocks hold words, which become vectors where they meet the queries, as
+    Blocks hold texts, which become vectors where they meet the queries, as
     these are several times larger. Each block gives its own best, and a window
-    picks the final ones. Chunks are read twice (ids and words): pass a stored table.
+    picks the final ones. Chunks are read twice (ids and texts): pass a stored table. ``single``: no two chunks share a chunk_id.
     """
-    found = met(_words(chunks, "chunk_id", "content"), _words(queries, "query_id", "query"), queries.count(), _block_top(_made, dim, k), FOUND)
+    found = met(_texts(chunks, "chunk_id", "content"), _texts(queries, "query_id", "query"), queries.count(), _block_top(_made, dim, k), FOUND, single)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("score")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 

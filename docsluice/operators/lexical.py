@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import tokens
 from ..functions.tables import parted, stored
-from .dense import CLOSE, met
+from .dense import CLOSE, _blocks, _by_key, _unpack, met
 
 K1, B = 1.5, 0.75
 TOP = 20
+TERM_BLOCK = 1 << 16
 ENTRIES = 1 << 21  # products of a term's weight in a chunk and its weights in queries that are held at once
 
 
@@ -168,6 +170,48 @@ def _best(s: np.ndarray, k: int | None) -> np.ndarray:
     return (s > 0) & (s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - CLOSE)
 
 
+def _held(texts: pa.Table, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """dl of each text; and of each of ``names`` in a text the text, the name and the count."""
+    row, words = tokens.terms(texts.column("text").combine_chunks(), texts.column("words").combine_chunks())
+    coded = words.dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    meant = pc.and_(pc.greater_equal(pc.utf8_length(coded.dictionary), T.LEAST_TERM), pc.invert(pc.is_in(coded.dictionary, pa.array(T.STOPWORDS)))).to_numpy(zero_copy_only=False)
+    known = pc.fill_null(pc.index_in(coded.dictionary, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    dl = np.bincount(row[meant[of]], minlength=texts.num_rows)
+    asked = np.flatnonzero(known[of] >= 0)
+    cell, tf = np.unique(row[asked] * max(1, len(names)) + known[of[asked]], return_counts=True)
+    return dl, *np.divmod(cell, max(1, len(names))), tf
+
+
+def _asked_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each term of a block what the texts that a task has seen add up to: how many hold it, how many there are, their lengths."""
+    seen = {}
+    for x in batches:
+        for texts, block in zip(*x.columns, strict=True):
+            names = block.as_py()
+            if names not in seen:
+                terms = _unpack(block).column("term").combine_chunks()
+                seen[names] = [terms, np.zeros(len(terms), np.int64), 0, 0]
+            sums, dl_term = seen[names], _held(_unpack(texts), seen[names][0])
+            sums[1] += np.bincount(dl_term[2], minlength=len(sums[0]))
+            sums[2] += len(dl_term[0])
+            sums[3] += int(dl_term[0].sum())
+    for terms, df, n, length in seen.values():
+        yield pa.RecordBatch.from_arrays([terms, pa.array(df), pa.array(np.full(len(terms), n)), pa.array(np.full(len(terms), length))], names=["term", "df", "n", "length"])
+
+
+def _text_scores(k1: float, b: float, k: int | None):
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        """Scores of one block of texts for one block of queries."""
+        gains = _gains(asked)
+        dl, row, term, tf = _held(texts, gains[0])
+        s = _summed(row, term, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / asked.column("avgdl")[0].as_py())), texts.num_rows, gains)
+        q, c = np.nonzero(_best(s, k))
+        return pa.table({"query_id": gains[1].take(pa.array(q)), "chunk_id": texts.column("chunk_id").combine_chunks().take(pa.array(c)), "bm25": pa.array(s[q, c])})
+
+    return run
+
+
 def _block_scores(k1: float, b: float, k: int | None):
     def run(chunks: pa.Table, asked: pa.Table) -> pa.Table:
         """Scores of one block of chunks for one block of queries."""
@@ -189,24 +233,37 @@ def _block_scores(k1: float, b: float, k: int | None):
     return run
 
 
-def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, k: int | None = None) -> DataFrame:
+def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, k: int | None = None, single: bool = False) -> DataFrame:
     """(query_id, chunk_id, bm25) of every chunk with a term of the query; with ``k``, of those that may be among the query's k best.
 
-    Counted chunks meet the queries' terms in blocks (``dense.met``), so a
-    chunk's score for all queries of a block is made in one place.
+    Chunks meet the queries in blocks (``dense.met``), so a chunk's score for all
+    queries of a block is made in one place. Their texts are read twice, first for the
+    frequencies of the queries' terms, and nothing is counted of other terms. Only where
+    chunks share a chunk_id, which ``single`` rules out, are ``counted`` ones stored. Pass a stored table.
     """
     asked = stored(query_terms(queries), "asked")
-    rows, single = _counted(chunks)
-    df = stored(_frequencies(rows, asked), "df")
-    weights = asked.join(df, "term").crossJoin(F.broadcast(_statistics(rows)))  # one row
-    some = rows.where("terms <> ''").select("chunk_id", "dl", "terms", "tfs")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, bm25 double"
-    return met(some, weights, queries.count(), _block_scores(k1, b, k), schema, single)
+    if not (single or alone(chunks)):
+        rows, _ = _counted(chunks)
+        weights = asked.join(stored(_frequencies(rows, asked), "df"), "term").crossJoin(F.broadcast(_statistics(rows)))  # one row
+        return met(rows.where("terms <> ''").select("chunk_id", "dl", "terms", "tfs"), weights, queries.count(), _block_scores(k1, b, k), schema)
+    texts = chunks.select("chunk_id", *tokens.columns(F.col("content"), T.bm25_runs))
+    names = asked.select("term").distinct()
+    blocks = stored(_by_key(names, "term", max(1, -(-names.count() // TERM_BLOCK)), "b"), "terms")
+    each = texts.mapInArrow(_blocks, "a binary").crossJoin(blocks).select("a", "b").mapInArrow(_asked_figures, "term string, df bigint, n bigint, length bigint")
+    df = stored(each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("length").alias("length")).where("df > 0"), "df")
+    weights = asked.join(df.select("term", "df", "n", (F.col("length") / F.col("n")).alias("avgdl")), "term")
+    return met(texts, weights, queries.count(), _text_scores(k1, b, k), schema, True)
+
+
+def alone(chunks: DataFrame) -> bool:
+    """Whether no two chunks share a chunk_id. The ids are read."""
+    return parted(chunks.select("chunk_id"), "chunk_id")[1] is None
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = TOP, single: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best of each query, as of ``top``. Each block gives its own best."""
-    return top(scores(chunks, queries, k=k), k=k)
+    return top(scores(chunks, queries, k=k, single=single), k=k)
 
 
 def top(scored: DataFrame, column: str = "bm25", k: int = TOP) -> DataFrame:

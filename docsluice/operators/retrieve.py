@@ -39,6 +39,12 @@ def citation(title: Column, page: Column, first: Column, last: Column) -> Column
     return F.concat(F.lit("Doc: "), title, F.lit(", Page "), page, F.lit(", Line "), first, F.lit("-"), last)
 
 
+def rankings(chunks: DataFrame, queries: DataFrame, dim: int = 384) -> tuple[DataFrame, DataFrame]:
+    """The rankings of stored chunks by vectors and by words, stored. Whether chunks share a chunk_id is looked up once."""
+    single = lexical.alone(chunks)
+    return stored(dense.search(chunks, queries, dim, single=single), "near"), stored(lexical.search(chunks, queries, single=single), "words")
+
+
 def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, dim: int = 384, k: int = RRF_K) -> DataFrame:
     """The fused top_k chunks of each query with their scores (0 where a ranking lacks the chunk), text and citation.
 
@@ -46,7 +52,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, dim: int =
     and both rankings are stored, as several steps read each.
     """
     chunks = stored(chunks.select(*SHOWN), "chunks")
-    near, words = stored(dense.search(chunks, queries, dim), "near"), stored(lexical.search(chunks, queries), "words")
+    near, words = rankings(chunks, queries, dim)
     return joined(chunks, queries, near, words, top_k, k)
 
 
