@@ -45,14 +45,15 @@ def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(low: np.ndarray, kept: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """The text of each run of kept characters, and the runs."""
-    turns = np.flatnonzero(np.diff(kept.view(np.int8), prepend=np.int8(0)))  # no text ends with a kept character
-    starts, stops = turns[::2], turns[1::2]
+    turns = np.flatnonzero(kept[1:] != kept[:-1]) + 1
+    turns = np.append(0, turns) if kept[0] else turns
+    starts, stops = turns[::2], turns[1::2]  # no text ends with a kept character
     data, offsets = low[kept], np.concatenate(([0], np.cumsum(stops - starts)))
     high = np.flatnonzero(data >= 0x80)
     if len(high):
-        at, values = high + np.arange(len(high)), data[high]
-        offsets = offsets + np.searchsorted(high, offsets)
-        data = np.repeat(data, 1 + (data >= 0x80))
+        at, values, wide = high + np.arange(len(high)), data[high], data >= 0x80
+        offsets = offsets + np.append(0, np.cumsum(wide))[offsets]
+        data = np.repeat(data, 1 + wide)
         data[at], data[at + 1] = 0xC2 + (values >> 6 & 1), 0x80 | values & 0x3F
     return np.searchsorted(ends, starts), pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsluice.functions import text as T
-from docsluice.operators import chunk
+from docsluice.operators import chunk, dense, lexical, retrieve
 
 
 def test_line_ends_are_replaced_only_where_there_are_some(spark):
@@ -26,3 +26,19 @@ def test_last_lines_of_windows(spark, size, overlap):
         assert (r["content"], r["start_line"]) == (t[at : at + size], t[:at].count("\n") + 1)
         assert r["end_line"] == r["start_line"] + r["content"].count("\n")
     assert len(rows) > 3
+
+
+CHUNKS = "chunk_id string, title string, category string, content string, page_number int, start_line int, end_line int"
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_shared_ids_are_looked_up_once(spark, monkeypatch, twice):
+    """Before, both rankings read and shuffled all ids to find shared ones."""
+    calls = []
+    for module in (dense, lexical):
+        monkeypatch.setattr(module, "parted", lambda rows, key, f=module.parted: calls.append(key) or f(rows, key))
+    rows = [(f"c{i}", "t", "LEGAL", f"radar power {i}", 1, 1, 1) for i in range(5)]
+    chunks = spark.createDataFrame(rows + rows[:1] * twice, CHUNKS)
+    got = retrieve.gate(q := spark.createDataFrame([(1, "radar 3"), (2, "nothing")], "query_id bigint, query string"), retrieve.hybrid(chunks, q, top_k=2)).collect()
+    assert {r["query_id"]: r["status"] for r in got} == {1: "BLOCKED", 2: "BLOCKED"}
+    assert twice or calls == ["chunk_id"]
