@@ -1,5 +1,7 @@
 """Steps that the retrieval queries share are done once, and on what is read alone."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +44,25 @@ def test_shared_ids_are_looked_up_once(spark, monkeypatch, twice):
     got = retrieve.gate(q := spark.createDataFrame([(1, "radar 3"), (2, "nothing")], "query_id bigint, query string"), retrieve.hybrid(chunks, q, top_k=2)).collect()
     assert {r["query_id"]: r["status"] for r in got} == {1: "BLOCKED", 2: "BLOCKED"}
     assert twice or calls == ["chunk_id"]
+
+
+def test_an_entry_meets_only_the_queries_of_its_term(monkeypatch):
+    """Before, each entry of a chunk was multiplied with all queries of a block."""
+    asked = pa.table({"query_id": [7, 7, 8, 9], "term": ["a", "b", "b", "c"], "qtf": [1, 2, 1, 1], "n": [9] * 4, "df": [3, 4, 4, 1], "avgdl": [2.0] * 4})
+    gains = lexical._gains(asked)
+    names, queries = gains[0].to_pylist(), gains[1].to_pylist()
+    rng = np.random.default_rng(1)
+    at, term, part = rng.integers(0, 6, 40), rng.integers(0, 3, 40), rng.random(40)
+    want = np.zeros((3, 6))
+    for r in asked.to_pylist():
+        w = r["qtf"] * np.log((r["n"] - r["df"] + 0.5) / (r["df"] + 0.5) + 1)
+        for p, t, x in zip(at, term, part, strict=True):
+            want[queries.index(r["query_id"]), p] += w * x * (names[t] == r["term"])
+    sizes, count = [], np.bincount
+    monkeypatch.setattr(lexical.np, "bincount", lambda x, *a, **k: sizes.append(len(x)) or count(x, *a, **k))
+    for entries in (1, 7, 1 << 21):
+        monkeypatch.setattr(lexical, "ENTRIES", entries)
+        sizes.clear()
+        assert lexical._summed(at, term, part, 6, gains) == pytest.approx(want)
+        assert sum(sizes) == sum(2 if names[t] == "b" else 1 for t in term)
+    assert lexical._best(np.array([[3.0, 1, 0, 2, 2]]), 2).tolist() == [[True, False, False, True, True]]
