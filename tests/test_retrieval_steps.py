@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsluice.functions import text as T
 from docsluice.operators import chunk, dense, lexical, retrieve
+from docsluice.plans import registry
 
 
 def test_line_ends_are_replaced_only_where_there_are_some(spark):
@@ -66,3 +67,13 @@ def test_an_entry_meets_only_the_queries_of_its_term(monkeypatch):
         assert lexical._summed(at, term, part, 6, gains) == pytest.approx(want)
         assert sum(sizes) == sum(2 if names[t] == "b" else 1 for t in term)
     assert lexical._best(np.array([[3.0, 1, 0, 2, 2]]), 2).tolist() == [[True, False, False, True, True]]
+
+
+def test_accuracy_stores_only_what_is_read(spark, monkeypatch, tmp_path):
+    """Before, hashes, keys and word counts of all chunks were made and stored too."""
+    spark.createDataFrame([(i, "src", f"radar power {i}") for i in range(4)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "radar 2")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, store = {}, registry.stored
+    monkeypatch.setattr(registry, "stored", lambda df, label: seen.setdefault(label, df.columns) and store(df, label))
+    assert registry.QUERIES["doc_match_accuracy"](spark, str(tmp_path)).count() == 1
+    assert sorted(seen["chunks"]) == sorted(retrieve.SHOWN)
