@@ -51,7 +51,7 @@ GONE = "term string, n bigint"
 TOTALS = "n bigint, length bigint"
 
 
-PACKED = "bucket int, rng bigint, terms string, ns array<int>, docs array<int>, tfs array<int>, dls array<int>"
+PACKED = "bucket int, rng bigint, terms string, ns binary, docs binary, tfs binary, dls binary"
 
 
 def _bucket(term: Column) -> Column:
@@ -62,6 +62,17 @@ def _lists(ends: np.ndarray, values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
+def _least(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of numbers as bytes, each number in one, two or four of them."""
+    width = np.dtype("<u1" if values.max() < 1 << 8 else "<u2" if values.max() < 1 << 16 else "<u4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * width.itemsize).astype(np.int32)), pa.py_buffer(values.astype(width))])
+
+
+def _numbers(runs: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all runs of ``_least``, of which each has so many."""
+    return np.concatenate([np.frombuffer(x, f"<u{len(x) // n}") for x, n in zip(runs.to_pylist(), counts.tolist(), strict=True)]).astype(np.int32)
+
+
 def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(keys, prepend=-1))
 
@@ -86,7 +97,7 @@ def _inverted(buckets: int):
         tfs, dls = rows.column("tfs").combine_chunks().flatten().to_numpy()[order], rows.column("dl").to_numpy()[row][order]
         terms = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.dictionary.take(pa.array(by, pa.int64()))), " ")
         rng = pa.array(np.full(len(cut), rows.column("rng")[0].as_py()), pa.int64())
-        return pa.table({"bucket": pa.array(bucket[cut], pa.int32()), "rng": rng, "terms": terms, "ns": _lists(ends, n), "docs": _lists(entries, doc[order]), "tfs": _lists(entries, tfs), "dls": _lists(entries, dls)})
+        return pa.table({"bucket": pa.array(bucket[cut], pa.int32()), "rng": rng, "terms": terms, "ns": _least(n, ends), "docs": _least(doc[order], entries), "tfs": _least(tfs, entries), "dls": _least(dls, entries)})
 
     return run
 
@@ -97,8 +108,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not x.num_rows:
             continue
         words = pc.split_pattern(x.column("terms"), " ")
-        row = pa.array(np.repeat(np.arange(x.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False)))
-        n, docs, tfs, dls = (x.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ns", "docs", "tfs", "dls"))
+        many = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        row, n = pa.array(np.repeat(np.arange(x.num_rows), many)), _numbers(x.column("ns"), many)
+        entries = np.add.reduceat(n, np.cumsum(many) - many, dtype=np.int64)
+        docs, tfs, dls = (_numbers(x.column(c), entries) for c in ("docs", "tfs", "dls"))
         ends = np.concatenate(([0], np.cumsum(n)))
         highest, least = np.maximum.reduceat(tfs, ends[:-1]), np.minimum.reduceat(dls, ends[:-1])
         out = [x.column("bucket").take(row), words.flatten(), x.column("rng").take(row), pa.array(n, pa.int32()), pa.array(highest, pa.int32()), pa.array(least, pa.int32()), _lists(ends, docs), _lists(ends, tfs), _lists(ends, dls)]

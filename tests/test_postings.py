@@ -110,3 +110,16 @@ def test_a_query_takes_no_row_for_each_chunk(spark, index, monkeypatch):
     assert kept["early"].count() < 5 * 4 * 16  # four ranges of a query, 16 chunks in each, all with its terms
     live = frame(spark, [r for r in rows if r[0] not in best])
     assert rows_of(got) == rows_of(lexical.top(lexical.scores(live, queries), k=3))
+
+
+def test_ranges_travel_packed(spark):
+    """Before, every block of postings was a row of a shuffle; numbers go in as few bytes as hold them."""
+    import pyarrow as pa
+
+    rows = pa.table({"rng": [5, 5], "doc": pa.array([0, 1], pa.int32()), "dl": pa.array([3, 70000], pa.int32()), "terms": ["b a", "a c"], "tfs": pa.array([[1, 2], [300, 1]], pa.list_(pa.int32()))})
+    packed = postings._inverted(2)(rows)
+    assert packed.num_rows <= 2 and sum(len(x) for x in packed.column("docs").to_pylist()) == 4
+    got = [r for b in postings._unpacked(packed.to_batches()) for r in b.to_pylist()]
+    assert {r["term"]: (r["rng"], r["n"], r["max_tf"], r["min_dl"], r["docs"], r["tfs"], r["dls"]) for r in got} == {"a": (5, 2, 300, 3, [0, 1], [2, 300], [3, 70000]), "b": (5, 1, 1, 3, [0], [1], [3]), "c": (5, 1, 1, 70000, [1], [1], [70000])}
+    buckets = {r["t"]: r["b"] for r in spark.createDataFrame([("a",), ("b",), ("c",)], "t string").select("t", F.pmod(F.crc32(F.col("t").cast("binary")), F.lit(2)).alias("b")).collect()}
+    assert {r["term"]: r["bucket"] for r in got} == buckets
